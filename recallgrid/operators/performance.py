@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recallgrid import schemas as S
-from recallgrid.sources.storage import ensure_checkpoint_dir
+from recallgrid.operators.running import in_chunks
 
 KEY = ["username", "question_id"]
 ORDER = ["answered_at", "id"]
+FIRST = ("first_at", "first_id")
 
 _SUMMARY_FIELDS = [
     T.StructField("first_id", T.LongType()),
@@ -47,7 +48,7 @@ def partial_schema(answers: DataFrame) -> T.StructType:
     return T.StructType(keys + times + _SUMMARY_FIELDS)
 
 
-def _single_answers(rows: pd.DataFrame) -> pd.DataFrame:
+def single_answers(rows: pd.DataFrame) -> pd.DataFrame:
     """Each answer as a partial of length one."""
     right = rows["is_correct"].to_numpy(dtype=bool)
     n = len(rows)
@@ -69,7 +70,7 @@ def _single_answers(rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _compose_runs(parts: pd.DataFrame) -> pd.DataFrame:
+def compose_runs(parts: pd.DataFrame) -> pd.DataFrame:
     """Compose neighbouring partials of the same key, pairwise until one is left."""
     parts = parts.reset_index(drop=True)
     while True:
@@ -109,10 +110,10 @@ def _fold_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         if rows.empty:
             continue
-        parts = _single_answers(rows)
+        parts = single_answers(rows)
         if carry is not None:
             parts = pd.concat([carry, parts], ignore_index=True)
-        parts = _compose_runs(parts)
+        parts = compose_runs(parts)
         carry = parts.iloc[-1:]
         yield parts.iloc[:-1]
     if carry is not None:
@@ -130,15 +131,13 @@ def answer_partials(answers: DataFrame) -> DataFrame:
     )
 
 
-def merge_partials(partials: DataFrame) -> DataFrame:
-    """Compose all partials of a key in time order: one row per key.
+def merge_partials(partials: DataFrame, order: tuple[str, ...] = FIRST) -> DataFrame:
+    """Compose all partials of a key in the given order: one row per key.
 
     A key has one partial per range partition (or stored day) it touches, so
     the list below is bounded by the number of pieces, not by the answers.
     """
-    fields = [c for c in partials.columns if c not in KEY]
-    lead = ["first_at", "first_id"]
-    piece = F.struct(*lead, *[c for c in fields if c not in lead])
+    fields = [*order, *[c for c in partials.columns if c not in (*KEY, *order)]]
 
     def compose(left, right):
         shift = right["add"]
@@ -146,7 +145,6 @@ def merge_partials(partials: DataFrame) -> DataFrame:
         all_right = right["streak"] == right["attempts"]
         composed = {
             "last_at": right["last_at"],
-            "first_correct": left["first_correct"],
             "attempts": left["attempts"] + right["attempts"],
             "correct": left["correct"] + right["correct"],
             "streak": right["streak"] + F.when(all_right, left["streak"]).otherwise(F.lit(0)),
@@ -154,31 +152,30 @@ def merge_partials(partials: DataFrame) -> DataFrame:
             "lo": limit(left["lo"] + shift),
             "hi": limit(left["hi"] + shift),
         }
-        rest = [composed[c].alias(c) for c in fields if c not in lead]
-        return F.struct(left["first_at"].alias("first_at"), left["first_id"].alias("first_id"), *rest)
+        # What describes the first answer stays as it is on the left.
+        return F.struct(*[composed.get(c, left[c]).alias(c) for c in fields])
 
-    pieces = partials.groupBy(*KEY).agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    pieces = partials.groupBy(*KEY).agg(
+        F.array_sort(F.collect_list(F.struct(*fields))).alias("pieces")
+    )
     first = F.col("pieces")[0]
     later = F.slice("pieces", F.lit(2), F.greatest(F.size("pieces") - 1, F.lit(0)))
     folded = F.when(F.size("pieces") == 1, first).otherwise(F.reduce(later, first, compose))
     return pieces.select(*KEY, folded.alias("f")).select(*KEY, *[f"f.{c}" for c in fields])
 
 
-def performance_from_partials(partials: DataFrame, questions: DataFrame) -> DataFrame:
-    """Merged partials as the performance table; unknown questions drop out."""
-    # The first answer scores -1 or 5; starting the fold at 1 or 0 gives just that.
-    start = F.when(
-        F.col("first_correct"), S.FIRST_CORRECT_PRIORITY - S.CORRECT_STEP
-    ).otherwise(S.FIRST_WRONG_PRIORITY - S.WRONG_STEP)
-    score = F.least(F.col("hi"), F.greatest(F.col("lo"), start + F.col("add")))
-    state = merge_partials(partials).select(
+def performance_from_partials(
+    partials: DataFrame, questions: DataFrame, order: tuple[str, ...] = FIRST
+) -> DataFrame:
+    """Partials as the performance table; answers to unknown questions drop out."""
+    state = merge_partials(partials, order).select(
         *KEY,
         F.col("attempts").alias("total_attempts"),
         F.col("correct").alias("correct_attempts"),
         (F.col("attempts") - F.col("correct")).alias("incorrect_attempts"),
         F.col("last_at").alias("last_answered_at"),
         "streak",
-        score.alias("priority_score"),
+        _score().alias("priority_score"),
     )
     topics = questions.select("question_id", "topic")
     return state.join(topics, "question_id").select(
@@ -193,6 +190,14 @@ def performance_from_partials(partials: DataFrame, questions: DataFrame) -> Data
     )
 
 
+def _score():
+    # The first answer scores -1 or 5; starting the fold at 1 or 0 gives just that.
+    start = F.when(
+        F.col("first_correct"), S.FIRST_CORRECT_PRIORITY - S.CORRECT_STEP
+    ).otherwise(S.FIRST_WRONG_PRIORITY - S.WRONG_STEP)
+    return F.least(F.col("hi"), F.greatest(F.col("lo"), start + F.col("add")))
+
+
 def performance(answers: DataFrame, questions: DataFrame) -> DataFrame:
     """The learner-state table computed from the whole answer log."""
     return performance_from_partials(answer_partials(answers), questions)
@@ -202,19 +207,10 @@ def answer_progress(answers: DataFrame) -> DataFrame:
     """Per answer: attempt number, correct so far and current streak.
 
     A window over a whole key would put a very active key into one task. Here
-    the rows are range-partitioned and each (key, chunk) is windowed apart;
-    what earlier chunks contribute comes from one summary row per (key, chunk).
+    the rows are cut into chunks and each (key, chunk) is windowed apart; what
+    earlier chunks contribute comes from one summary row per (key, chunk).
     """
-    ensure_checkpoint_dir(answers.sparkSession)
-    columns = KEY + ORDER
-    # Both branches below must see the same chunks, hence the checkpoint.
-    rows = (
-        answers.select(*columns, "is_correct")
-        .repartitionByRange(*columns)
-        .sortWithinPartitions(*columns)
-        .withColumn("chunk", F.spark_partition_id())
-        .checkpoint()
-    )
+    rows = in_chunks(answers.select(*KEY, *ORDER, "is_correct"), KEY, ORDER)
     right = F.when(F.col("is_correct"), 1).otherwise(0).cast("bigint")
     so_far = Window.partitionBy(*KEY, "chunk").orderBy(*ORDER).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -227,28 +223,25 @@ def answer_progress(answers: DataFrame) -> DataFrame:
     chunks = local.groupBy(*KEY, "chunk").agg(
         F.max("attempt").alias("n"),
         F.max("right").alias("n_right"),
-        F.max("last_wrong").alias("n_wrong_at"),
+        F.max("last_wrong").alias("wrong_at"),
     )
     chain = Window.partitionBy(*KEY).orderBy("chunk")
     before = chain.rowsBetween(Window.unboundedPreceding, -1)
-    tail = F.col("n") - F.coalesce("n_wrong_at", F.lit(0))
-    run = F.count("n_wrong_at").over(chain.rowsBetween(Window.unboundedPreceding, 0))
+    tail = F.col("n") - F.coalesce("wrong_at", F.lit(0))
+    # Chunks without a wrong answer prolong the streak that entered them.
+    run = F.count("wrong_at").over(chain.rowsBetween(Window.unboundedPreceding, 0))
+    in_run = (
+        Window.partitionBy(*KEY, "run").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
+    )
     carried = (
         chunks.withColumn("run", run)
-        .withColumn(
-            "tail_sum",
-            F.sum(tail).over(
-                Window.partitionBy(*KEY, "run")
-                .orderBy("chunk")
-                .rowsBetween(Window.unboundedPreceding, 0)
-            ),
-        )
+        .withColumn("leaving", F.sum(tail).over(in_run))
         .select(
             *KEY,
             "chunk",
             F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"),
             F.coalesce(F.sum("n_right").over(before), F.lit(0)).alias("right_before"),
-            F.coalesce(F.lag("tail_sum").over(chain), F.lit(0)).alias("streak_before"),
+            F.coalesce(F.lag("leaving").over(chain), F.lit(0)).alias("streak_before"),
         )
     )
     streak = F.when(

@@ -1,0 +1,28 @@
+"""Complete (learner, value) reports without a cross join."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Values that may be attached to every learner row as one array.
+MAX_VALUES = 10_000
+
+
+def with_every(users: DataFrame, dimension: DataFrame) -> DataFrame:
+    """Each learner with each row of a small dimension (topics, exam totals).
+
+    The rows come from a scalar subquery, so every learner row is expanded
+    where it lies and nothing is shuffled. Their number is checked while the
+    query runs: a larger dimension stops the report, and the caller uses the
+    sparse form of it, which has no such bound.
+    """
+    names = dimension.columns
+    listed = (
+        dimension.limit(MAX_VALUES + 1)
+        .agg(F.array_sort(F.collect_list(F.struct(*names))))
+        .scalar()
+    )
+    checked = F.when(F.size(listed) <= MAX_VALUES, listed).otherwise(
+        F.raise_error(F.lit(f"more than {MAX_VALUES} rows in {names}; use the sparse report"))
+    )
+    expanded = users.select("username", F.explode(checked).alias("row"))
+    return expanded.select("username", *[F.col(f"row.{c}").alias(c) for c in names])
