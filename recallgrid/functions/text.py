@@ -10,6 +10,7 @@ from recallgrid.schemas import PREFIX_LENGTH
 
 # White space in the Unicode sense plus the four ASCII separators.
 _SPACE = r"[\s\x1c-\x1f]"
+NOT_SPACE = r"(?U)[^\s\x1c-\x1f]"
 _EDGES = rf"(?U)^{_SPACE}+|{_SPACE}+$"
 
 # Fixed patterns of the source pages.
@@ -45,7 +46,7 @@ def url_file_name(url: Column) -> Column:
 
 def file_extension(name: Column, default: str = ".jpg") -> Column:
     """Extension with its dot; a leading dot alone is no extension."""
-    found = F.regexp_extract(name, r"^.*[^.].*?(\.[^.]+)$|^$", 1)
+    found = F.regexp_extract(name, r"^.*[^.].*?(\.[^.]+)$", 1)
     return F.when(found == "", F.lit(default)).otherwise(found)
 
 

@@ -203,7 +203,7 @@ def raw_items(pages: DataFrame, layout: str) -> DataFrame:
                     rows += [kept | {"idx": i} | item for i, item in enumerate(found)]
                 except (ValueError, AssertionError) as error:
                     rows.append(kept | {"idx": -1, "error": str(error)})
-            out = pd.DataFrame(rows, columns=carried + fields)
+            out = pd.DataFrame(rows, columns=carried + fields, dtype=object)
             # Pages of very different size share a batch; hand items on in slices.
             for start in range(0, len(out), 5000):
                 yield out.iloc[start : start + 5000]

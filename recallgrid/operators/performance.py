@@ -54,8 +54,8 @@ def single_answers(rows: pd.DataFrame) -> pd.DataFrame:
     n = len(rows)
     return pd.DataFrame(
         {
-            "username": rows["username"],
-            "question_id": rows["question_id"],
+            "username": rows["username"].astype(object),
+            "question_id": rows["question_id"].astype(object),
             "first_at": rows["answered_at"],
             "last_at": rows["answered_at"],
             "first_id": rows["id"],

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recallgrid import schemas as S
-from recallgrid.functions.text import strip
+from recallgrid.functions.text import NOT_SPACE
 
 ISSUE_TYPE = "array<struct<code:string,path:string>>"
 
@@ -42,7 +42,7 @@ def _truthy(value: Column) -> Column:
 
 def _blank(value: Column) -> Column:
     """No text: missing, null or only white space."""
-    return _null(value) | (strip(value.cast("string")) == "")
+    return _null(value) | ~value.cast("string").rlike(NOT_SPACE)
 
 
 def _issue(condition: Column, code: str, path: Column | str) -> Column:
@@ -72,24 +72,44 @@ def _correct_count(options: Column) -> Column:
     return F.size(F.filter(options, marked))
 
 
-def _common_issues(q: Column, required: list[str]) -> list[Column]:
-    options = _get(q, "$.answer_options", "array<variant>")
-    is_list = _is(_get(q, "$.answer_options"), "ARRAY")
-    filled = is_list & (F.size(options) > 0)
-    singles = [_issue(_absent(q, f), "field_missing", f) for f in required]
-    singles += [
-        _issue(_blank(_get(q, "$.question_id")), "empty_id", "question_id"),
-        _issue(_blank(_get(q, "$.question_text")), "empty_text", "question_text"),
-        _issue(is_list & (F.size(options) == 0), "no_options", "answer_options"),
-        _issue(filled & (_correct_count(options) == 0), "no_correct_option", "answer_options"),
-        _issue(filled & (_correct_count(options) > 1), "many_correct_options", "answer_options"),
+_LIST = "array<variant>"
+_FIELDS = list(dict.fromkeys(S.STRICT_REQUIRED_FIELDS + ["reconstruction_name", "reconstruction_order"]))
+
+
+def _staged(raw: DataFrame, json: str) -> DataFrame:
+    """Each JSON string parsed once, each field fetched once (``_<field>``)."""
+    parsed = raw.withColumn("_q", F.try_parse_json(json))
+    fields = parsed.withColumns({f"_{f}": _get(F.col("_q"), f"$.{f}") for f in _FIELDS})
+    lists = fields.withColumns(
+        {
+            "_option_list": F.when(
+                _is(F.col("_answer_options"), "ARRAY"), F.col("_answer_options").cast(_LIST)
+            ),
+            "_image_list": F.when(_is(F.col("_images"), "ARRAY"), F.col("_images").cast(_LIST)),
+        }
+    )
+    return lists.withColumn("_n_correct", _correct_count(F.col("_option_list")))
+
+
+def _common_issues(required: list[str]) -> list[Column]:
+    options = F.col("_option_list")
+    filled = F.size(options) > 0
+    return [
+        *[_issue(F.col(f"_{f}").isNull(), "field_missing", f) for f in required],
+        _issue(_blank(F.col("_question_id")), "empty_id", "question_id"),
+        _issue(_blank(F.col("_question_text")), "empty_text", "question_text"),
+        _issue(F.size(options) == 0, "no_options", "answer_options"),
+        _issue(filled & (F.col("_n_correct") == 0), "no_correct_option", "answer_options"),
+        _issue(filled & (F.col("_n_correct") > 1), "many_correct_options", "answer_options"),
+        _issue(
+            F.col("_images").isNotNull() & F.col("_image_list").isNull(), "images_not_list", "images"
+        ),
+        *_exam_type_issues(),
     ]
-    per_option = F.when(filled, _option_issues(options)).otherwise(F.array().cast(ISSUE_TYPE))
-    return [F.array_compact(F.array(*singles)), per_option]
 
 
-def _exam_type_issues(q: Column) -> list[Column]:
-    name, order = _get(q, "$.reconstruction_name"), _get(q, "$.reconstruction_order")
+def _exam_type_issues() -> list[Column]:
+    name, order = F.col("_reconstruction_name"), F.col("_reconstruction_order")
     return [
         _issue(~_null(name) & ~_is(name, "STRING"), "exam_name_not_string", "reconstruction_name"),
         _issue(
@@ -100,64 +120,50 @@ def _exam_type_issues(q: Column) -> list[Column]:
     ]
 
 
-def import_issues(json: Column) -> Column:
+def _checked(raw: DataFrame, json: str, singles: list[Column], *lists: Column) -> DataFrame:
+    empty = F.array().cast(ISSUE_TYPE)
+    found = F.concat(
+        F.array_compact(F.array(*singles)),
+        *[F.coalesce(issues, empty) for issues in (_option_issues(F.col("_option_list")), *lists)],
+    )
+    unreadable = F.array(F.struct(F.lit("not_an_object").alias("code"), F.lit("").alias("path")))
+    issues = F.when(_is(F.col("_q"), "OBJECT"), found).otherwise(unreadable)
+    return _staged(raw, json).select(*raw.columns, issues.alias("issues"))
+
+
+def check_for_import(raw: DataFrame, json: str = "json") -> DataFrame:
     """Findings of the import check: seven required fields and a usable topic."""
-    q = F.try_parse_json(json)
-    options, images, topic = (_get(q, f"$.{f}") for f in ("answer_options", "images", "topic"))
-    own = [
+    topic = F.col("_topic")
+    singles = [
+        *_common_issues(S.IMPORT_REQUIRED_FIELDS),
         _issue(_null(topic) | (_is(topic, "STRING") & _blank(topic)), "empty_topic", "topic"),
-        _issue(~_is(options, "ARRAY"), "options_not_list", "answer_options"),
-        _issue(images.isNotNull() & ~_is(images, "ARRAY"), "images_not_list", "images"),
-        *_exam_type_issues(q),
+        _issue(F.col("_option_list").isNull(), "options_not_list", "answer_options"),
     ]
-    found = F.concat(*_common_issues(q, S.IMPORT_REQUIRED_FIELDS), F.array_compact(F.array(*own)))
-    return _or_unreadable(q, found)
+    return _checked(raw, json, singles)
 
 
-def strict_issues(json: Column) -> Column:
+def check_strictly(raw: DataFrame, json: str = "json") -> DataFrame:
     """Findings of the extraction check: ten required fields, a blank topic is fine.
 
     A missing options or images field counts as an empty list.
     """
-    q = F.try_parse_json(json)
-    options, images = _get(q, "$.answer_options"), _get(q, "$.images")
-    name, order = _get(q, "$.reconstruction_name"), _get(q, "$.reconstruction_order")
-    image_list = _get(q, "$.images", "array<variant>")
-
-    def of_image(image: Column, i: Column) -> Column:
-        return _issue(
-            ~_is(image, "STRING"),
-            "image_not_string",
-            F.concat(F.lit("images["), i.cast("string"), F.lit("]")),
-        )
-
-    own = [
+    options = F.col("_answer_options")
+    name, order = F.col("_reconstruction_name"), F.col("_reconstruction_order")
+    singles = [
+        *_common_issues(S.STRICT_REQUIRED_FIELDS),
         _issue(options.isNull(), "no_options", "answer_options"),
-        _issue(options.isNotNull() & ~_is(options, "ARRAY"), "options_not_list", "answer_options"),
-        _issue(images.isNotNull() & ~_is(images, "ARRAY"), "images_not_list", "images"),
-        *_exam_type_issues(q),
+        _issue(
+            options.isNotNull() & F.col("_option_list").isNull(), "options_not_list", "answer_options"
+        ),
         _issue(_null(name) != _null(order), "exam_fields_not_both", "reconstruction_name"),
     ]
-    per_image = F.when(
-        _is(images, "ARRAY"), F.array_compact(F.transform(image_list, of_image))
-    ).otherwise(F.array().cast(ISSUE_TYPE))
-    found = F.concat(
-        *_common_issues(q, S.STRICT_REQUIRED_FIELDS), F.array_compact(F.array(*own)), per_image
-    )
-    return _or_unreadable(q, found)
-
-
-def _or_unreadable(q: Column, found: Column) -> Column:
-    unreadable = F.array(F.struct(F.lit("not_an_object").alias("code"), F.lit("").alias("path")))
-    return F.when(_is(q, "OBJECT"), found).otherwise(unreadable)
-
-
-def check_for_import(raw: DataFrame, json: str = "json") -> DataFrame:
-    return raw.withColumn("issues", import_issues(F.col(json)))
 
+    def of_image(image: Column, i: Column) -> Column:
+        where = F.concat(F.lit("images["), i.cast("string"), F.lit("]"))
+        return _issue(~_is(image, "STRING"), "image_not_string", where)
 
-def check_strictly(raw: DataFrame, json: str = "json") -> DataFrame:
-    return raw.withColumn("issues", strict_issues(F.col(json)))
+    per_image = F.array_compact(F.transform("_image_list", of_image))
+    return _checked(raw, json, singles, per_image)
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -20,6 +20,7 @@ from recallgrid.operators.sampling import (
     weighted_choice,
 )
 from recallgrid.operators.stats import topic_performance
+from recallgrid.sources.storage import stored
 
 
 def is_weak():
@@ -108,6 +109,7 @@ def random_pick(users: DataFrame, questions: DataFrame, seed: str) -> DataFrame:
 
 def _else_random(users, picked, questions, seed):
     """Fill in a random question for learners without a pick."""
+    picked = stored(picked, "picked")
     missing = users.select("username").join(picked, "username", "left_anti")
     return picked.select("username", "question_id").unionByName(
         random_pick(missing, questions, seed)
@@ -212,6 +214,7 @@ def topic_first_pick(
             F.lit(S.WEIGHT_UNSEEN_V2).alias("free_weight"),
         )
     )
+    targets = stored(targets, "targets")
     index = index_bank(questions)
     known = _topic_weights(performance, index).join(targets.select(*keys), keys, "left_semi")
     places = draw(targets, known, keys, 1, seed).withColumnRenamed("place", "idx")
@@ -259,7 +262,7 @@ def adaptive_pick(
     index = index_bank(bank)
     size = bank.agg(F.count(F.lit(1))).scalar()
 
-    shown = recent_questions(impressions).join(index, "question_id")
+    shown = stored(recent_questions(impressions).join(index, "question_id"), "shown")
     per_user = shown.groupBy("username").agg(F.count(F.lit(1)).alias("n_shown"))
     base = (
         users.select("username")
@@ -305,6 +308,7 @@ def adaptive_pick(
             }
         )
 
+    base = stored(base, "learners")
     weights = performance.select("username", "question_id", weight_v1(F.col("priority_score")).alias("weight"))
     listed = (
         weights.join(index, "question_id")
@@ -383,10 +387,13 @@ def exam_challenging(
             F.lit(S.WEIGHT_UNSEEN_V2).alias("free_weight"),
         )
     )
+    targets = stored(targets, "targets")
     index = index_bank(bank)
     known = _topic_weights(known_users, index).join(targets.select(*keys), keys, "left_semi")
     places = draw(targets, known, keys, n, seed).withColumnRenamed("place", "idx")
-    picked = places.join(index, ["topic", "idx"]).select("username", "question_id", "pos")
+    picked = stored(
+        places.join(index, ["topic", "idx"]).select("username", "question_id", "pos"), "picked"
+    )
     return picked.select("username", "question_id").unionByName(
         _fill_up(users, picked, bank, F.lit(n), n, seed + "/fill")
     )
@@ -418,6 +425,7 @@ def exam_balanced(
         .where(F.col("rank") <= n_weak)
         .select("username", "question_id", "pos")
     )
+    weak = stored(weak, "weak")
     has_weak = weak.groupBy("username").agg(F.count(F.lit(1)).alias("n_picked"))
     wanted = (
         users.select("username")

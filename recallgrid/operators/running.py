@@ -3,24 +3,23 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallgrid.sources.storage import ensure_checkpoint_dir
+from recallgrid.sources.storage import stored
 
 
 def in_chunks(frame: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The rows with a ``chunk`` number that rises with (keys, order).
 
     Range partitioning cuts a key with very many rows over several chunks of
-    bounded size. The result is checkpointed, because chunk sums and rows must
-    refer to the same chunks even when an executor is lost in between.
+    bounded size. The result is stored, because chunk sums and rows must refer
+    to the same chunks even when an executor is lost in between.
     """
-    ensure_checkpoint_dir(frame.sparkSession)
     columns = [*keys, *order]
-    return (
+    numbered = (
         frame.repartitionByRange(*columns)
         .sortWithinPartitions(*columns)
         .withColumn("chunk", F.spark_partition_id())
-        .checkpoint()
     )
+    return stored(numbered, "chunks")
 
 
 def total_before(frame: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallgrid.functions.randomness import exponential, uniform
+from recallgrid.sources.storage import stored
 
 # Hash digits that split the bank into 4,096 buckets for numbering.
 _BUCKET_DIGITS = 3
@@ -65,9 +66,10 @@ def index_bank(questions: DataFrame) -> DataFrame:
         .withColumn("idx", F.col("_offset") + F.col("_rank"))
     )
     sizes = topic_sizes(questions).select("topic", "start")
-    return numbered.join(sizes, "topic").select(
+    index = numbered.join(sizes, "topic").select(
         "question_id", "topic", "idx", (F.col("start") + F.col("idx")).alias("pos")
     )
+    return stored(index, "bank-index")
 
 
 def topic_sizes(questions: DataFrame) -> DataFrame:
@@ -102,9 +104,11 @@ def distinct_places(size: Column, picks: Column, seed: str, keys: list[str]) ->
 
 def uniform_picks(users: DataFrame, size: Column, picks: int, seed: str) -> DataFrame:
     """Per learner ``picks`` different positions of a bank of the given size."""
-    places = distinct_places(size, F.lit(picks), seed, ["username"])
-    return users.select("username", F.posexplode(places).alias("rank", "pos")).withColumn(
-        "rank", F.col("rank") + 1
+    places = distinct_places(F.col("size"), F.lit(picks), seed, ["username"])
+    return (
+        users.select("username", size.alias("size"))
+        .select("username", F.posexplode(places).alias("rank", "pos"))
+        .withColumn("rank", F.col("rank") + 1)
     )
 
 
@@ -118,6 +122,7 @@ def draw(
     in the pool), weight; a null weight means the question may not be drawn.
     Returns keys, rank, place.
     """
+    targets, known = stored(targets, "targets"), stored(known, "known")
     listed = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_known"))
     pools = targets.join(listed, keys, "left").withColumn(
         "free", F.col("size") - F.coalesce("n_known", F.lit(0))
@@ -154,7 +159,7 @@ def draw(
         .where(F.col("rank") <= F.col("picks"))
         .drop("picks", "race")
     )
-    return _resolve_free_places(winners, known, keys)
+    return _resolve_free_places(stored(winners, "winners"), known, keys)
 
 
 def _resolve_free_places(winners: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:

@@ -24,7 +24,7 @@ from recallgrid.operators import (
 from recallgrid.operators.performance import answer_progress, performance
 from recallgrid.plans import derived
 from recallgrid.plans import fixtures as X
-from recallgrid.sources.storage import new_path
+from recallgrid.sources.storage import new_path, stored
 from recallgrid.streaming import answers as stream
 
 SEED = "recallgrid"
@@ -60,6 +60,12 @@ def _sparse(spark, sf):
     return q, a, performance(a, q)
 
 
+def _stored(triple):
+    """For queries that use the learner state more than once."""
+    q, a, perf = triple
+    return q, a, stored(perf, "performance")
+
+
 # --- Learner state -----------------------------------------------------------
 
 
@@ -110,7 +116,7 @@ def mastered_questions(spark, sf):
 
 @query
 def never_answered_questions(spark, sf):
-    q, a, _ = _sparse(spark, sf)
+    q, a = X.questions(spark, sf), X.answers(spark, sf)
     return maintenance.missing_from(q, a.select("question_id").distinct()).select(
         "question_id", "topic"
     )
@@ -151,8 +157,9 @@ def topic_mastery_by_question(spark, sf):
 
 @query
 def topic_mastery_by_attempt(spark, sf):
-    q, _, perf = _sparse(spark, sf)
-    return rounded(mastery.all_topic_masteries(perf, q), "accuracy", "progress")
+    q, a, perf = _sparse(spark, sf)
+    graded = mastery.all_topic_masteries(perf, q, stats.learners(a))
+    return rounded(graded, "accuracy", "progress")
 
 
 @query
@@ -493,7 +500,7 @@ def cards_archived(spark, sf):
 
 @query
 def progress_reset(spark, sf):
-    q, a, perf = _dense(spark, sf)
+    q, a, perf = _stored(_dense(spark, sf))
     # Learners with any mastered question start again.
     users = perf.where(recommend.is_mastered()).select("username")
     tables = {"answers": a, "performance": perf, "reviews": X.reviews(spark, sf), "cards": X.cards(spark, sf)}
@@ -536,13 +543,13 @@ def recent_questions(spark, sf):
 
 @query
 def session_weights(spark, sf):
-    q, a, perf = _dense(spark, sf)
+    q, a, perf = _stored(_dense(spark, sf))
     return recommend.adaptive_weights(perf, q, stats.learners(a), 1)
 
 
 @query
 def topic_weights(spark, sf):
-    q, a, perf = _dense(spark, sf)
+    q, a, perf = _stored(_dense(spark, sf))
     return rounded(recommend.adaptive_weights(perf, q, stats.learners(a), 2), "weight")
 
 
@@ -560,26 +567,26 @@ def next_unanswered(spark, sf):
 
 @query
 def next_weakest(spark, sf):
-    q, a, perf = _dense(spark, sf)
+    q, a, perf = _stored(_dense(spark, sf))
     return recommend.weakest_pick(stats.learners(a), perf, q, SEED)
 
 
 @query
 def next_in_topic(spark, sf):
-    q, a, perf = _sparse(spark, sf)
+    q, a, perf = _stored(_sparse(spark, sf))
     pairs = perf.select("username", "topic").distinct()
     return recommend.pick_within_topic(pairs, perf, q, SEED)
 
 
 @query
 def next_topic_first(spark, sf):
-    q, a, perf = _sparse(spark, sf)
+    q, a, perf = _stored(_sparse(spark, sf))
     return recommend.topic_first_pick(stats.learners(a), perf, q, SEED)
 
 
 @query
 def next_adaptive(spark, sf):
-    q, a, perf = _dense(spark, sf)
+    q, a, perf = _stored(_dense(spark, sf))
     shown = X.dense(X.impressions(spark, sf))
     return recommend.adaptive_pick(stats.learners(a), perf, shown, q, SEED)
 
@@ -592,11 +599,11 @@ def exam_paper_mixed(spark, sf):
 
 @query
 def exam_paper_challenging(spark, sf):
-    q, a, perf = _sparse(spark, sf)
+    q, a, perf = _stored(_sparse(spark, sf))
     return recommend.exam_challenging(stats.learners(a), perf, q, EXAM_SIZE, SEED)
 
 
 @query
 def exam_paper_balanced(spark, sf):
-    q, a, perf = _dense(spark, sf)
+    q, a, perf = _stored(_dense(spark, sf))
     return recommend.exam_balanced(stats.learners(a), perf, q, EXAM_SIZE, SEED)

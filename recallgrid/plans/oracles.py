@@ -141,8 +141,8 @@ def sql(views: list[str], body: str, extra: dict[str, str] | None = None) -> str
 
     for v in views:
         add(v)
-    parts = [f"{v} AS ({VIEWS[v]})" for v in ordered]
-    parts += [f"{n} AS ({q})" for n, q in (extra or {}).items()]
+    parts = [f"{v} AS MATERIALIZED ({VIEWS[v]})" for v in ordered]
+    parts += [f"{n} AS MATERIALIZED ({q})" for n, q in (extra or {}).items()]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 
@@ -264,7 +264,7 @@ ORACLES["topic_mastery_by_question"] = sql(
     f"""SELECT username, topic, questions_answered, round(accuracy, 6) AS accuracy,
         round(avg_priority, 6) AS avg_priority, {_level('accuracy', 'questions_answered')} AS level
         FROM (SELECT username, topic, count(*) AS questions_answered,
-              avg(correct_attempts::DOUBLE / total_attempts * 100) AS accuracy,
+              round(avg(correct_attempts::DOUBLE / total_attempts * 100), 9) AS accuracy,
               avg(priority_score) AS avg_priority FROM perf GROUP BY ALL)""",
 )
 ORACLES["topic_mastery_by_attempt"] = sql(
@@ -281,7 +281,7 @@ ORACLES["weakest_topic"] = sql(
         SELECT *, row_number() OVER (PARTITION BY username
             ORDER BY {_level('accuracy', 'n')}, accuracy, topic) AS r
         FROM (SELECT username, topic, count(*) AS n,
-              avg(correct_attempts::DOUBLE / total_attempts * 100) AS accuracy
+              round(avg(correct_attempts::DOUBLE / total_attempts * 100), 9) AS accuracy
               FROM perf GROUP BY ALL)) WHERE r = 1""",
 )
 ORACLES["hardest_questions"] = sql(
