@@ -167,14 +167,18 @@ def check_strictly(raw: DataFrame, json: str = "json") -> DataFrame:
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Valid rows and the quarantine."""
+    """Valid rows and the quarantine; pass a stored frame, as both sides read it."""
     ok = F.size("issues") == 0
     return checked.where(ok).drop("issues"), checked.where(~ok)
 
 
 def issue_rows(checked: DataFrame) -> DataFrame:
-    return checked.select("question_id", F.explode("issues").alias("i")).select(
-        "question_id", "i.code", "i.path"
+    # A plain explode would also filter on the issues, and that filter would be
+    # pushed below the stages of the check and parse the JSON again and again.
+    return (
+        checked.select("question_id", F.explode_outer("issues").alias("i"))
+        .where(F.col("i").isNotNull())
+        .select("question_id", "i.code", "i.path")
     )
 
 

@@ -102,18 +102,19 @@ def adaptive_weights(
 
 def random_pick(users: DataFrame, questions: DataFrame, seed: str) -> DataFrame:
     """One question per learner, uniform over the bank."""
-    size = questions.agg(F.count(F.lit(1))).scalar()
-    index = index_bank(questions)
+    return _random(users, index_bank(questions), seed)
+
+
+def _random(users, index, seed):
+    size = index.agg(F.count(F.lit(1))).scalar()
     return uniform_picks(users, size, 1, seed).join(index, "pos").select("username", "question_id")
 
 
-def _else_random(users, picked, questions, seed):
+def _else_random(users, picked, index, seed):
     """Fill in a random question for learners without a pick."""
-    picked = stored(picked, "picked")
+    picked = stored(picked.select("username", "question_id"), "picked")
     missing = users.select("username").join(picked, "username", "left_anti")
-    return picked.select("username", "question_id").unionByName(
-        random_pick(missing, questions, seed)
-    )
+    return picked.unionByName(_random(missing, index, seed))
 
 
 def unanswered_pick(
@@ -121,7 +122,7 @@ def unanswered_pick(
 ) -> DataFrame:
     """A question the learner has never answered, else a random one."""
     index = index_bank(questions)
-    size = questions.agg(F.count(F.lit(1))).scalar()
+    size = index.agg(F.count(F.lit(1))).scalar()
     known = answered.join(index, "question_id").select(
         "username", F.col("pos").alias("place"), F.lit(None).cast("double").alias("weight")
     )
@@ -130,18 +131,17 @@ def unanswered_pick(
     )
     places = draw(targets, known, ["username"], 1, seed)
     picked = places.join(index, places["place"] == index["pos"]).select("username", "question_id")
-    return _else_random(users, picked, questions, seed + "/random")
+    return _else_random(users, picked, index, seed + "/random")
 
 
 def weakest_pick(
     users: DataFrame, performance: DataFrame, questions: DataFrame, seed: str
 ) -> DataFrame:
     """A question more often wrong than right, else a random one."""
-    weak = performance.where(is_weak()).join(
-        questions.select("question_id"), "question_id", "left_semi"
-    )
+    index = index_bank(questions)
+    weak = performance.where(is_weak()).join(index, "question_id", "left_semi")
     picked = weighted_choice(weak, ["username"], F.lit(1.0), seed)
-    return _else_random(users, picked, questions, seed + "/random")
+    return _else_random(users, picked, index, seed + "/random")
 
 
 def pick_within_topic(
@@ -219,7 +219,7 @@ def topic_first_pick(
     known = _topic_weights(performance, index).join(targets.select(*keys), keys, "left_semi")
     places = draw(targets, known, keys, 1, seed).withColumnRenamed("place", "idx")
     picked = places.join(index, ["topic", "idx"])
-    return _else_random(users, picked, questions, seed + "/random")
+    return _else_random(users, picked, index, seed + "/random")
 
 
 def next_question(
@@ -260,7 +260,7 @@ def adaptive_pick(
     """
     bank = questions if topic is None else questions.where(F.col("topic") == topic)
     index = index_bank(bank)
-    size = bank.agg(F.count(F.lit(1))).scalar()
+    size = index.agg(F.count(F.lit(1))).scalar()
 
     shown = stored(recent_questions(impressions).join(index, "question_id"), "shown")
     per_user = shown.groupBy("username").agg(F.count(F.lit(1)).alias("n_shown"))
@@ -348,10 +348,11 @@ def exam_mixed(
 ) -> DataFrame:
     """n different questions per learner, uniform over the chosen topics."""
     bank = _in_topics(questions, topics)
-    size = bank.agg(F.count(F.lit(1))).scalar()
+    index = index_bank(bank)
+    size = index.agg(F.count(F.lit(1))).scalar()
     return (
         uniform_picks(users, size, n, seed)
-        .join(index_bank(bank), "pos")
+        .join(index, "pos")
         .select("username", "rank", "question_id")
     )
 
@@ -395,7 +396,7 @@ def exam_challenging(
         places.join(index, ["topic", "idx"]).select("username", "question_id", "pos"), "picked"
     )
     return picked.select("username", "question_id").unionByName(
-        _fill_up(users, picked, bank, F.lit(n), n, seed + "/fill")
+        _fill_up(users, picked, index, n, seed + "/fill")
     )
 
 
@@ -410,7 +411,7 @@ def exam_balanced(
     """A third weak questions, the rest random without repeating them."""
     bank = _in_topics(questions, topics)
     index = index_bank(bank)
-    size = bank.agg(F.count(F.lit(1))).scalar()
+    size = index.agg(F.count(F.lit(1))).scalar()
     total = F.least(F.lit(n).cast("bigint"), size)
     n_weak = F.floor(total / 3).cast("bigint")
     hashed = Window.partitionBy("username").orderBy(
@@ -435,32 +436,33 @@ def exam_balanced(
             F.when(F.col("n_picked").isNotNull(), total - n_weak).otherwise(total).alias("picks"),
         )
     )
-    rest = _draw_rest(wanted, weak, bank, n, seed + "/rest")
+    rest = _draw_rest(wanted, weak, index, n, seed + "/rest")
     return weak.select("username", "question_id").unionByName(rest)
 
 
-def _fill_up(users, picked, bank, wanted, n, seed):
+def _fill_up(users, picked, index, n, seed):
     """Uniform picks for learners who have fewer questions than wanted."""
     have = picked.groupBy("username").agg(F.count(F.lit(1)).alias("_have"))
     missing = (
         users.select("username")
         .join(have, "username", "left")
-        .withColumn("picks", wanted - F.coalesce("_have", F.lit(0)))
+        .withColumn("picks", F.lit(n) - F.coalesce("_have", F.lit(0)))
         .where(F.col("picks") > 0)
         .select("username", "picks")
     )
-    return _draw_rest(missing, picked, bank, n, seed)
+    return _draw_rest(missing, picked, index, n, seed)
 
 
-def _draw_rest(wanted, picked, bank, n, seed):
+def _draw_rest(wanted, picked, index, n, seed):
     """Uniform draw from the bank without the questions already picked."""
-    size = bank.agg(F.count(F.lit(1))).scalar()
-    index = index_bank(bank)
-    known = (
-        picked.join(wanted.select("username"), "username", "left_semi")
-        .select("username", F.col("pos").alias("place"), F.lit(None).cast("double").alias("weight"))
+    size = index.agg(F.count(F.lit(1))).scalar()
+    targets = stored(
+        wanted.select("username", size.alias("size"), "picks", F.lit(1.0).alias("free_weight")),
+        "targets",
+    )
+    known = picked.join(targets.select("username"), "username", "left_semi").select(
+        "username", F.col("pos").alias("place"), F.lit(None).cast("double").alias("weight")
     )
-    targets = wanted.select("username", size.alias("size"), "picks", F.lit(1.0).alias("free_weight"))
     places = draw(targets, known, ["username"], n, seed)
     return places.join(index, places["place"] == index["pos"]).select("username", "question_id")
 

@@ -120,9 +120,10 @@ def draw(
     ``targets``: keys, size (questions in the pool), picks, free_weight (weight
     of every question not in ``known``). ``known``: keys, place (0-based index
     in the pool), weight; a null weight means the question may not be drawn.
-    Returns keys, rank, place.
+    Returns keys, rank, place. ``targets`` is read twice, so it should be a
+    stored table or cheap to compute.
     """
-    targets, known = stored(targets, "targets"), stored(known, "known")
+    known = stored(known, "known")
     listed = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_known"))
     pools = targets.join(listed, keys, "left").withColumn(
         "free", F.col("size") - F.coalesce("n_known", F.lit(0))

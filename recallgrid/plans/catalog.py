@@ -408,10 +408,17 @@ def quiz_page_questions(spark, sf):
     return derived.flat_question(html_items.quiz_questions(raw).where("parsed"))
 
 
+def _exam_items(spark, sf):
+    """Parsed once: numbering reads the items and their counts per file."""
+    pages = derived.quiz_pages(spark, sf, marked=False)
+    raw = stored(html_items.raw_items(pages, "quiz"), "raw-items")
+    items = html_items.exam_quiz_questions(raw)
+    return items.withColumn("reconstruction_name", F.col("folder"))
+
+
 @query
 def exam_page_questions(spark, sf):
-    raw = html_items.raw_items(derived.quiz_pages(spark, sf, marked=False), "quiz")
-    items = html_items.exam_quiz_questions(raw).withColumn("reconstruction_name", F.col("folder"))
+    items = _exam_items(spark, sf)
     numbered = exams.number_exam(items)
     exam = html_items.as_exam(numbered, "exam_quiz", "exam")
     return derived.flat_question(exam, "reconstruction_name", "reconstruction_order")
@@ -419,8 +426,7 @@ def exam_page_questions(spark, sf):
 
 @query
 def exam_numbers_as_published(spark, sf):
-    raw = html_items.raw_items(derived.quiz_pages(spark, sf, marked=False), "quiz")
-    items = html_items.exam_quiz_questions(raw).withColumn("reconstruction_name", F.col("folder"))
+    items = _exam_items(spark, sf)
     return exams.number_exam(items, keep_collisions=True).select(
         "reconstruction_name", "question_number", "reconstruction_order"
     )
