@@ -22,7 +22,7 @@ from recallgrid.operators import (
     stats,
 )
 from recallgrid.operators.performance import answer_progress, performance
-from recallgrid.plans import derived
+from recallgrid.plans import build_bank, derived
 from recallgrid.plans import fixtures as X
 from recallgrid.sources.storage import new_path, stored
 from recallgrid.streaming import answers as stream
@@ -319,7 +319,7 @@ def classifier_prompts(spark, sf):
         F.col("source_file").alias("correct_answer"),
         F.col("source_type").alias("explanation"),
     )
-    return classify.prompts(bank).select("question_id", F.length("prompt").alias("prompt_length"))
+    return classify.prompts(bank).select("question_id", F.md5("prompt").alias("prompt_md5"))
 
 
 # --- Validation --------------------------------------------------------------
@@ -450,6 +450,42 @@ def plain_page_items(spark, sf):
     )
 
 
+def _build_sources(spark, sf):
+    """Exams first, then courses by module, then the quiz pages, as one bank."""
+
+    def named(pages):
+        return pages.withColumn("source_file", F.concat("stem", F.lit(".html")))
+
+    return [
+        build_bank.Source(named(derived.quiz_pages(spark, sf, marked=False)), "quiz", "exam", exam_prefix="exam_quiz"),
+        build_bank.Source(named(derived.accordion_pages(spark, sf)), "accordion", "course", by_folder=True),
+        build_bank.Source(named(derived.quiz_pages(spark, sf)), "quiz", "quiz"),
+    ]
+
+
+@query
+def bank_from_pages(spark, sf):
+    """The whole way from saved pages to a bank with topics."""
+    no_history = spark.createDataFrame([], "question_id string, topic string, ordinal bigint")
+    bank = build_bank.build_bank(_build_sources(spark, sf), no_history, valid_topics=None)
+    return bank.select("question_id", "question_text", "topic", "topic_source", "source_type", "source_file")
+
+
+@query
+def bank_import(spark, sf):
+    """The whole way from raw JSON into the stored bank: new content of the table."""
+    table = derived.typed_bank(spark, sf)
+    raw = derived.raw_questions(spark, sf).join(
+        X.bank(spark, sf).select("question_id", "ordinal", "source_file"), "question_id"
+    ).withColumn("question_id", F.col("question_id").cast("string"))
+    content, _, _ = build_bank.import_bank(
+        raw, table, derived.image_map(spark, sf), derived.at(derived.CHANGED_AT), update=True
+    )
+    return content.select(
+        "question_id", "topic", F.size("answer_options").alias("n_options"), "source_type", "reconstruction_name"
+    )
+
+
 # --- Keyed tables ------------------------------------------------------------
 
 
@@ -488,7 +524,7 @@ def cards_updated(spark, sf):
     changes = cards.where("archived").select(
         "username",
         "id",
-        F.upper("front_text").alias("front_text"),
+        F.substring("front_text", 1, 6).alias("front_text"),
         F.lit("seen").alias("back_text"),
         F.lit("t").alias("topic"),
     )

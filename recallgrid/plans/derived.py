@@ -282,6 +282,23 @@ def stored_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def typed_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as stored questions with every column of the table."""
+    labels = table(spark, sf_dir, "labels")
+    known = {
+        "question_id": F.col("doc_id").cast("string"),
+        "topic": F.concat(F.lit("h"), F.col("quality").cast("string")),
+        "created_at": at(STORED_AT),
+        "updated_at": at(STORED_AT),
+    }
+    return labels.select(
+        *[
+            known.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in S.QUESTIONS.fields
+        ]
+    )
+
+
 def changed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents get a new topic; benchmark items come in as new questions.
 

@@ -1,6 +1,7 @@
 """The same queries as SQL over the same tables, to check results against."""
 
 from recallgrid import schemas as S
+from recallgrid.operators.classify import PROMPT
 from recallgrid.plans.catalog import EXAM_SIZE, SEED
 
 ORACLES = {}
@@ -419,6 +420,14 @@ ORACLES["categories_attached"] = """
 ORACLES["not_yet_classified"] = """
     SELECT doc_id AS question_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"""
 
+_PROMPT_TOPICS = "\n".join(f"- {t}" for t in S.VALID_TOPICS)
+_PROMPT = PROMPT.replace("'", "''").split("%s")
+_PROMPT_SQL = (
+    f"'{_PROMPT[0]}' || '{_PROMPT_TOPICS}' || '{_PROMPT[1]}' || text || '{_PROMPT[2]}' || source"
+    f" || '{_PROMPT[3]}' || lang || '{_PROMPT[4]}'"
+)
+ORACLES["classifier_prompts"] = f"SELECT doc_id AS question_id, md5({_PROMPT_SQL}) AS prompt_md5 FROM documents"
+
 # --- Validation --------------------------------------------------------------
 
 _BLANK = f"regexp_replace(text, '{_SPACES}', '', 'g') = ''"
@@ -541,6 +550,28 @@ ORACLES["plain_page_items"] = """
     SELECT page_id, CAST(len(regexp_extract_all(html, 'class="que[^"]*multichoice|id="question-[0-9]+-[0-9]+')) AS BIGINT) AS items
     FROM pages"""
 
+_TEXT_KEY = "lower(trim(substr(question_text, 1, 100)))"
+ORACLES["bank_from_pages"] = f"""
+    WITH s AS MATERIALIZED (
+        SELECT 0 AS rank, p_brand AS folder, p_partkey AS place, p_name || ' ' || p_type AS question_text,
+               'exam_quiz_' || regexp_replace(lower(p_brand), '[^a-zA-Z0-9_]', '_', 'g') || '_' || {_RAW_ID} AS question_id,
+               '' AS topic, 'exam' AS source_type FROM part
+        UNION ALL SELECT 1, p_brand, p_partkey, p_name || '?', p_brand || '_' || p_partkey, p_brand, 'course' FROM part
+        UNION ALL SELECT 2, p_brand, p_partkey, p_name || ' ' || p_type, {_RAW_ID}, '', 'quiz' FROM part)
+    SELECT question_id, question_text, CASE WHEN topic = '' THEN 'Sin clasificar' ELSE topic END AS topic,
+           CASE WHEN topic = '' THEN 'still_unclassified' ELSE 'already_had_topic' END AS topic_source,
+           source_type, lpad(place::VARCHAR, 12, '0') || '.html' AS source_file
+    FROM (SELECT *, row_number() OVER (PARTITION BY {_TEXT_KEY} ORDER BY rank, folder, place) AS r FROM s)
+    WHERE r = 1"""
+_VALID_RAW = f"lang IN ('fr', 'de') AND doc_id % 8 IN (0, 7) AND NOT ({_BLANK})"
+ORACLES["bank_import"] = f"""
+    SELECT CAST(doc_id AS VARCHAR) AS question_id,
+           CASE WHEN {_VALID_RAW} THEN lang ELSE 'h' || quality END AS topic,
+           CASE WHEN {_VALID_RAW} THEN 2 END AS n_options,
+           CASE WHEN {_VALID_RAW} THEN lang END AS source_type,
+           CASE WHEN {_VALID_RAW} AND doc_id % 8 = 0 THEN 'exam' END AS reconstruction_name
+    FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NOT NULL OR ({_VALID_RAW})"""
+
 # --- Keyed tables ------------------------------------------------------------
 
 ORACLES["bank_upsert"] = sql(
@@ -564,6 +595,19 @@ ORACLES["card_outcomes"] = sql(
 ORACLES["active_cards"] = sql(
     ["cards"], "SELECT username, id, front_text FROM cards WHERE NOT archived"
 )
+ORACLES["cards_updated"] = sql(
+    ["cards"],
+    """SELECT c.username, c.id, CASE WHEN a.id IS NULL THEN c.front_text ELSE a.new_front END AS front_text,
+       CASE WHEN a.id IS NULL THEN c.back_text ELSE 'seen' END AS back_text,
+       CASE WHEN a.id IS NULL THEN c.topic ELSE 't' END AS topic, c.archived
+       FROM cards c LEFT JOIN applied a ON a.username = c.username AND a.id = c.id""",
+    {
+        "wanted": """SELECT username, id, substr(front_text, 1, 6) AS new_front, row_number() OVER (
+                     PARTITION BY username, substr(front_text, 1, 6) ORDER BY id) AS r FROM cards WHERE archived""",
+        "applied": """SELECT * FROM wanted w WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM cards c
+                      WHERE c.username = w.username AND c.front_text = w.new_front AND c.id <> w.id)""",
+    },
+)
 ORACLES["cards_archived"] = sql(
     ["cards"], "SELECT username, id, archived OR length(back_text) > 400 AS archived FROM cards"
 )

@@ -90,10 +90,8 @@ def read_pages(
 
     ``folder`` is the module or exam a page belongs to.
     """
-    reader = spark.read.option("wholetext", True)
-    if recursive:
-        reader = reader.option("recursiveFileLookup", True)
-    pages = reader.option("pathGlobFilter", "*.{html,htm}").text(path)
+    reader = spark.read.option("recursiveFileLookup", recursive)
+    pages = reader.option("pathGlobFilter", "*.{html,htm}").text(path, wholetext=True)
     path_column = F.col("_metadata.file_path")
     out = pages.select(
         path_column.alias("path"),
