@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from recallgrid.schemas import PREFIX_LENGTH
 
 # White space in the Unicode sense plus the four ASCII separators.
-_SPACE = r"[\s\x1c-\x1f]"
+_SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 NOT_SPACE = r"(?U)[^\s\x1c-\x1f]"
-_EDGES = rf"(?U)^{_SPACE}+|{_SPACE}+$"
 
 # Fixed patterns of the source pages.
 _OPTION_LETTER = r"^([a-e])\)\s*"
@@ -24,7 +26,7 @@ _STATED_FALLBACK = "correcta"
 
 def strip(text: Column) -> Column:
     """Trim all white space; Spark's ``trim`` removes spaces only."""
-    return F.regexp_replace(text, _EDGES, "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def prefix_key(text: Column, length: int = PREFIX_LENGTH) -> Column:

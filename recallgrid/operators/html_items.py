@@ -37,6 +37,7 @@ CARD_CLASS = "accordion-item"
 CARD_TARGET = re.compile("question_")
 CARD_COLOUR = "#CFFCE4"
 
+ITEM_SLICE = 5000
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "wbr"}
 
 RAW_FIELDS = (
@@ -187,7 +188,9 @@ def _card_items(page):
 def raw_items(pages: DataFrame, layout: str) -> DataFrame:
     """One row per item of each page; a page that cannot be read gives one error row.
 
-    ``pages`` has an ``html`` column; its other columns are repeated per item.
+    ``pages`` is a plain scan with an ``html`` column; its other columns are
+    repeated per item. It is shuffled only if it has fewer partitions than there
+    are cores.
     """
     parse = {"quiz": _quiz_items, "accordion": _card_items}[layout]
     carried = [c for c in pages.columns if c != "html"]
@@ -205,9 +208,13 @@ def raw_items(pages: DataFrame, layout: str) -> DataFrame:
                     rows.append(kept | {"idx": -1, "error": str(error)})
             out = pd.DataFrame(rows, columns=carried + fields, dtype=object)
             # Pages of very different size share a batch; hand items on in slices.
-            for start in range(0, len(out), 5000):
-                yield out.iloc[start : start + 5000]
+            for start in range(0, len(out), ITEM_SLICE):
+                yield out.iloc[start : start + ITEM_SLICE]
 
+    # A scan of few files gives few tasks, too few for a step bound by Python.
+    context = pages.sparkSession.sparkContext
+    if pages.rdd.getNumPartitions() < context.defaultParallelism:
+        pages = pages.repartition(context.defaultParallelism)
     kept_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*carried).schema)
     schema = f"{kept_schema}, {RAW_FIELDS}" if carried else RAW_FIELDS
     return pages.mapInPandas(items_of, schema)

@@ -178,29 +178,42 @@ def replay_answers(backup: DataFrame, next_id: int) -> DataFrame:
     )
 
 
-def cards_as_json(cards: DataFrame, users: DataFrame | None = None) -> DataFrame:
-    """Active cards of each learner as one JSON array, newest first.
+def card_lines(cards: DataFrame) -> DataFrame:
+    """Active cards as JSON objects, one row per card: the form for bulk export.
 
-    Learners without cards get ``[]`` when ``users`` is given. For bulk export
-    write ``active_cards`` with ``write.json`` instead: one document per learner
-    is the format, and it is as large as the learner's own deck.
+    No learner's deck is gathered, so one very large deck is written by many tasks.
+    """
+    card = F.struct("front_text", "back_text", "topic")
+    return active_cards(cards).select(
+        "username", "id", F.to_json(card, {"ignoreNullFields": "false"}).alias("card_json")
+    )
+
+
+def cards_from_lines(lines: DataFrame) -> DataFrame:
+    card = F.from_json("card_json", CARD_JSON.elementType)
+    return lines.withColumn("c", card).select(
+        "username", F.col("id").alias("ordinal"), "c.front_text", "c.back_text", "c.topic"
+    )
+
+
+def deck_as_json(cards: DataFrame, user) -> DataFrame:
+    """The download of one learner: all active cards as one JSON array, newest first.
+
+    Always one row, ``[]`` without cards.
     """
     card = F.struct("created_at", "id", "front_text", "back_text", "topic")
     ordered = F.reverse(F.array_sort(F.collect_list(card)))
-    fields = F.transform(ordered, lambda c: F.struct(
-        c["front_text"].alias("front_text"), c["back_text"].alias("back_text"), c["topic"].alias("topic")
-    ))
-    out = (
-        active_cards(cards)
-        .groupBy("username")
-        .agg(F.to_json(fields, {"ignoreNullFields": "false"}).alias("cards_json"))
+    fields = F.transform(
+        ordered,
+        lambda c: F.struct(
+            c["front_text"].alias("front_text"),
+            c["back_text"].alias("back_text"),
+            c["topic"].alias("topic"),
+        ),
     )
-    if users is None:
-        return out
-    return (
-        users.select("username")
-        .join(out, "username", "left")
-        .withColumn("cards_json", F.coalesce("cards_json", F.lit("[]")))
+    mine = active_cards(cards).where(F.col("username") == F.lit(user))
+    return mine.agg(F.to_json(fields, {"ignoreNullFields": "false"}).alias("json")).select(
+        F.lit(user).alias("username"), "json"
     )
 
 

@@ -550,11 +550,10 @@ def progress_reset(spark, sf):
 
 
 @query
-def card_documents(spark, sf):
-    cards = X.cards(spark, sf).withColumn("created_at", F.col("id"))
-    documents = maintenance.cards_as_json(cards, cards.select("username").distinct())
-    back = maintenance.cards_from_json(documents.withColumnRenamed("cards_json", "json"))
-    return back.select("username", "ordinal", "front_text", "back_text")
+def cards_exported(spark, sf):
+    """Export and import again: every active card comes back."""
+    lines = maintenance.card_lines(X.cards(spark, sf))
+    return maintenance.cards_from_lines(lines).drop("topic")
 
 
 # --- Sampling and recommendation ---------------------------------------------

@@ -619,10 +619,8 @@ ORACLES["progress_reset"] = sql(
        UNION ALL SELECT 'cards', count(*) FROM cards""",
     {"gone": "SELECT DISTINCT username FROM dperf WHERE streak >= 2 AND priority_score < -5"},
 )
-ORACLES["card_documents"] = sql(
-    ["cards"],
-    """SELECT username, CAST(row_number() OVER (PARTITION BY username ORDER BY id DESC) - 1 AS INT) AS ordinal,
-       front_text, back_text FROM cards WHERE NOT archived""",
+ORACLES["cards_exported"] = sql(
+    ["cards"], "SELECT username, id AS ordinal, front_text, back_text FROM cards WHERE NOT archived"
 )
 
 # --- Sampling and recommendation ---------------------------------------------

@@ -52,12 +52,14 @@ def test_cards(spark):
     cards = spark.createDataFrame(
         [("u", 1, "f", "b", None, 1, False), ("u", 2, "g", "b", "t", 2, False), ("v", 3, "f", "b", None, 3, True)], schema
     )
-    documents = {r.username: r.cards_json for r in maintenance.cards_as_json(cards, cards.select("username").distinct()).collect()}
+    documents = {u: maintenance.deck_as_json(cards, u).first().json for u in "uv"}
     assert json.loads(documents["u"]) == [
         {"front_text": "g", "back_text": "b", "topic": "t"},
         {"front_text": "f", "back_text": "b", "topic": None},
     ]
     assert documents["v"] == "[]"
+    lines = maintenance.cards_from_lines(maintenance.card_lines(cards))
+    assert {(r.username, r.front_text, r.topic) for r in lines.collect()} == {("u", "f", None), ("u", "g", "t")}
     incoming = spark.createDataFrame([("w", documents["u"]), ("u", documents["u"])], "username string, json string")
     marked = maintenance.insert_new(cards, maintenance.cards_from_json(incoming), ["username", "front_text"], ["ordinal"])
     assert {r.outcome: r.n for r in maintenance.outcome_counts(marked).collect()} == {"inserted": 2, "skipped": 2}
