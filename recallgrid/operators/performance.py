@@ -72,24 +72,22 @@ def single_answers(rows: pd.DataFrame) -> pd.DataFrame:
 
 def compose_runs(parts: pd.DataFrame) -> pd.DataFrame:
     """Compose neighbouring partials of the same key, pairwise until one is left."""
-    parts = parts.reset_index(drop=True)
-    while True:
-        same = np.ones(len(parts) - 1, dtype=bool)
-        for name in KEY:
-            column = parts[name].to_numpy()
-            same &= column[1:] == column[:-1]
-        if not same.any():
-            return parts
+    same = np.ones(max(len(parts) - 1, 0), dtype=bool)
+    for name in KEY:
+        column = parts[name].to_numpy()
+        same &= column[1:] == column[:-1]
+    firsts = np.flatnonzero(np.r_[True, ~same])
+    run = np.cumsum(np.r_[True, ~same])
+    p = {c: parts[c].to_numpy() for c in ("last_at", "attempts", "correct", "streak", "add", "lo", "hi")}
+    while len(run) > len(firsts):
+        same = run[1:] == run[:-1]
         starts = np.flatnonzero(np.r_[True, ~same])
-        lengths = np.diff(np.r_[starts, len(parts)])
-        place = np.arange(len(parts)) - np.repeat(starts, lengths)
-        left_side = place % 2 == 0
-        kept = np.flatnonzero(left_side)
+        place = np.arange(len(run)) - np.repeat(starts, np.diff(np.r_[starts, len(run)]))
+        kept = np.flatnonzero(place % 2 == 0)
         paired = np.r_[same, False][kept]
-        left = {c: parts[c].to_numpy()[kept[paired]] for c in parts.columns}
-        right = {c: parts[c].to_numpy()[kept[paired] + 1] for c in parts.columns}
+        left = {c: v[kept[paired]] for c, v in p.items()}
+        right = {c: v[kept[paired] + 1] for c, v in p.items()}
         all_right = right["streak"] == right["attempts"]
-        out = parts.iloc[kept].reset_index(drop=True)
         merged = {
             "last_at": right["last_at"],
             "attempts": left["attempts"] + right["attempts"],
@@ -99,9 +97,11 @@ def compose_runs(parts: pd.DataFrame) -> pd.DataFrame:
             "lo": np.clip(left["lo"] + right["add"], right["lo"], right["hi"]),
             "hi": np.clip(left["hi"] + right["add"], right["lo"], right["hi"]),
         }
-        for name, values in merged.items():
-            out.loc[paired, name] = values
-        parts = out
+        p = {c: v[kept] for c, v in p.items()}
+        for c, values in merged.items():
+            p[c][paired] = values
+        run = run[kept]
+    return parts.iloc[firsts].reset_index(drop=True).assign(**p)
 
 
 def _fold_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

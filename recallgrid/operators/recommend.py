@@ -455,11 +455,14 @@ def _fill_up(users, picked, index, n, seed):
 
 def _draw_rest(wanted, picked, index, n, seed):
     """Uniform draw from the bank without the questions already picked."""
+    picked = picked.select("username", "question_id", "pos")
     size = index.agg(F.count(F.lit(1))).scalar()
     targets = stored(
         wanted.select("username", size.alias("size"), "picks", F.lit(1.0).alias("free_weight")),
         "targets",
     )
+    if targets.isEmpty():
+        return picked.select("username", "question_id").limit(0)
     known = picked.join(targets.select("username"), "username", "left_semi").select(
         "username", F.col("pos").alias("place"), F.lit(None).cast("double").alias("weight")
     )
