@@ -14,6 +14,7 @@ from recallgrid.operators import (
     exams,
     html_items,
     images,
+    lookups,
     maintenance,
     mastery,
     quality,
@@ -197,6 +198,45 @@ def extraction_profile(spark, sf):
     return stats.extraction_profile(derived.image_bank(spark, sf))
 
 
+# --- Parts of the bank and the log --------------------------------------------
+
+
+@query
+def questions_of_topics(spark, sf):
+    found = lookups.of_topics(X.questions(spark, sf), "PROMO", "SMALL")
+    return found.select("question_id", "question_number", "topic")
+
+
+@query
+def answered_bank(spark, sf):
+    """Questions looked up by the ids in the answer log."""
+    return lookups.by_ids(X.questions(spark, sf), X.answers(spark, sf)).select("question_id", "topic")
+
+
+@query
+def questions_with_images(spark, sf):
+    return lookups.with_images(derived.image_bank(spark, sf)).select(
+        "question_id", F.size("images").alias("n_images")
+    )
+
+
+@query
+def learners(spark, sf):
+    return stats.learners(X.answers(spark, sf))
+
+
+@query
+def repeated_topics(spark, sf):
+    return recommend.repeated_topic(X.impressions(spark, sf), X.questions(spark, sf))
+
+
+@query
+def next_topic(spark, sf):
+    """The weakest topic, untouched topics included."""
+    q, a, perf = _sparse(spark, sf)
+    return mastery.weakest_topic(mastery.all_topic_masteries(perf, q, stats.learners(a)))
+
+
 # --- Exams -------------------------------------------------------------------
 
 

@@ -323,6 +323,33 @@ ORACLES["extraction_profile"] = sql(
        UNION ALL SELECT 'duplicate_ids', NULL, count(*) - count(DISTINCT question_id) FROM image_bank""",
 )
 
+# --- Parts of the bank and the log --------------------------------------------
+
+ORACLES["questions_of_topics"] = """
+    SELECT p_partkey AS question_id, p_partkey::VARCHAR AS question_number, p_type AS topic
+    FROM part WHERE p_type IN ('PROMO', 'SMALL')"""
+ORACLES["answered_bank"] = sql(
+    ["questions", "answers"],
+    "SELECT question_id, topic FROM questions WHERE question_id IN (SELECT question_id FROM answers)",
+)
+ORACLES["questions_with_images"] = sql(
+    ["image_bank"],
+    "SELECT question_id, CAST(len(images) AS INT) AS n_images FROM image_bank WHERE len(images) > 0",
+)
+ORACLES["learners"] = "SELECT DISTINCT user_id AS username FROM events"
+ORACLES["repeated_topics"] = sql(
+    ["shown", "questions"],
+    """SELECT username, min(topic) AS topic FROM (
+           SELECT *, row_number() OVER (PARTITION BY username ORDER BY shown_at DESC, id DESC) AS age FROM shown)
+       JOIN questions USING (question_id) WHERE age <= 3
+       GROUP BY username HAVING count(*) = 3 AND min(topic) = max(topic)""",
+)
+ORACLES["next_topic"] = sql(
+    ["perf"],
+    f"""SELECT username, topic FROM (SELECT *, row_number() OVER (PARTITION BY username
+        ORDER BY level, accuracy, topic) AS r FROM ({_masteries('perf')})) WHERE r = 1""",
+)
+
 # --- Exams -------------------------------------------------------------------
 
 _PROGRESS = """

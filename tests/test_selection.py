@@ -193,3 +193,5 @@ def test_session_pick(spark, bank):
     few = bank.where("question_id in (0, 3, 6, 9)")
     again = Counter(r.question_id for r in recommend.adaptive_pick(users, perf, shown, few, "s").collect())
     assert {6, 9} <= set(again) and sum(again.values()) == n
+    in_topic = recommend.adaptive_pick(users, perf, shown, bank, "s", "b").collect()
+    assert len(in_topic) == n and all(r.question_id % 3 == 1 for r in in_topic)

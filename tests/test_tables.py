@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recallgrid import schemas as S
-from recallgrid.operators import enrich, images, maintenance
+from recallgrid.operators import dedup, enrich, exams, images, lookups, maintenance, spine
 from recallgrid.operators.quality import CheckFailed
 from recallgrid.plans import build_bank
 from recallgrid.sources import readers, writers
@@ -87,6 +87,59 @@ def test_clear_and_replay(spark):
     assert [f.name for f in maintenance.replay_answers(backup, 5).schema] == [f.name for f in S.ANSWERS]
 
 
+def test_parts_of_the_bank(spark):
+    bank = spark.createDataFrame(
+        [("b", "2", "t", ["u"], 0), ("a", "1", "t", [], 1), ("c", "3", "s", [], 2)],
+        "question_id string, question_number string, topic string, images array<string>, ordinal int",
+    )
+    ids = lambda frame: [r.question_id for r in frame.collect()]
+    assert ids(lookups.of_topics(bank, "t")) == ["a", "b"]
+    assert ids(lookups.by_id(bank, "c")) == ["c"] and ids(lookups.by_id(bank, "x")) == []
+    assert ids(lookups.with_images(bank)) == ["b"]
+    assert ids(lookups.first_rows(bank, 2)) == ["b", "a"]
+    renamed = lookups.rename_category(bank.withColumn("category", F.lit("k")))
+    assert "category" not in renamed.columns and renamed.first().topic == "k"
+    with pytest.raises(ValueError):
+        lookups.by_id(bank, *range(2000))
+
+
+def test_exam_of_one_learner(spark):
+    bank = spark.createDataFrame(
+        [("a", "E1", 2), ("b", "E1", 1), ("c", "E2", 1), ("d", None, None)],
+        "question_id string, reconstruction_name string, reconstruction_order bigint",
+    )
+    answers = spark.createDataFrame(
+        [("u", "a", True)] * 3 + [("u", "d", True), ("v", "c", False)],
+        "username string, question_id string, is_correct boolean",
+    )
+    rows = [tuple(r) for r in exams.exam_progress_of(answers, bank, "u").collect()]
+    assert rows == [("u", "E1", 2, 1, 3, 300.0, 50.0), ("u", "E2", 1, 0, 0, 0.0, 0.0)]
+    assert [r.question_id for r in exams.exam_questions(bank, "E1").collect()] == ["b", "a"]
+    complete = exams.exam_progress_all(answers, bank)
+    assert complete.count() == 4
+    assert [tuple(r) for r in complete.where("username = 'u'").collect()] == rows
+
+
+def test_too_many_values_stop_the_complete_report(spark, monkeypatch):
+    monkeypatch.setattr(spine, "MAX_VALUES", 2)
+    users = spark.createDataFrame([("u",)], "username string")
+    names = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
+    assert spine.with_every(users, names.where("name < 'c'")).count() == 2
+    with pytest.raises(Exception, match="sparse report"):
+        spine.with_every(users, names).collect()
+
+
+def test_deduplication_is_stable(spark):
+    rows = [(i, f"  Text {i % 7}" + " " * (i % 3), i % 3, i) for i in range(60)]
+    bank = spark.createDataFrame(rows, "question_id int, question_text string, source_rank int, ordinal int")
+    once = dedup.drop_text_duplicates(bank)
+    kept = {r.question_id for r in once.collect()}
+    assert len(kept) == 7 and kept == {r.question_id for r in dedup.drop_text_duplicates(once).collect()}
+    for r in once.collect():
+        same = [(x[2], x[3]) for x in rows if x[1].strip() == r.question_text.strip()]
+        assert (r.source_rank, r.ordinal) == min(same)
+
+
 def test_topic_lookup_order(spark):
     bank = spark.createDataFrame([("a", " "), ("b", "own"), ("c", ""), ("d", None)], "question_id string, topic string")
     lookup = "question_id string, topic string, ordinal bigint"
