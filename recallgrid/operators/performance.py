@@ -198,6 +198,11 @@ def _score():
     return F.least(F.col("hi"), F.greatest(F.col("lo"), start + F.col("add")))
 
 
+def refresh_partials(known: DataFrame, new_answers: DataFrame) -> DataFrame:
+    """Stored partials with later answers folded in; the old log is not read again."""
+    return merge_partials(known.unionByName(answer_partials(new_answers)))
+
+
 def performance(answers: DataFrame, questions: DataFrame) -> DataFrame:
     """The learner-state table computed from the whole answer log."""
     return performance_from_partials(answer_partials(answers), questions)

@@ -5,7 +5,6 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallgrid import schemas as S
 from recallgrid.functions import text
 from recallgrid.operators import (
     classify,

@@ -1,6 +1,6 @@
 """Sinks with the checks that belong to them."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from recallgrid.operators.dedup import duplicate_report
@@ -13,14 +13,18 @@ def write_questions(questions: DataFrame, path: str, validate: bool = True) -> i
     """JSON sink: not empty, no id twice, and as many rows read back as written.
 
     Needs an ``ordinal`` column for the duplicate report; it is not written.
+    The checks and the write each read the input: pass a stored frame.
     """
     require_rows(questions, "questions to write")
     if validate:
         require_none(duplicate_report(questions), "duplicate question ids", shown=10)
     rows = questions.drop("ordinal", "source_rank")
-    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    # Counted while they are written, so nothing is computed twice for it.
+    passed = Observation("written")
+    counted = rows.observe(passed, F.count(F.lit(1)).alias("n"))
+    counted.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    expected = passed.get["n"]
     written = questions.sparkSession.read.schema(rows.schema).json(path)
-    expected = questions.count()
     require_count(written, expected, f"rows in {path}")
     return expected
 

@@ -116,6 +116,14 @@ def test_cut_anywhere(history, cut):
     assert -10.0 <= score <= 50.0
 
 
+def test_refresh_day_by_day(spark, bank):
+    answers = spark.createDataFrame(rows(VECTORS), ANSWER)
+    middle = T0 + datetime.timedelta(seconds=50)
+    early, late = answers.where(answers.answered_at <= middle), answers.where(answers.answered_at > middle)
+    partials = P.refresh_partials(P.merge_partials(P.answer_partials(early)), late)
+    assert state(P.performance_from_partials(partials, bank)) == {k: loop(v) for k, v in VECTORS.items()}
+
+
 def write_batches(spark, folder, histories, n):
     """Answers as n files in time order."""
     data = rows(histories)
