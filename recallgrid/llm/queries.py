@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from recallgrid.llm import mixing, rules, simhash, token_counts
+from recallgrid.llm import lines, mixing, neighbours, pii, rules, simhash, token_counts
 from recallgrid.llm.common import table
 
 
+def op1_personal_data(spark, sf_dir):
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op2_source_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -16,6 +20,10 @@ def op3_simhash_groups(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_repeated_units(spark, sf_dir):
+    return lines.repeated_units(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark, sf_dir):
     path = public_tokenizers.path("word_bpe_49k.json")
     return token_counts.token_counts(table(spark, sf_dir, "documents"), path)
@@ -25,6 +33,22 @@ def op9_quality_votes(spark, sf_dir):
     return rules.quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op3_simhash_groups, op7_token_counts, op9_quality_votes)}
+def op10_nearest_vectors(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors.filter("vec_id % 100 = 0"), vectors)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_personal_data,
+        op2_source_mix,
+        op3_simhash_groups,
+        op4_repeated_units,
+        op7_token_counts,
+        op9_quality_votes,
+        op10_nearest_vectors,
+    )
+}
 #: None of the operators is expressible in SQL as a whole; tests hold them against brute force.
 ORACLES: dict[str, str] = {}
