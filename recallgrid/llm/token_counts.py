@@ -16,7 +16,7 @@ ENCODE_BYTES = 1 << 18
 #: A longer segment is encoded on its own and not remembered.
 LONG_SEGMENT = 256
 
-_WORKERS: dict[str, SegmentCounts] = {}
+_HELD: dict[str, SegmentCounts] = {}
 
 
 class SegmentCounts(dict):
@@ -53,11 +53,11 @@ class SegmentCounts(dict):
         n = 0
         for piece in pieces(data):
             words = piece.split()
-            new = set(words).difference(self)
+            new = [w for w in set(words) if w not in self]
             if new:
                 if len(self) + len(new) > REMEMBERED:
                     self.clear()
-                    new = set(words)
+                    new = list(set(words))
                 self.learn(new)
             n += sum(map(self.__getitem__, words))
             for word in new:
@@ -66,17 +66,27 @@ class SegmentCounts(dict):
         return n
 
 
+def held(path: str) -> SegmentCounts:
+    """The counts of this Python worker, kept from task to task."""
+    if path not in _HELD:
+        _HELD[path] = SegmentCounts(path)
+    return _HELD[path]
+
+
 def _counts(path: str, limit: int):
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _WORKERS.get(path) or _WORKERS.setdefault(path, SegmentCounts(path))
+        # Imported here, as the functions that Spark sends carry copies of their globals.
+        from recallgrid.llm import token_counts
+
+        counts = token_counts.held(path)
         for batch in batches:
-            held = texts(batch)
-            n = [counts.total(x) for x in held]
-            yield batch_of(schema, [batch.column(0), [len(x) for x in held], n, [x > limit for x in n]])
+            data = texts(batch)
+            n = [counts.total(x) for x in data]
+            yield batch_of(schema, [batch.column(0), [len(x) for x in data], n, [x > limit for x in n]])
 
     return run
 
