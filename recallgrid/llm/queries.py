@@ -4,7 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from recallgrid.llm import lines, mixing, neighbours, pii, rules, simhash, token_counts
+from recallgrid.llm import (
+    language,
+    lines,
+    mixing,
+    neighbours,
+    pieces,
+    pii,
+    rules,
+    simhash,
+    token_counts,
+    toxicity,
+)
 from recallgrid.llm.common import table
 
 
@@ -24,11 +35,24 @@ def op4_repeated_units(spark, sf_dir):
     return lines.repeated_units(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_piece_segmentation(spark, sf_dir):
+    return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_token_counts(spark, sf_dir):
     path = public_tokenizers.path("word_bpe_49k.json")
     return token_counts.token_counts(table(spark, sf_dir, "documents"), path)
 
 
+def op8_language(spark, sf_dir):
+    evidence = language.page_evidence(table(spark, sf_dir, "pages"))
+    return language.identify(table(spark, sf_dir, "documents"), evidence)
+
+
 def op9_quality_votes(spark, sf_dir):
     return rules.quality(table(spark, sf_dir, "documents"))
 
@@ -45,7 +69,10 @@ QUERIES = {
         op2_source_mix,
         op3_simhash_groups,
         op4_repeated_units,
+        op5_toxicity,
+        op6_piece_segmentation,
         op7_token_counts,
+        op8_language,
         op9_quality_votes,
         op10_nearest_vectors,
     )
