@@ -11,6 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession  # noqa: E402
 
 from recallgrid.plans.catalog import QUERIES  # noqa: E402
+from recallgrid.sources.storage import scratch  # noqa: E402
 
 HEADLINE = [
     "accuracy_by_topic",
@@ -34,6 +35,12 @@ HEADLINE = [
     "next_unanswered",
     "next_topic_first",
     "exam_paper_challenging",
+    "exam_paper_balanced",
+    "next_adaptive",
+    "bank_import",
+    "bank_from_pages",
+    "cards_updated",
+    "learner_state_stream",
 ]
 
 
@@ -57,7 +64,8 @@ def main():
         times = []
         for _ in range(runs + 1):
             start = time.perf_counter()
-            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            with scratch(spark):
+                QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - start)
         # The first run warms up.
         seconds[name] = round(statistics.median(times[1:]), 3)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from recallgrid.functions.scoring import percent
 from recallgrid.operators.running import total_before
-from recallgrid.operators.spine import with_every
+from recallgrid.operators.complete import with_every
 from recallgrid.operators.stats import attempts_per_question, learners
 
 
@@ -45,10 +45,13 @@ def exam_progress(answers: DataFrame, questions: DataFrame) -> DataFrame:
     return _rates(done.join(exam_totals(questions), "name"))
 
 
-def exam_progress_all(answers: DataFrame, questions: DataFrame) -> DataFrame:
-    """Progress per learner and exam, untouched exams included with zeros."""
+def exam_progress_all(answers: DataFrame, questions: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """Progress per learner and exam, untouched exams included with zeros.
+
+    Without ``users`` the report is for all learners of the log.
+    """
     done = exam_progress(answers, questions).select("username", "name", "answered", "correct")
-    spine = with_every(learners(answers), exam_totals(questions))
+    spine = with_every(learners(answers) if users is None else users, exam_totals(questions))
     filled = spine.join(done, ["username", "name"], "left").withColumns(
         {c: F.coalesce(c, F.lit(0)) for c in ("answered", "correct")}
     )

@@ -78,7 +78,7 @@ class _Node:
                 stack.extend(reversed(child.children))
 
     def text(self, joint="", without=()):
-        pieces = (s.strip() for s in self.strings(without))
+        pieces = (s.strip() for s in self.strings((*without, "script", "style")))
         return joint.join(p for p in pieces if p)
 
 
@@ -106,7 +106,11 @@ class _Tree(HTMLParser):
             self.here = node.parent
 
     def handle_data(self, data):
-        self.here.children.append(data)
+        # The parser hands on a bare "<" as a piece of its own; neighbours are one text.
+        if self.here.children and isinstance(self.here.children[-1], str):
+            self.here.children[-1] += data
+        else:
+            self.here.children.append(data)
 
 
 def _text(node, **options):
@@ -185,12 +189,13 @@ def _card_items(page):
         }
 
 
-def raw_items(pages: DataFrame, layout: str) -> DataFrame:
+def raw_items(pages: DataFrame, layout: str, partitions: int | None = None) -> DataFrame:
     """One row per item of each page; a page that cannot be read gives one error row.
 
     ``pages`` is a plain scan with an ``html`` column; its other columns are
-    repeated per item. It is shuffled only if it has fewer partitions than there
-    are cores.
+    repeated per item. ``partitions`` deals the pages anew, for a scan of few
+    files. Set spark.sql.execution.arrow.maxBytesPerBatch to bound a batch of
+    long pages.
     """
     parse = {"quiz": _quiz_items, "accordion": _card_items}[layout]
     carried = [c for c in pages.columns if c != "html"]
@@ -211,10 +216,8 @@ def raw_items(pages: DataFrame, layout: str) -> DataFrame:
             for start in range(0, len(out), ITEM_SLICE):
                 yield out.iloc[start : start + ITEM_SLICE]
 
-    # A scan of few files gives few tasks, too few for a step bound by Python.
-    context = pages.sparkSession.sparkContext
-    if pages.rdd.getNumPartitions() < context.defaultParallelism:
-        pages = pages.repartition(context.defaultParallelism)
+    if partitions is not None:
+        pages = pages.repartition(partitions)
     kept_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*carried).schema)
     schema = f"{kept_schema}, {RAW_FIELDS}" if carried else RAW_FIELDS
     return pages.mapInPandas(items_of, schema)
@@ -348,7 +351,18 @@ def as_exam(items: DataFrame, prefix: str, source_type: str) -> DataFrame:
 
 
 def attribute_values(pages: DataFrame, tag: str, attribute: str, key: str) -> DataFrame:
-    """Non-empty attribute values of a tag per page, in page order (JVM only)."""
-    pattern = rf"(?is)<{tag}\b[^>]*?\b{attribute}\s*=\s*[\"']([^\"']+)[\"']"
+    """Non-empty attribute values of a tag per page, in page order (JVM only).
+
+    Quoted or bare; the entities that URLs carry are resolved.
+    """
+    value = r"""(\"[^\"]+\"|'[^']+'|[^\s\"'>]+)"""
+    pattern = rf"(?is)<{tag}\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?\s{attribute}\s*=\s*{value}"
     found = F.regexp_extract_all("html", F.lit(pattern), F.lit(1))
-    return pages.select(key, found.alias("values"))
+    return pages.select(key, F.transform(found, _plain_value).alias("values"))
+
+
+def _plain_value(value: Column) -> Column:
+    value = F.regexp_replace(value, r"""^[\"'](.*)[\"']$""", "$1")
+    for entity, character in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        value = F.replace(value, F.lit(entity), F.lit(character))
+    return value

@@ -81,8 +81,8 @@ def migration_status(classified: DataFrame) -> DataFrame:
 
 
 def pending_images(classified: DataFrame) -> DataFrame:
-    """Images still to be moved, with the name each gets in the store."""
-    name = storage_name(F.col("question_id"), F.col("pos"), F.col("url"))
+    """Images still to be moved, with the name each gets in the store; names count from 1."""
+    name = storage_name(F.col("question_id"), F.col("pos") + 1, F.col("url"))
     return classified.where(F.col("status") == "not_found").select(
         "question_id", "pos", "url", name.alias("storage_name")
     )

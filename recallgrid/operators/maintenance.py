@@ -164,8 +164,9 @@ def table_sizes(tables: dict[str, DataFrame]) -> DataFrame:
 def replay_answers(backup: DataFrame, next_id: int) -> DataFrame:
     """An old backup as answer rows that keep their time.
 
-    The performance table is then rebuilt from the whole log. Ids follow time
-    within a learner's question, which is all the fold needs.
+    The performance table is then rebuilt from the whole log, which the fold
+    orders by time. Ids are unique from next_id on and follow the rows of the
+    backup's files, so they only decide between answers of one instant.
     """
     return backup.select(
         (F.lit(next_id) + F.monotonically_increasing_id()).alias("id"),

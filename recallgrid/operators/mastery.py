@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallgrid.functions.scoring import mastery_level, mastery_status, percent, stars
-from recallgrid.operators.spine import with_every
+from recallgrid.operators.complete import first_missing, numbered, with_every
 from recallgrid.operators.stats import topic_performance
 
 
@@ -47,7 +47,8 @@ def all_topic_masteries(
 ) -> DataFrame:
     """As above for every topic: topics without answers stand at level 0.
 
-    Topics found only in the performance table are kept too.
+    Topics found only in the performance table are kept too. Every learner
+    meets every topic: for selection use ``listed_topics``.
     """
     users = performance.select("username").distinct() if users is None else users
     spine = with_every(users, questions.select("topic").distinct())
@@ -59,6 +60,30 @@ def all_topic_masteries(
     return _graded(filled)
 
 
+def listed_topics(
+    performance: DataFrame, questions: DataFrame, users: DataFrame, n: int = 1
+) -> DataFrame:
+    """Levels of each learner's own topics and of the first n untouched ones by name.
+
+    Untouched topics all stand at level 0 and accuracy 0, so among the lowest n
+    topics no other untouched one can be.
+    """
+    own = topic_masteries(performance).select("username", "topic", "level", "accuracy")
+    answered = (
+        performance.select("username", "question_id")
+        .join(questions.select("question_id", "topic"), "question_id")
+        .select("username", "topic")
+    )
+    # A moved question makes its new topic one of the learner's topics, without attempts there.
+    moved = answered.distinct().join(own, ["username", "topic"], "left_anti")
+    mine = own.select("username", F.col("topic").alias("value")).unionByName(moved.select("username", F.col("topic").alias("value")))
+    untouched = first_missing(users, mine, numbered(questions.select("topic")), n)
+    at_zero = moved.unionByName(untouched.withColumnRenamed("value", "topic")).select(
+        "username", "topic", mastery_level(F.lit(0.0), F.lit(0)).alias("level"), F.lit(0.0).alias("accuracy")
+    )
+    return own.unionByName(at_zero)
+
+
 def weakest_topic(levels: DataFrame) -> DataFrame:
     """Per learner the topic with the lowest (level, accuracy)."""
     worst = F.min_by("topic", F.struct("level", "accuracy", "topic"))

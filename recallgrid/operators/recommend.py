@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from recallgrid import schemas as S
 from recallgrid.functions.randomness import uniform
 from recallgrid.functions.scoring import weight_v1, weight_v2
-from recallgrid.operators.mastery import all_topic_masteries
+from recallgrid.operators.mastery import listed_topics
 from recallgrid.operators.sampling import (
     draw,
     index_bank,
@@ -166,17 +166,21 @@ def pick_within_topic(
     return places.join(index, ["topic", "idx"]).select("username", "topic", "question_id")
 
 
-def _open_topics(users, performance, questions):
-    """Topics a learner may be asked from, with how many questions are left."""
+def _open_topics(users, performance, questions, n=1):
+    """Topics a learner may be asked from, with how many questions are left.
+
+    Of the untouched topics only the first n by name: each has a question.
+    """
     mastered = (
         performance.where(is_mastered())
-        .join(questions.select("question_id"), "question_id", "left_semi")
+        .select("username", "question_id")
+        .join(questions.select("question_id", "topic"), "question_id")
         .groupBy("username", "topic")
         .agg(F.count(F.lit(1)).alias("n_mastered"))
     )
     sizes = topic_sizes(questions).select("topic", F.col("n").alias("size"))
     return (
-        all_topic_masteries(performance, questions, users)
+        listed_topics(performance, questions, users, n)
         .where(F.col("level") < 5)
         .join(sizes, "topic")
         .join(mastered, ["username", "topic"], "left")
@@ -376,7 +380,7 @@ def exam_challenging(
     in_order = Window.partitionBy("username").orderBy("level", "accuracy", "topic")
     earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
     targets = (
-        _open_topics(users, known_users, bank)
+        _open_topics(users, known_users, bank, n)
         .withColumn("turn", F.row_number().over(in_order))
         .withColumn("taken", F.coalesce(F.sum("available").over(earlier), F.lit(0)))
         .where(F.col("taken") < n)
@@ -408,7 +412,7 @@ def exam_balanced(
     seed: str,
     topics: list[str] | None = None,
 ) -> DataFrame:
-    """A third weak questions, the rest random without repeating them."""
+    """Up to a third weak questions, the rest random without repeating them; papers are full."""
     bank = _in_topics(questions, topics)
     index = index_bank(bank)
     size = index.agg(F.count(F.lit(1))).scalar()
@@ -433,7 +437,7 @@ def exam_balanced(
         .join(has_weak, "username", "left")
         .select(
             "username",
-            F.when(F.col("n_picked").isNotNull(), total - n_weak).otherwise(total).alias("picks"),
+            (total - F.coalesce("n_picked", F.lit(0))).alias("picks"),
         )
     )
     rest = _draw_rest(wanted, weak, index, n, seed + "/rest")
@@ -461,8 +465,6 @@ def _draw_rest(wanted, picked, index, n, seed):
         wanted.select("username", size.alias("size"), "picks", F.lit(1.0).alias("free_weight")),
         "targets",
     )
-    if targets.isEmpty():
-        return picked.select("username", "question_id").limit(0)
     known = picked.join(targets.select("username"), "username", "left_semi").select(
         "username", F.col("pos").alias("place"), F.lit(None).cast("double").alias("weight")
     )

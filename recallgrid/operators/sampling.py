@@ -34,8 +34,9 @@ def weighted_choice(
     """One item per key, with probability proportional to its weight.
 
     Exponential race: the smallest ``-ln(u) / weight`` wins. Items without
-    weight win only where no item of the key has any; then all are equal.
+    weight, null or not positive, win only where no item of the key has any; then all are equal.
     """
+    weight = F.coalesce(weight, F.lit(0.0))
     positive = weight > 0
     race = exponential(seed, *keys, item) / F.when(positive, weight).otherwise(1.0)
     winner = F.min_by(item, F.struct((~positive).alias("last"), race.alias("race"), F.col(item)))

@@ -233,7 +233,7 @@ def repeated_topics(spark, sf):
 def next_topic(spark, sf):
     """The weakest topic, untouched topics included."""
     q, a, perf = _sparse(spark, sf)
-    return mastery.weakest_topic(mastery.all_topic_masteries(perf, q, stats.learners(a)))
+    return mastery.weakest_topic(mastery.listed_topics(perf, q, stats.learners(a)))
 
 
 # --- Exams -------------------------------------------------------------------
@@ -441,16 +441,21 @@ def page_file_names(spark, sf):
 # --- HTML extraction ---------------------------------------------------------
 
 
+def _tasks(spark):
+    """The pages are derived from a table of one file: deal them over the cores."""
+    return spark.sparkContext.defaultParallelism
+
+
 @query
 def quiz_page_questions(spark, sf):
-    raw = html_items.raw_items(derived.quiz_pages(spark, sf), "quiz")
+    raw = html_items.raw_items(derived.quiz_pages(spark, sf), "quiz", _tasks(spark))
     return derived.flat_question(html_items.quiz_questions(raw).where("parsed"))
 
 
 def _exam_items(spark, sf):
     """Parsed once: numbering reads the items and their counts per file."""
     pages = derived.quiz_pages(spark, sf, marked=False)
-    raw = stored(html_items.raw_items(pages, "quiz"), "raw-items")
+    raw = stored(html_items.raw_items(pages, "quiz", _tasks(spark)), "raw-items")
     items = html_items.exam_quiz_questions(raw)
     return items.withColumn("reconstruction_name", F.col("folder"))
 
@@ -473,7 +478,7 @@ def exam_numbers_as_published(spark, sf):
 
 @query
 def accordion_page_questions(spark, sf):
-    raw = html_items.raw_items(derived.accordion_pages(spark, sf), "accordion")
+    raw = html_items.raw_items(derived.accordion_pages(spark, sf), "accordion", _tasks(spark))
     cards = html_items.card_questions(raw, F.col("folder")).where("parsed")
     return derived.flat_question(cards)
 
@@ -482,7 +487,7 @@ def accordion_page_questions(spark, sf):
 def plain_page_items(spark, sf):
     """Ordinary web pages hold no questions: per page the items found."""
     pages = X.table(spark, sf, "pages").select("page_id", "html")
-    raw = html_items.raw_items(pages, "quiz")
+    raw = html_items.raw_items(pages, "quiz", _tasks(spark))
     found = raw.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
     return pages.select("page_id").join(found, "page_id", "left").select(
         "page_id", F.coalesce("n", F.lit(0)).alias("items")

@@ -521,7 +521,7 @@ ORACLES["image_migration_status"] = sql(
 )
 ORACLES["images_to_move"] = sql(
     ["image_rows"],
-    """SELECT question_id, CAST(pos AS INT) AS pos, url, question_id || '_' || pos ||
+    """SELECT question_id, CAST(pos AS INT) AS pos, url, question_id || '_' || (pos + 1) ||
        coalesce(nullif(regexp_extract(regexp_extract(url, '([^/]*)$', 1), '[^.].*?(\\.[^.]+)$', 1), ''), '.jpg')
        AS storage_name FROM image_rows WHERE status = 'not_found'""",
 )
@@ -831,7 +831,7 @@ ORACLES["exam_paper_balanced"] = sql(
         "fknown": "SELECT username, pos AS place, NULL::DOUBLE AS weight FROM weak",
         "ftargets": f"""
         SELECT username, {_BANK_SIZE} AS size,
-               CASE WHEN username IN (SELECT username FROM weak) THEN {EXAM_SIZE - EXAM_SIZE // 3} ELSE {EXAM_SIZE} END AS picks,
+               {EXAM_SIZE} - (SELECT count(*) FROM weak w WHERE w.username = users.username) AS picks,
                1.0::DOUBLE AS free_weight FROM users""",
         **draw("ftargets", "fknown", ["username"], SEED + "/rest", "f"),
     },

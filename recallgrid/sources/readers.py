@@ -9,9 +9,18 @@ from recallgrid.operators.enrich import invalid_topics
 from recallgrid.operators.quality import require_none, require_rows
 
 
-def read_bank(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
-    """The stored bank in the order of the question number (a string)."""
-    return spark.read.format(format).load(path).orderBy("question_number", "question_id")
+def read_bank(spark: SparkSession, path: str, format: str = "parquet", ordered: bool = True) -> DataFrame:
+    """The stored bank, if wanted in the order of the question number (a string).
+
+    The order costs a sort of the whole bank: jobs that only join or count pass ``ordered=False``.
+    """
+    bank = spark.read.format(format).load(path)
+    return bank.orderBy("question_number", "question_id") if ordered else bank
+
+
+def _raise_unless_absent(error: AnalysisException) -> None:
+    if error.getCondition() != "PATH_NOT_FOUND":
+        raise error
 
 
 def read_jdbc(spark: SparkSession, table: str, url: str, split_on: str | None = None, **options) -> DataFrame:
@@ -47,7 +56,8 @@ def read_image_map(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object {original url: stored url} as two columns; absent file: no rows."""
     try:
         whole = spark.read.text(path, wholetext=True)
-    except AnalysisException:
+    except AnalysisException as error:
+        _raise_unless_absent(error)
         return spark.createDataFrame([], "original_url string, hosted_url string")
     entries = F.from_json("value", "map<string,string>")
     return whole.select(F.explode(entries).alias("original_url", "hosted_url"))
@@ -59,7 +69,8 @@ def read_manual_topics(
     """Hand-made topics from CSV; stops on missing columns or unknown topics."""
     try:
         frame = spark.read.csv(path, header=True)
-    except AnalysisException:
+    except AnalysisException as error:
+        _raise_unless_absent(error)
         return None
     missing = {"question_id", "topic"} - set(frame.columns)
     if missing:
@@ -73,14 +84,25 @@ def read_history(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     """Topics of earlier runs; an absent file is an empty lookup."""
     try:
         frame = spark.read.schema(S.TOPIC_LOOKUP).json(path, multiLine=not lines)
-    except AnalysisException:
-        frame = spark.createDataFrame([], S.TOPIC_LOOKUP)
+    except AnalysisException as error:
+        _raise_unless_absent(error)
+        none = F.lit(None).cast("struct<file:string,block:bigint,row:bigint>")
+        return spark.createDataFrame([], S.TOPIC_LOOKUP).withColumn("ordinal", none)
     return with_ordinal(frame.where(F.coalesce("question_id", F.lit("")) != ""))
 
 
 def with_ordinal(frame: DataFrame) -> DataFrame:
-    """Row order of the files, as far as "first" and "last" need it."""
-    return frame.withColumn("ordinal", F.monotonically_increasing_id())
+    """Row order of the files: by name, then place in the file.
+
+    Spark packs files into partitions by size, so the row number alone would
+    order small files by that.
+    """
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return frame.withColumn("ordinal", place)
 
 
 def read_pages(

@@ -22,7 +22,6 @@ from recallgrid.operators.performance import (
     answer_partials,
     compose_runs,
     merge_partials,
-    partial_schema,
     performance_from_partials,
     single_answers,
 )
@@ -73,47 +72,31 @@ def stateful_performance(answers: DataFrame, questions: DataFrame) -> DataFrame:
     """Changed performance rows of every micro-batch (update mode, no timeout).
 
     The topic is joined from the static bank and kept from the first answer on.
-    Answers are folded to partials before the shuffle, so the stateful step
-    receives a few rows per key however busy the key is. Pieces of one key are
-    composed by their first answer; where pieces do not overlap in time, as
-    with a log that arrives in order, the result equals the batch fold.
+    Within a micro-batch the answers of a key are ordered by time and folded in
+    that order; batches follow arrival. A key receives its answers of one batch
+    at a time, so the size of a batch bounds the step. ``keep_state`` spreads a
+    busy key and needs no such bound.
     """
     topics = questions.select("question_id", F.col("topic").cast("string"))
     enriched = answers.select(*KEY, "answered_at", "id", "is_correct").join(topics, "question_id")
     keys = [T.StructField(k, answers.schema[k].dataType) for k in KEY]
-    piece_schema = T.StructType([*partial_schema(answers).fields, T.StructField("topic", T.StringType())])
     out_schema = T.StructType([*keys, *[f for f in S.PERFORMANCE.fields if f.name not in KEY]])
-    return (
-        enriched.mapInPandas(_pieces, piece_schema)
-        .groupBy(*KEY)
-        .applyInPandasWithState(
-            _advance, out_schema, _STATE, "update", GroupStateTimeout.NoTimeout
-        )
+    return enriched.groupBy(*KEY).applyInPandasWithState(
+        _advance, out_schema, _STATE, "update", GroupStateTimeout.NoTimeout
     )
 
 
-def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        if rows.empty:
-            continue
-        rows = rows.sort_values([*KEY, "answered_at", "id"])
-        parts = compose_runs(single_answers(rows))
-        topics = rows.drop_duplicates(KEY)["topic"]
-        yield parts.assign(topic=topics.to_numpy())
-
-
 def _advance(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     held = state.get if state.exists else None
-    # One piece per source batch of answers, not one row per answer.
-    pieces = pd.concat(list(chunks)).sort_values(["first_at", "first_id"])
-    for p in pieces.itertuples():
+    rows = pd.concat(list(chunks)).sort_values(["answered_at", "id"], ignore_index=True)
+    for p in compose_runs(single_answers(rows)).itertuples():
         if held is None:
             start = (
                 S.FIRST_CORRECT_PRIORITY - S.CORRECT_STEP
                 if p.first_correct
                 else S.FIRST_WRONG_PRIORITY - S.WRONG_STEP
             )
-            held = (p.topic, 0, 0, 0, start, 0)
+            held = (rows["topic"].iloc[0], 0, 0, 0, start, 0)
         topic, total, correct, streak, priority, _ = held
         unbroken = p.streak == p.attempts
         held = (
@@ -122,7 +105,7 @@ def _advance(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> I
             correct + int(p.correct),
             int(p.streak) + (streak if unbroken else 0),
             float(min(p.hi, max(p.lo, priority + p.add))),
-            int(p.last_at.as_unit("us").value),
+            p.last_at.value // 1_000,
         )
     state.update(held)
     topic, total, correct, streak, priority, last_us = held

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recallgrid import schemas as S
-from recallgrid.operators import dedup, enrich, exams, images, lookups, maintenance, spine
+from recallgrid.operators import complete, dedup, enrich, exams, images, lookups, maintenance
 from recallgrid.operators.quality import CheckFailed
 from recallgrid.plans import build_bank
 from recallgrid.sources import readers, writers
@@ -120,13 +120,13 @@ def test_exam_of_one_learner(spark):
     assert [tuple(r) for r in complete.where("username = 'u'").collect()] == rows
 
 
-def test_too_many_values_stop_the_complete_report(spark, monkeypatch):
-    monkeypatch.setattr(spine, "MAX_VALUES", 2)
-    users = spark.createDataFrame([("u",)], "username string")
-    names = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
-    assert spine.with_every(users, names.where("name < 'c'")).count() == 2
-    with pytest.raises(Exception, match="sparse report"):
-        spine.with_every(users, names).collect()
+def test_complete_reports_take_a_dimension_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(complete, "_CHUNK", 2)
+    users = spark.createDataFrame([("u",), ("v",)], "username string")
+    names = spark.createDataFrame([(f"n{i}",) for i in range(25)], "name string")
+    rows = [tuple(r) for r in complete.with_every(users, names).collect()]
+    assert sorted(rows) == sorted((u, f"n{i}") for u in "uv" for i in range(25))
+    assert complete.with_every(users, names.limit(0)).count() == 0
 
 
 def test_deduplication_is_stable(spark):
