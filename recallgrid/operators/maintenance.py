@@ -134,6 +134,12 @@ def active_cards(cards: DataFrame) -> DataFrame:
     return cards.where(~F.col("archived"))
 
 
+def newest_cards(cards: DataFrame, user) -> DataFrame:
+    """The active cards of one learner, the newest first."""
+    mine = active_cards(cards).where(F.col("username") == F.lit(user))
+    return mine.orderBy(F.desc("created_at"), F.desc("id"))
+
+
 def reset_progress(tables: dict[str, DataFrame], users: DataFrame) -> dict[str, DataFrame]:
     """Answers, performance and reviews without the given learners; cards stay."""
     gone = users.select("username").distinct()

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recallgrid import schemas as S
-from recallgrid.operators.running import in_chunks
 
 KEY = ["username", "question_id"]
 ORDER = ["answered_at", "id"]
@@ -74,7 +73,8 @@ def compose_runs(parts: pd.DataFrame) -> pd.DataFrame:
     """Compose neighbouring partials of the same key, pairwise until one is left."""
     same = np.ones(max(len(parts) - 1, 0), dtype=bool)
     for name in KEY:
-        column = parts[name].to_numpy()
+        # Codes compare as numbers, whatever the type of the key; a missing key is one value.
+        column = pd.factorize(parts[name], use_na_sentinel=False)[0]
         same &= column[1:] == column[:-1]
     firsts = np.flatnonzero(np.r_[True, ~same])
     run = np.cumsum(np.r_[True, ~same])
@@ -212,10 +212,12 @@ def answer_progress(answers: DataFrame) -> DataFrame:
     """Per answer: attempt number, correct so far and current streak.
 
     A window over a whole key would put a very active key into one task. Here
-    the rows are cut into chunks and each (key, chunk) is windowed apart; what
-    earlier chunks contribute comes from one summary row per (key, chunk).
+    each (key, day) is windowed apart; what earlier days contribute comes from
+    one summary row per (key, day). Days depend on nothing but the answer, so
+    nothing is stored.
     """
-    rows = in_chunks(answers.select(*KEY, *ORDER, "is_correct"), KEY, ORDER)
+    day = F.coalesce(F.to_date("answered_at"), F.lit("0001-01-01").cast("date"))
+    rows = answers.select(*KEY, *ORDER, "is_correct").withColumn("chunk", day)
     right = F.when(F.col("is_correct"), 1).otherwise(0).cast("bigint")
     so_far = Window.partitionBy(*KEY, "chunk").orderBy(*ORDER).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
