@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from recallgrid.operators.dedup import keep_first
 from recallgrid.schemas import CARD_JSON
+from recallgrid.sources.storage import stored
 
 
 def upsert(
@@ -23,9 +24,12 @@ def upsert(
     """Insert new keys; for known keys replace every column but created_at.
 
     ``order`` names a column of ``changes``: of a repeated key the last row wins.
+    The changes are computed once, into the shared folder; the table is read
+    for its rows and once more for its keys.
     """
     if order is not None:
         changes = keep_first(changes, key, [F.desc(order)]).drop(order)
+    changes = stored(changes, "changes")
     stamps = ["created_at", "updated_at"]
     values = [c for c in table.columns if c not in [key, *stamps]]
     incoming = changes.select(key, F.struct(*values).alias("_new"))
@@ -52,8 +56,9 @@ def insert_new(
     """The incoming rows marked ``inserted`` or ``skipped``.
 
     The first row of a key that the table does not have is inserted. Only key
-    columns of the table are read.
+    columns of the table are read; the incoming rows are computed once.
     """
+    incoming = stored(incoming, "incoming")
     known = (
         table.select(*keys)
         .join(incoming.select(*keys), keys, "left_semi")

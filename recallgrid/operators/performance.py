@@ -167,9 +167,14 @@ def merge_partials(partials: DataFrame, order: tuple[str, ...] = FIRST) -> DataF
 def performance_from_partials(
     partials: DataFrame, questions: DataFrame, order: tuple[str, ...] = FIRST
 ) -> DataFrame:
-    """Partials as the performance table; answers to unknown questions drop out."""
+    """Partials as the performance table; answers to unknown questions drop out.
+
+    The topic is the bank's, or that of the first answer where partials keep it.
+    """
+    kept = F.col("topic") if "topic" in partials.columns else F.lit(None).cast("string")
     state = merge_partials(partials, order).select(
         *KEY,
+        kept.alias("_topic"),
         F.col("attempts").alias("total_attempts"),
         F.col("correct").alias("correct_attempts"),
         (F.col("attempts") - F.col("correct")).alias("incorrect_attempts"),
@@ -180,7 +185,7 @@ def performance_from_partials(
     topics = questions.select("question_id", "topic")
     return state.join(topics, "question_id").select(
         *KEY,
-        "topic",
+        F.coalesce("_topic", "topic").alias("topic"),
         "total_attempts",
         "correct_attempts",
         "incorrect_attempts",

@@ -10,6 +10,7 @@ from recallgrid.plans.catalog import QUERIES, _sparse, query
 from recallgrid.plans.oracles import ORACLES, sql
 from recallgrid.sources import readers, writers
 from recallgrid.sources.storage import new_path
+from recallgrid.streaming import answers as stream
 
 
 @query
@@ -194,3 +195,25 @@ def first_findings(spark, sf):
 
 
 ORACLES["first_findings"] = f"SELECT * FROM ({ORACLES['import_findings']}) ORDER BY code, path, question_id LIMIT 20"
+
+
+@query
+def topic_of_first_answer(spark, sf):
+    """Two runs of the stream with a bank that changed in between; a key keeps its first topic."""
+    log, bank = X.answers(spark, sf), X.questions(spark, sf)
+    changed = bank.withColumn("topic", F.concat(F.lit("new "), "topic"))
+    folder, table, progress = (new_path(spark, n) for n in ("log", "state", "progress"))
+    for rows, questions in ((log.where("id % 2 = 0"), bank), (log.where("id % 2 = 1"), changed)):
+        rows.write.mode("append").parquet(folder)
+        arriving = spark.readStream.schema(log.schema).parquet(folder)
+        stream.keep_state(arriving, table, progress, questions=questions).awaitTermination()
+    state = stream.current_performance(spark, table, changed)
+    return state.select("username", "question_id", "topic", "total_attempts", "correct_attempts")
+
+
+ORACLES["topic_of_first_answer"] = sql(
+    ["answers", "questions"],
+    """SELECT username, question_id, CASE WHEN min(id % 2) = 0 THEN topic ELSE 'new ' || topic END AS topic,
+       count(*) AS total_attempts, CAST(count(*) FILTER (is_correct) AS BIGINT) AS correct_attempts
+       FROM answers JOIN questions USING (question_id) GROUP BY username, question_id, topic""",
+)

@@ -31,12 +31,23 @@ ARRIVAL = ("batch", "first_at", "first_id")
 
 
 def keep_state(
-    answers: DataFrame, table: str, checkpoint: str, available_now: bool = True, interval: str = "1 minute"
+    answers: DataFrame,
+    table: str,
+    checkpoint: str,
+    available_now: bool = True,
+    interval: str = "1 minute",
+    questions: DataFrame | None = None,
 ) -> StreamingQuery:
-    """Start the stream that keeps the partials of every micro-batch."""
+    """Start the stream that keeps the partials of every micro-batch.
+
+    With ``questions`` a partial keeps the topic that its question has when the
+    batch arrives; the state then shows the topic of a key's first answer.
+    """
 
     def store(batch: DataFrame, number: int) -> None:
         merged = merge_partials(answer_partials(batch))
+        if questions is not None:
+            merged = merged.join(questions.select("question_id", "topic"), "question_id", "left")
         merged.write.mode("overwrite").parquet(f"{table}/batch={number:012d}")
 
     writer = answers.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
