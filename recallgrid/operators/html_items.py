@@ -36,6 +36,18 @@ CARD_CLASSES = "gray-card accordion-item"
 CARD_CLASS = "accordion-item"
 CARD_TARGET = re.compile("question_")
 CARD_COLOUR = "#CFFCE4"
+QUIZ_TEXT = "qtext"
+QUIZ_LABEL = "d-flex"
+QUIZ_LETTER = "answernumber"
+QUIZ_OPTION = "flex-fill"
+QUIZ_NUMBER = "qno"
+QUIZ_STATED = "rightanswer"
+QUIZ_FEEDBACK = "generalfeedback"
+CARD_TARGET_ATTRIBUTE = "data-bs-target"
+CARD_LIST = "global-list"
+CARD_OPTION = "mdl-radio__label"
+CARD_MODAL = "modal-body"
+CARD_TOPIC = "modal-title"
 
 ITEM_SLICE = 5000
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "wbr"}
@@ -139,23 +151,23 @@ def _quiz_items(page):
     items = list(root.nodes("div", lambda n: QUIZ_ID.search(n.attrs.get("id", ""))))
     items = items or list(root.nodes("div", lambda n: QUIZ_CLASS.search(" ".join(n.classes))))
     for item in items:
-        body = item.with_class("div", "qtext")
+        body = item.with_class("div", QUIZ_TEXT)
         options = []
         for row in item.nodes("div", lambda n: any(QUIZ_ROW.match(c) for c in n.classes)):
-            label = row.with_class("div", "d-flex")
-            letter = label and label.with_class("span", "answernumber")
-            text = label and label.with_class("div", "flex-fill")
+            label = row.with_class("div", QUIZ_LABEL)
+            letter = label and label.with_class("span", QUIZ_LETTER)
+            text = label and label.with_class("div", QUIZ_OPTION)
             if letter and text:
                 options.append((letter.text(), text.text(), "correct" in row.classes))
         yield {
             "raw_id": item.attrs.get("id", ""),
-            "number": _text(item.with_class("span", "qno")),
+            "number": _text(item.with_class("span", QUIZ_NUMBER)),
             "topic": "",
             "text": _text(body, joint=" ", without=("table",)),
             "images": _images(body),
             "options": options,
-            "stated": _text(item.with_class("div", "rightanswer")),
-            "explanation": _text(item.with_class("div", "generalfeedback"), joint=" "),
+            "stated": _text(item.with_class("div", QUIZ_STATED)),
+            "explanation": _text(item.with_class("div", QUIZ_FEEDBACK), joint=" "),
         }
 
 
@@ -164,23 +176,23 @@ def _card_items(page):
     items = list(root.nodes("div", lambda n: n.attrs.get("class") == CARD_CLASSES))
     items = items or list(root.nodes("div", lambda n: CARD_CLASS in n.classes))
     for item in items:
-        target = lambda n: CARD_TARGET.search(n.attrs.get("data-bs-target", ""))
+        target = lambda n: CARD_TARGET.search(n.attrs.get(CARD_TARGET_ATTRIBUTE, ""))
         button = next(item.nodes("button", target), None)
-        listing = item.with_class("ul", "global-list")
+        listing = item.with_class("ul", CARD_LIST)
         options = []
         for entry in listing.children if listing else ():
             if not isinstance(entry, _Node) or entry.tag != "li":
                 continue
             styled = next(entry.nodes("span", lambda n: n.attrs.get("style")), None)
-            label = entry.with_class("span", "mdl-radio__label")
+            label = entry.with_class("span", CARD_OPTION)
             if label:
                 marked = styled is not None and CARD_COLOUR in styled.attrs["style"]
                 options.append(("", label.text(), marked))
-        modal = item.with_class("div", "modal-body")
+        modal = item.with_class("div", CARD_MODAL)
         yield {
-            "raw_id": button.attrs["data-bs-target"] if button else "",
+            "raw_id": button.attrs[CARD_TARGET_ATTRIBUTE] if button else "",
             "number": "",
-            "topic": _text(item.with_class("h6", "modal-title")),
+            "topic": _text(item.with_class("h6", CARD_TOPIC)),
             "text": _text(next(button.nodes("b"), None)) if button else "",
             "images": _images(item),
             "options": options,
