@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of one Arrow batch that Spark hands to Python.
@@ -44,6 +45,19 @@ def pieces(data: bytes, limit: int = 1 << 20) -> Iterator[bytes]:
     yield data[at:]
 
 
+def slices(batches: Iterable[pa.RecordBatch], limit: int, name: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices whose texts hold about `limit` bytes; a longer text is a slice of its own."""
+    for batch in batches:
+        start, held = 0, 0
+        for i, size in enumerate(pc.binary_length(batch.column(batch.schema.get_field_index(name))).to_pylist()):
+            if held and held + (size or 0) > limit:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += size or 0
+        if start < len(batch):
+            yield batch.slice(start)
+
+
 class Remembered(dict):
     """A bounded memo: value by key, emptied when it holds too many keys."""
 

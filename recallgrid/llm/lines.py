@@ -86,11 +86,13 @@ def repeated_units(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     )
     cut = stored(cut, "units")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "unit")
-    kept = (
+    # Stored, so that the join deals both of its sides anew and a frequent unit can be split.
+    kept = stored(
         cut.groupBy("key_1", "key_2")
         .agg(F.min(place).alias("keeper"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
-        .drop("n")
+        .drop("n"),
+        "keepers",
     )
     again = cut.join(kept, ["key_1", "key_2"]).filter(
         (F.col("row") != F.col("keeper.row")) | (F.col("unit") != F.col("keeper.unit"))

@@ -10,10 +10,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from recallgrid.llm.common import batch_of, bounded_batches, texts
+from recallgrid.llm.common import batch_of, bounded_batches, slices, texts
 
-#: Distinct chunks that a worker remembers.
-REMEMBERED = 700_000
+#: Distinct chunks that a task remembers.
+REMEMBERED = 450_000
+#: Bytes of text that are segmented together, and cells of the lattices that are held at once.
+TOGETHER = 4 << 20
+CELLS = 600_000
 #: Longer chunks are segmented one by one and not remembered.
 LONG_CHUNK = 48
 #: Below the lowest score of the model by this much: a character that no piece covers.
@@ -62,6 +65,9 @@ class Pieces:
         hashes = np.array([_hash(p) for p in self.score], np.uint64)
         order = np.argsort(hashes)
         self.hashes = hashes[order]
+        # By the upper bits of a hash: may a piece have it? Most substrings are none.
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[hashes >> np.uint64(44)] = True
         if len(np.unique(hashes)) != len(hashes):
             raise ValueError("two pieces have one hash")
         self.scores = np.array([s for s, _ in self.score.values()])[order]
@@ -93,12 +99,13 @@ class Pieces:
 
         A-star from the end of the lattice: the Viterbi score up to a position
         is exactly what remains, so complete ways come off the queue in order
-        and nothing beside the n best is expanded.
+        and nothing beside the n best is expanded; of equal ones the one
+        nearest to the start goes first.
         """
         best, _ = self.forward(chunk)
-        queue, made, out = [(-best[-1], 0, 0.0, len(chunk), None)], 0, []
+        queue, made, out = [(-best[-1], len(chunk), 0, 0.0, None)], 0, []
         while queue and len(out) < n:
-            _, _, behind, at, way = heapq.heappop(queue)
+            _, at, _, behind, way = heapq.heappop(queue)
             if at == 0:
                 ids = []
                 while way:
@@ -108,7 +115,7 @@ class Pieces:
                 continue
             for start, score, piece in self.edges(chunk, at):
                 made += 1
-                heapq.heappush(queue, (-(best[start] + score + behind), made, behind + score, start, (start, at, piece, way)))
+                heapq.heappush(queue, (-(best[start] + score + behind), start, made, behind + score, (start, at, piece, way)))
         return out
 
     def spelt(self, text: str) -> list[int]:
@@ -148,7 +155,7 @@ class Pieces:
                 gap = two[0][0] - two[1][0] if len(two) > 1 else np.inf
                 self._keep([c], np.array(two[0][1]), np.array([len(two[0][1])]), np.array([two[0][0]]), np.array([gap]))
         for length, group in by.items():
-            step = max(1, 4_000_000 // (length * self.longest))
+            step = max(1, CELLS // (length * self.longest))
             for at in range(0, len(group), step):
                 self._together(group[at : at + step], length)
 
@@ -161,10 +168,15 @@ class Pieces:
         h = np.zeros((n, length), np.uint64)
         for size in range(1, most + 1):
             h = h[:, : length - size + 1] * _PRIME + codes[:, size - 1 :]
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            hit = self.hashes[at] == h
-            score[size, : length - size + 1] = np.where(hit, self.scores[at], self.unknown if size == 1 else -np.inf).T
-            piece[size, : length - size + 1] = np.where(hit, self.ids[at], -1).T
+            row, start = np.nonzero(self.maybe[h >> np.uint64(44)])
+            wanted = h[row, start]
+            at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+            hit = self.hashes[at] == wanted
+            row, start, at = row[hit], start[hit], at[hit]
+            if size == 1:
+                score[1] = self.unknown
+            score[size, start, row] = self.scores[at]
+            piece[size, start, row] = self.ids[at]
         ahead, last = np.full((length + 1, n), -np.inf), np.zeros((length + 1, n), np.int64)
         ahead[0] = 0.0
         for end in range(1, length + 1):
@@ -211,8 +223,8 @@ class Pieces:
         """The text behind the blank that marks its start, cut where no piece crosses."""
         return _CHUNK.findall(" " + text) if text else []
 
-    def encode(self, batch: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Chunk numbers and ids of each text."""
+    def encode(self, batch: list[str]) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
+        """Chunks, their numbers and the ids of each text."""
         cut = [self.chunks(x) for x in batch]
         new = [c for c in {c for x in cut for c in x} if c not in self.index]
         if len(self.index) + len(new) > REMEMBERED:
@@ -225,11 +237,11 @@ class Pieces:
             sizes = self.sizes[k]
             total = int(sizes.sum())
             places = np.repeat(self.starts[k] - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
-            out.append((k, self.flat[places]))
+            out.append((x, k, self.flat[places]))
         return out
 
-    def alternatives(self, text: str, k: np.ndarray, n: int) -> list[tuple[float, list]]:
-        """The n best segmentations of a whole text: score, and edits (token, tokens replaced, ids) of the best one.
+    def alternatives(self, cut: list[str], k: np.ndarray, n: int) -> list[tuple[float, list]]:
+        """The n best segmentations of a text, given its chunks and their numbers: score, and edits (token, tokens replaced, ids) of the best one.
 
         The best ways of a text differ from the best one in the chunks with
         the smallest gaps, at most n - 1 of them; these get an A-star search,
@@ -239,7 +251,6 @@ class Pieces:
         found: list[tuple[float, list]] = [(0.0, [])]
         gaps = self.gap[k]
         some = np.argsort(gaps, kind="stable")[: n - 1] if len(k) <= n else np.argpartition(gaps, n - 1)[: n - 1]
-        cut = self.chunks(text)
         first = np.cumsum(self.sizes[k]) - self.sizes[k]
         for c in sorted(some.tolist()):
             if np.isfinite(gaps[c]):
@@ -283,34 +294,32 @@ _COLUMNS = (
 )
 
 
+def encoded(model: Pieces, batch: pa.RecordBatch, n: int) -> pa.RecordBatch:
+    strings = [x.decode("utf-8", "replace") for x in texts(batch)]
+    coded = model.encode(strings)
+    ranked = [model.alternatives(cut, k, n) for cut, k, _ in coded]
+    offsets = np.concatenate([[0], np.cumsum([len(ids) for *_, ids in coded])]).astype(np.int32)
+    values = np.concatenate([ids for *_, ids in coded])
+    same = [model.decode(ids.tolist()) == s.encode("utf-8") for s, (*_, ids) in zip(strings, coded, strict=True)]
+    others = [
+        [{"score": s, "edits": [{"token": t, "replaced": r, "ids": i} for t, r, i in edits]} for s, edits in x[1:]]
+        for x in ranked
+    ]
+    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+    return batch_of(_SCHEMA, [batch.column(0), np.diff(offsets), ids, [x[0][0] for x in ranked], others, same])
+
+
 def _encode(path: str, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from recallgrid.llm import pieces
 
         model = pieces.held(path)
-        for batch in batches:
-            data = texts(batch)
-            strings = [x.decode("utf-8", "replace") for x in data]
-            coded = model.encode(strings)
-            ranked = [model.alternatives(s, k, n) for s, (k, _) in zip(strings, coded, strict=True)]
-            offsets = np.concatenate([[0], np.cumsum([len(ids) for _, ids in coded])]).astype(np.int32)
-            values = np.concatenate([ids for _, ids in coded]) if coded else np.zeros(0, np.int32)
-            same = [model.decode(ids.tolist()) == s.encode("utf-8") for s, (_, ids) in zip(strings, coded, strict=True)]
-            others = [
-                [{"score": s, "edits": [{"token": t, "replaced": r, "ids": i} for t, r, i in edits]} for s, edits in x[1:]]
-                for x in ranked
-            ]
-            yield batch_of(
-                _SCHEMA,
-                [
-                    batch.column(0),
-                    [len(ids) for _, ids in coded],
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-                    [x[0][0] for x in ranked],
-                    others,
-                    same,
-                ],
-            )
+        try:
+            for batch in slices(batches, TOGETHER):
+                yield pieces.encoded(model, batch, n)
+        finally:
+            # The chunks of a task are let go, so that an idle worker holds little.
+            model.clear()
 
     return run
 

@@ -33,8 +33,8 @@ def ways(chunk):
 
 
 def check_text(text, n=4):
-    (k, ids), = MODEL.encode([text])
-    got = MODEL.alternatives(text, k, n)
+    (cut, k, ids), = MODEL.encode([text])
+    got = MODEL.alternatives(cut, k, n)
     best = ways(" " + text) if text else [(0.0, [])]
     assert [s for s, _ in got] == pytest.approx([s for s, _ in best[:n]], rel=1e-12)
     seen = set()
@@ -60,7 +60,7 @@ def test_n_best_of_random_texts(text):
 
 def test_pieces_are_those_of_the_model_file():
     model = sentencepiece.SentencePieceProcessor(model_file=PATH)
-    (_, ids), = MODEL.encode(["Thing and the cat, naïve 日本 \U0001f600\n"])
+    (*_, ids), = MODEL.encode(["Thing and the cat, naïve 日本 \U0001f600\n"])
     assert model.decode(ids.tolist()) == "Thing and the cat, naïve 日本 \U0001f600\n"
 
 
@@ -81,7 +81,7 @@ def test_memo_of_chunks_may_empty(monkeypatch):
     monkeypatch.setattr(pieces, "REMEMBERED", 5)
     model = pieces.Pieces(PATH)
     for text in ("a b c d e f g h", "the cat sat", "x" * 200 + " y", "the cat sat"):
-        (_, ids), = model.encode([text])
+        (*_, ids), = model.encode([text])
         assert model.decode(ids.tolist()) == text.encode()
 
 
