@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallgrid.llm.common import WORD
@@ -107,8 +107,11 @@ def _nearest(parts: DataFrame, keys: list[str]) -> DataFrame:
     return parts.withColumn("after", after).withColumn("before", F.col("after") - F.col("size"))
 
 
-def _selected(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Marks documents in seeded order until each pattern's `rest` words are reached.
+def _border(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where the seeded order of each pattern is cut so that its `rest` words are reached.
+
+    Returns the plan with the border's part and sub-part of each pattern, and
+    the rows of that sub-part with whether each is taken.
 
     Only sums of 4,096 hash ranges of a pattern, then those of the range in
     which its border lies, and last the documents of one part of 4,096 * 4,096
@@ -124,22 +127,23 @@ def _selected(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     second = _nearest(second, ["part_2"]).filter((F.col("before") < F.col("rest_2")) & (F.col("rest_2") <= F.col("after")))
     second = second.select("pattern", F.col("part_2").alias("edge_2"), (F.col("rest_2") - F.col("before")).alias("rest_3"))
     edges = stored(wanted.join(first, "pattern", "left").join(second, "pattern", "left"), "edges")
-    marked = docs.join(edges, "pattern")
     on_edge = (F.col("part") == F.col("edge")) & (F.col("part_2") == F.col("edge_2"))
+    last = _nearest(docs.join(edges, "pattern").filter(on_edge), ["hash", "doc_id", "row"]).select(
+        "row", "doc_id", (2 * F.col("before") + F.col("size") <= 2 * F.col("rest_3")).alias("near")
+    )
+    # At most one part of 4,096 * 4,096 of each pattern.
+    return edges, stored(last, "border")
+
+
+def _uses(near: Column) -> Column:
+    """How often a row is used: `whole` times, and once more if it lies before the border or is taken on it."""
     inside = (
         F.when(F.col("rest") <= 0, False)
         .when(F.col("edge").isNull(), True)
         .when(F.col("part") != F.col("edge"), F.col("part") < F.col("edge"))
         .otherwise(F.col("part_2") < F.col("edge_2"))
     )
-    last = _nearest(marked.filter(on_edge), ["hash", "doc_id", "row"]).select(
-        F.col("row").alias("row_of"),
-        (2 * F.col("before") + F.col("size") <= 2 * F.col("rest_3")).alias("near"),
-    )
-    # At most one part of 4,096 * 4,096 of each pattern; a row has one match.
-    return marked.join(last, marked.row == last.row_of, "left").withColumn(
-        "more", F.coalesce(F.col("near"), inside).cast("long")
-    )
+    return F.col("whole") + F.coalesce(near, inside).cast("long")
 
 
 def mix(docs: DataFrame, seed: int = 7, share: float = SHARE, weights: tuple = WEIGHTS) -> DataFrame:
@@ -160,24 +164,53 @@ def mix(docs: DataFrame, seed: int = 7, share: float = SHARE, weights: tuple = W
     Repeated rows: each is a document. Empty array: as a null source. Empty
     table: no rows.
     """
-    spark = docs.sparkSession
+    sized, edges, border = _planned(docs, seed, share, weights)
+    near = border.select("row", "near")
+    return sized.join(edges, "pattern").join(near, "row", "left").select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * _uses(F.col("near"))).alias("taken")
+    )
+
+
+def mixed(docs: DataFrame, seed: int = 7, share: float = SHARE, weights: tuple = WEIGHTS) -> DataFrame:
+    """The documents, all columns kept, as many rows of each as the mix uses it.
+
+    The same plan as mix(), applied to each document where it lies: a row's
+    place in the seeded order follows from itself, and only the plan (a row
+    per pattern) and the documents on the borders are joined, so texts are not
+    shuffled. Documents on a border are told by doc_id, so its repeated rows
+    there are used alike. Documents without a word are not used.
+    """
+    _, edges, border = _planned(docs, seed, share, weights)
+    near = border.filter("doc_id is not null").groupBy("doc_id").agg(F.max("near").alias("_near"))
+    placed = docs.select(F.struct(*docs.columns).alias("_row"), *_placed(docs, seed))
+    used = placed.join(edges.drop("source_size", "target"), "pattern").join(near, "doc_id", "left")
+    used = used.filter("size > 0").withColumn("_uses", _uses(F.col("_near"))).filter("_uses > 0")
+    return used.withColumn("_use", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_uses")))).select("_row.*")
+
+
+def _placed(docs: DataFrame, seed: int) -> list[Column]:
+    """doc_id, pattern, size, and the place in the seeded order, from a document's own columns."""
     members = (
         F.array_sort(F.array_distinct(F.when(F.size("sources") > 0, F.col("sources")).otherwise(F.array(F.lit(None).cast("string")))))
         if "sources" in docs.columns
         else F.array("source")
     )
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select("doc_id", members.alias("pattern_of"), size.alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("hash"))
-    sized = sized.select(
-        "doc_id",
-        F.to_json(F.struct(F.transform("pattern_of", lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("null"))).alias("s"))).alias("pattern"),
-        "size",
-        "hash",
-        F.shiftrightunsigned("hash", 52).alias("part"),
-        F.shiftrightunsigned("hash", 40).bitwiseAND(PARTS - 1).alias("part_2"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    sized = stored(sized, "sizes")
+    named = F.transform(members, lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("null")))
+    place = F.xxhash64(F.lit(seed), "doc_id")
+    return [
+        F.col("doc_id"),
+        F.to_json(F.struct(named.alias("s"))).alias("pattern"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        place.alias("hash"),
+        F.shiftrightunsigned(place, 52).alias("part"),
+        F.shiftrightunsigned(place, 40).bitwiseAND(PARTS - 1).alias("part_2"),
+    ]
+
+
+def _planned(docs: DataFrame, seed: int, share: float, weights: tuple) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sized documents (without their texts), the plan by pattern, and the rows on its borders."""
+    spark = docs.sparkSession
+    sized = stored(docs.select(*_placed(docs, seed), F.monotonically_increasing_id().alias("row")), "sizes")
     rows = sized.groupBy("pattern").agg(F.sum("size").alias("size")).collect()
     patterns = {r["pattern"]: (tuple(json.loads(r["pattern"])["s"]), r["size"]) for r in rows}
     sizes: dict = {}
@@ -195,7 +228,4 @@ def mix(docs: DataFrame, seed: int = 7, share: float = SHARE, weights: tuple = W
         wanted.append((key, int(whole), int(need - whole * words), sizes[sources[0]], float(target[sources[0]])))
     schema = "pattern string, whole long, rest long, source_size long, target double"
     plan = stored(spark.createDataFrame(wanted, schema), "patterns")
-    chosen = _selected(sized, plan)
-    return chosen.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("more"))).alias("taken")
-    )
+    return sized, *_border(sized, plan)

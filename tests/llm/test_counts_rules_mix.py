@@ -159,3 +159,14 @@ def test_flow_costs_least(seed):
                         best = min(best, (-(a + b + ab), cost({("a",): a, ("b",): b, ("a", "b"): ab})))
     used = {p: sum(x.values()) for p, x in routed.items()}
     assert (-sum(used.values()), cost(used)) == best
+
+
+def test_mixed_rows_are_those_of_the_mix(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(3)
+    uses = {r.doc_id: r.taken // r["size"] for r in mixing.mix(docs).collect() if r["size"]}
+    rows = mixing.mixed(docs)
+    assert rows.columns == docs.columns
+    counted = {r.doc_id: r["count"] for r in rows.groupBy("doc_id").count().collect()}
+    assert counted == {i: n for i, n in uses.items() if n}
+    odd = spark.createDataFrame([(1, None, None), (None, "a b c", None), (2, "", "x"), (3, "d e", "x")], "doc_id long, text string, source string")
+    assert {r.text for r in mixing.mixed(odd).collect()} <= {"a b c", "d e"}
