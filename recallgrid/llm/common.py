@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of one Arrow batch that Spark hands to Python.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 #: Words are runs without these characters; bytes.split() cuts at the same ones.
 WORD = r"[^\x20\x09-\x0D]+"

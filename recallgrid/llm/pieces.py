@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame
 from recallgrid.llm.common import batch_of, bounded_batches, slices, texts
 
 #: Distinct chunks that a task remembers.
-REMEMBERED = 450_000
+REMEMBERED = 200_000
 #: Bytes of text that are segmented together, and cells of the lattices that are held at once.
-TOGETHER = 4 << 20
-CELLS = 600_000
+TOGETHER = 1 << 20
+CELLS = 300_000
 #: Longer chunks are segmented one by one and not remembered.
 LONG_CHUNK = 48
 #: Below the lowest score of the model by this much: a character that no piece covers.
