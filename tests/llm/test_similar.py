@@ -1,0 +1,65 @@
+import random
+from itertools import combinations
+
+import corpus_pipeline as pipeline
+from recallgrid.llm import simhash
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_groups(rows, least=0.8):
+    """Smallest id reachable over all pairs of Jaccard similarity `least` or more."""
+    parent = {i: i for i, _ in rows}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    sets = {i: shingles(t) for i, t in rows}
+    for a, b in combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if x == y or (x and y and len(x & y) >= least * len(x | y)):
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+    return {i: root(i) for i in parent}
+
+
+def edited(rng, words, times):
+    words = list(words)
+    for at in rng.sample(range(len(words)), times):
+        words[at] = f"new{rng.randrange(10**9)}"
+    return words
+
+
+def corpus():
+    """Edited copies at similarities on both sides of 0.8, chains and a dense group."""
+    rng = random.Random(8)
+    rows, at = [], 0
+    for k in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((60, 200, 400)))]
+        for times in (0, 0, 1, len(words) // 50, len(words) // 40):
+            rows.append((at, " ".join(edited(rng, words, times))))
+            at += 1
+    words = [f"d{rng.randrange(5000)}" for _ in range(150)]
+    for _ in range(80):
+        rows.append((at, " ".join(edited(rng, words, rng.randrange(1, 4)))))
+        at += 1
+    return [*rows, (at, ""), (at + 1, None), (at + 2, "Two words"), (at + 3, "two WORDS")]
+
+
+def test_groups_are_those_of_all_similar_pairs(spark, documents):
+    rows = corpus()
+    want = plain_groups(rows)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(rows)).collect()}
+    assert got == want and len(set(want.values())) < len(rows) / 2
+
+
+def test_stage_drops_edited_copies(spark):
+    rows = corpus()
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = sorted(r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert left == sorted(set(plain_groups(rows).values()))
