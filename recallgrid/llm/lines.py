@@ -16,8 +16,8 @@ from recallgrid.sources.storage import stored
 
 #: A line is cut behind sentence ends; shorter sentences join the next one of their line.
 UNIT_WORDS = 5
-#: Removed are repeated units that stand together and hold this many words.
-RUN_WORDS = 25
+#: Least words of a returned span: none is left out, however short. Callers may filter by n_words.
+RUN_WORDS = 0
 
 _SENTENCE_END = re.compile(r"[.!?][\"')\]]*[^\S\n]+")
 _DROPPED = str.maketrans("", "", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
@@ -61,17 +61,18 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch_of(schema, zip(*rows, strict=True))
 
 
-def repeated_units(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+def repeated_units(docs: DataFrame) -> DataFrame:
     """Spans of each document to remove: row, doc_id, start, end, n_units, n_words, keeper_doc_id.
 
     docs: doc_id long, text string; other columns are not read. Texts are cut
     into lines, and lines behind sentence ends; each unit is normalised (lower
     case, no ASCII punctuation, single spaces) and hashed to 128 bits. Digests
     are grouped over all documents with partial aggregates, and the occurrence
-    that is first by (doc_id, row, position) stays. The others are removed
-    where such units that stand together in a document hold `run_words` words
-    or more, which leaves short common phrases alone. Offsets are code points
-    of the original text, end exclusive. A frequent unit is never gathered:
+    that is first by (doc_id, row, position) stays. All others are removed;
+    those that stand together in a document are one span, of n_units units and
+    n_words words. Words are split at white space, so n_words says little of
+    texts without it; a caller's least length should spare whole lines and
+    whole texts. Offsets are code points of the original text, end exclusive. A frequent unit is never gathered:
     its occurrences only meet the one row that names the keeper, in a join
     that adaptive execution may split.
 
@@ -109,6 +110,5 @@ def repeated_units(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
             F.sum("n_words").alias("n_words"),
             F.min_by("keeper.doc_id", "unit").alias("keeper_doc_id"),
         )
-        .filter(F.col("n_words") >= run_words)
         .select("row", "doc_id", "start", "end", "n_units", "n_words", "keeper_doc_id")
     )
