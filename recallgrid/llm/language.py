@@ -14,8 +14,8 @@ from recallgrid.sources.storage import stored
 
 #: Hash slots of byte trigrams.
 TRIGRAMS = 1 << 15
-#: A language needs so many labelled documents to be a candidate.
-LEAST_DOCS = 5
+#: Trigrams for each slot that a language takes from a uniform share, and as many from all labelled documents.
+SMOOTHED = 0.25
 #: Trigrams of a text are no independent evidence: they weigh as much as so many.
 WEIGHED = 60
 #: Pseudo-documents that each level of the address hierarchy takes from the one above it.
@@ -55,11 +55,12 @@ def _counted(index: dict[str, int]):
 def text_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages, and log-probability of each trigram slot in each (last row: none of them).
 
-    Counts cover every labelled document's whole text; what reaches the driver
-    is bounded by languages x TRIGRAMS.
+    Counts cover every labelled document's whole text, and every label is a
+    candidate, however few its documents; what reaches the driver is bounded
+    by languages x TRIGRAMS.
     """
     bounded_batches(docs.sparkSession)
-    seen = docs.filter("lang is not null").groupBy("lang").count().filter(F.col("count") >= LEAST_DOCS).select("lang").collect()
+    seen = docs.filter("lang is not null").select("lang").distinct().collect()
     names = sorted(r.lang for r in seen)
     total = np.zeros((len(names) + 1, TRIGRAMS))
     if names:
@@ -67,7 +68,8 @@ def text_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         rows = docs.select("lang", "text").mapInArrow(_counted(index), "language int, slot int, n long")
         rows = rows.groupBy("language", "slot").agg(F.sum("n").alias("n")).toArrow()
         total[rows.column("language").to_numpy(), rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
-    total += 0.5
+    shared = total.sum(0)
+    total += SMOOTHED + SMOOTHED * TRIGRAMS * shared / max(shared.sum(), 1.0)
     total[-1] = 1.0
     return [*names, UNKNOWN], np.log(total / total.sum(1, keepdims=True))
 
@@ -142,7 +144,8 @@ def identify(docs: DataFrame, evidence: DataFrame | None = None, least_posterior
     vote is left out); documents without an address take their source as
     host. What a page declares counts by how often documents of a language
     declare it. The posterior is the product, normalised. kept: it is not
-    "und" and reaches least_posterior.
+    "und" and reaches least_posterior; without any labelled document nothing
+    can be told, and every text with letters is kept as "und".
 
     Null or empty text, or one without letters: text says nothing, language
     "und" unless address and markup decide; never kept. Null lang: no
@@ -200,7 +203,7 @@ def identify(docs: DataFrame, evidence: DataFrame | None = None, least_posterior
         "doc_id",
         name.alias("language"),
         posterior.alias("posterior"),
-        ((F.col("n_trigrams") > 0) & (name != UNKNOWN) & (posterior >= least_posterior)).alias("kept"),
+        ((F.col("n_trigrams") > 0) & ((name != UNKNOWN) & (posterior >= least_posterior) if n > 1 else F.lit(True))).alias("kept"),
         F.when(F.col("text_language").isNotNull(), F.element_at(F.array(*[F.lit(x) for x in names]), F.col("text_language") + 1)).alias("text_language"),
         "declared",
         F.col("host").alias("host"),
