@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from recallgrid.llm import (
+    infill,
     language,
     lines,
     mixing,
@@ -62,6 +63,10 @@ def op10_nearest_vectors(spark, sf_dir):
     return neighbours.nearest(vectors.filter("vec_id % 100 = 0"), vectors)
 
 
+def op13_fill_in_middle(spark, sf_dir):
+    return infill.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,7 +80,8 @@ QUERIES = {
         op8_language,
         op9_quality_votes,
         op10_nearest_vectors,
+        op13_fill_in_middle,
     )
 }
-#: None of the operators is expressible in SQL as a whole; tests hold them against brute force.
-ORACLES: dict[str, str] = {}
+#: The other operators are not expressible in SQL as a whole; tests hold them against brute force.
+ORACLES: dict[str, str] = {"op13_fill_in_middle": infill.ORACLE}
