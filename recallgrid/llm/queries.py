@@ -16,6 +16,7 @@ from recallgrid.llm import (
     simhash,
     token_counts,
     toxicity,
+    whitening,
 )
 from recallgrid.llm.common import table
 
@@ -63,6 +64,10 @@ def op10_nearest_vectors(spark, sf_dir):
     return neighbours.nearest(vectors.filter("vec_id % 100 = 0"), vectors)
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
 def op13_fill_in_middle(spark, sf_dir):
     return infill.digests(table(spark, sf_dir, "documents"))
 
@@ -80,6 +85,7 @@ QUERIES = {
         op8_language,
         op9_quality_votes,
         op10_nearest_vectors,
+        op11_embedding_whitening,
         op13_fill_in_middle,
     )
 }
