@@ -13,6 +13,7 @@ from recallgrid.llm import (
     pieces,
     pii,
     rules,
+    signatures,
     simhash,
     token_counts,
     toxicity,
@@ -68,6 +69,10 @@ def op11_embedding_whitening(spark, sf_dir):
     return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
 
 
+def op12_ngram_jaccard(spark, sf_dir):
+    return signatures.similar_sets(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark, sf_dir):
     return infill.digests(table(spark, sf_dir, "documents"))
 
@@ -86,6 +91,7 @@ QUERIES = {
         op9_quality_votes,
         op10_nearest_vectors,
         op11_embedding_whitening,
+        op12_ngram_jaccard,
         op13_fill_in_middle,
     )
 }
