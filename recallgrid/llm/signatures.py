@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recallgrid.llm.common import Remembered, batch_of, bounded_batches, pieces, texts
+from recallgrid.llm.common import batch_of, bounded_batches, pieces, texts
 from recallgrid.llm.graph import components
 from recallgrid.sources.storage import stored
 
@@ -36,9 +36,9 @@ CHUNK, CHUNK_TOKENS = 512, 1_000_000
 #: Pairs of nodes that are compared at once.
 FRONT = 1 << 14
 #: Tokens that a task gathers before it counts which of them many of its sets hold.
-GATHERED = 2_000_000
+GATHERED = 3_000_000
 #: Of these, the ones in so many sets are told; the FREQUENT most frequent of all tasks go to the end of every set's order.
-OFTEN, FREQUENT = 4, 100_000
+OFTEN, FREQUENT = 3, 300_000
 #: log2 of the 64-bit words of a filter that is sent to all tasks: 16 MB, whatever the input.
 FILTER = 21
 
@@ -47,26 +47,57 @@ _MIX_2 = np.uint64(0xFF51AFD7ED558CCD)
 _HALF = np.uint64(32)
 
 
-def _word(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+# Bytes of words: white space counts nothing, A-Z as a-z.
+_BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_BYTE = np.random.default_rng(42).integers(0, 1 << 64, 256, np.uint64)
+_BYTE[65:91] = _BYTE[97:123]
+_BYTE[_BLANK] = 0
+#: Powers of an odd factor and of its inverse, as many as the longest piece has needed.
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-_WORD_OF = Remembered(_word)
+def _powers(n: int) -> list[np.ndarray]:
+    if n > len(_POWERS[0]):
+        factor = int(_MIX)
+        for i, x in enumerate((factor, pow(factor, -1, 1 << 64))):
+            out = np.full(max(n, 1 << 16), x, np.uint64)
+            out[0] = 1
+            _POWERS[i] = np.cumprod(out, dtype=np.uint64)
+    return _POWERS
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """One 64-bit hash for each word: its bytes, lower-cased, as the digits of a number."""
+    if not data:
+        return np.zeros(0, np.uint64)
+    power, inverse = _powers(len(data))
+    codes = np.frombuffer(data, np.uint8)
+    blank = _BLANK[codes]
+    sums = np.cumsum(_BYTE[codes] * power[: len(codes)], dtype=np.uint64)
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    edges = np.concatenate([[0] * (not blank[0]), edges, [len(codes)] * (not blank[-1])]).astype(np.int64)
+    start, end = edges[::2], edges[1::2]
+    return (sums[end - 1] - np.where(start > 0, sums[start - 1], np.uint64(0))) * inverse[start]
+
+
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    """Ascending, without repeats."""
+    hashes = np.sort(hashes)
+    return hashes[np.concatenate([[True], hashes[1:] != hashes[:-1]])] if len(hashes) else hashes
 
 
 def tokens(data: bytes, words: int = WORDS) -> np.ndarray:
     """The different n-grams of a text as ascending 64-bit hashes; of a shorter text one for all its words."""
     parts, carried = [], np.zeros(0, np.uint64)
-    for piece in pieces(data.lower()):
-        found = piece.split()
-        hashes = np.concatenate([carried, np.fromiter(map(_WORD_OF.__getitem__, found), np.uint64, len(found))])
+    for piece in pieces(data):
+        hashes = np.concatenate([carried, word_hashes(piece)])
         n = len(hashes) - words + 1
         if n > 0:
-            parts.append(np.unique(_combined([hashes[i : i + n] for i in range(words)])))
+            parts.append(_distinct(_combined([hashes[i : i + n] for i in range(words)])))
         carried = hashes[max(0, n) :]
     if not parts:
         return _combined([carried[i : i + 1] for i in range(len(carried))]) if len(carried) else carried
-    return np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0]
+    return _distinct(np.concatenate(parts)) if len(parts) > 1 else parts[0]
 
 
 def _combined(hashes: list[np.ndarray]) -> np.ndarray:
@@ -87,9 +118,18 @@ def enough(common, size_a, size_b, least: int = LEAST):
     return (100 + least) * common >= least * (size_a + size_b)
 
 
-def prefix_length(n: int, least: int = LEAST) -> int:
-    """How many tokens of a set of n, in any common order, hold one of every set that links with it."""
-    return n - -(-least * n // 100) + 1
+def prefix_length(n: int, least: int = LEAST, shared: int = 1) -> int:
+    """How many tokens of a set of n, in any common order, hold `shared` of every set that links with it.
+
+    Such a set has at least `least` percent of the n; with fewer in common
+    than `shared`, all of them.
+    """
+    return min(n, n - -(-least * n // 100) + shared)
+
+
+def asked(n: int, least: int = LEAST) -> int:
+    """How many shared tokens a set of n is asked for in its prefix; more for larger sets."""
+    return 1 + n * (100 - least) // 400
 
 
 # -- first passes over the texts ----------------------------------------------------------------
@@ -132,8 +172,13 @@ def _outlines(words: int):
 
 
 def _prefixes(sent, words: int, least: int):
-    """token, node: the first tokens of each set, frequent ones last."""
-    schema = pa.schema([("token", pa.int64()), ("node", pa.int64())])
+    """token, node and mark for the first tokens of each set, frequent ones last.
+
+    The mark's lowest bit tells whether the token is in the prefix for one
+    shared token; the rest is how many shared tokens the set needs among all
+    rows to have any partner, the smallest that links included.
+    """
+    schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("mark", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from recallgrid.llm import signatures
@@ -141,27 +186,28 @@ def _prefixes(sent, words: int, least: int):
         frequent, counts = sent.value
         known: set[int] = set()
         for batch in batches:
-            token, node = [], []
+            token, node, mark = [], [], []
             for data in texts(batch):
                 found = signatures.tokens(data, words)
-                of = signatures.set_id(found)
-                if not len(found) or of in known:
+                of, n = signatures.set_id(found), len(found)
+                if not n or of in known:
                     continue
                 if len(known) >= 100_000:
                     known.clear()
                 known.add(of)
-                first = signatures.prefix(found, frequent, counts, least)
+                first = signatures.prefix(found, frequent, counts, signatures.prefix_length(n, least, signatures.asked(n, least)))
+                needed = signatures.asked(-(-least * n // 100), least)
                 token.append(first)
                 node.append(np.full(len(first), of, np.int64))
+                mark.append(2 * needed + (np.arange(len(first)) < signatures.prefix_length(n, least)))
             if token:
-                yield batch_of(schema, [np.concatenate(token).view(np.int64), np.concatenate(node)])
+                yield batch_of(schema, [np.concatenate(token).view(np.int64), np.concatenate(node), np.concatenate(mark).astype(np.int32)])
 
     return run
 
 
-def prefix(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray, least: int = LEAST) -> np.ndarray:
-    """The first tokens of a set by (frequency, hash); tokens that are not frequent count as 0."""
-    k = prefix_length(len(found), least)
+def prefix(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
+    """The first k tokens of a set by (frequency, hash); tokens that are not frequent count as 0."""
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
         often = np.where(frequent[at] == found, counts[at], 0)
@@ -197,19 +243,22 @@ def _let_through(sent, column: str):
 
 
 def _sets(sent, words: int):
-    """node, size and tokens of the sets that pass a filter, each about once in a task."""
+    """node, size and tokens of the sets that pass a filter on (node, doc_id), each about once in a task."""
     schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from recallgrid.llm import signatures
 
+        ids, pairs = sent.value
         known: set[int] = set()
         for batch in batches:
+            doc = np.array([-1 if x is None else x for x in batch.column(0).to_pylist()], np.int64)
             rows = []
-            for data in texts(batch):
+            for i in np.flatnonzero(signatures.passes(ids, signatures.scattered(doc))).tolist():
+                data = texts(batch.slice(i, 1))[0]
                 found = signatures.tokens(data, words)
                 node = signatures.set_id(found)
-                if node in known or not signatures.passes(sent.value, np.array([node])).any():
+                if node in known or not signatures.passes(pairs, signatures.scattered(doc[i : i + 1]) ^ node).any():
                     continue
                 if len(known) >= 100_000:
                     known.clear()
@@ -221,6 +270,26 @@ def _sets(sent, words: int):
     return run
 
 
+#: An id is spread over 64 bits by these rotations of its bits.
+_TURNS = (11, 24, 37, 50)
+
+
+def scattered(ids: np.ndarray) -> np.ndarray:
+    """Ids with their low bits spread out, as keys of a filter; _scattered is the same for columns."""
+    x = ids.view(np.uint64)
+    out = x
+    for turn in _TURNS:
+        out = out ^ ((x << np.uint64(turn)) | (x >> np.uint64(64 - turn)))
+    return out.view(np.int64)
+
+
+def _scattered(ids: Column) -> Column:
+    out = ids
+    for turn in _TURNS:
+        out = out.bitwiseXOR(F.shiftleft(ids, turn).bitwiseOR(F.shiftrightunsigned(ids, 64 - turn)))
+    return out
+
+
 # -- trees --------------------------------------------------------------------------------------
 
 
@@ -349,12 +418,19 @@ def _tree(rows: pa.Table, places: np.ndarray, kinds: np.ndarray) -> Tree:
     return Tree([np.frombuffer(column[int(i)].as_py(), np.uint64) for i in places], kinds[places])
 
 
+def _once(rows: pa.Table, keys: list[str]) -> pa.Table:
+    keyed = np.stack([rows.column(k).to_numpy().astype(np.int64) for k in keys], 1)
+    return rows.take(np.sort(np.unique(keyed, axis=0, return_index=True)[1]))
+
+
 def _cell(least: int):
     """Links within side 0, or between sides 0 and 1, of the rows of a cell."""
 
     def run(rows: pa.Table) -> pa.Table:
         from recallgrid.llm import signatures as own
 
+        # A set may come more than once, from rows of different tasks.
+        rows = own._once(rows, ["side", "node"])
         node, side, label = (rows.column(c).to_numpy() for c in ("node", "side", "label"))
         kinds = np.unique(label, return_inverse=True)[1]
         first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -371,6 +447,7 @@ def _cell(least: int):
 def _root(rows: pa.Table) -> pa.Table:
     from recallgrid.llm import signatures as own
 
+    rows = own._once(rows, ["node"])
     tree = own._tree(rows, np.arange(len(rows)), np.zeros(len(rows), np.int64))
     top = tree.levels[-1]
     schema = pa.schema([("chunk", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("beyond", pa.int64()), ("bitmap", pa.list_(pa.int64()))])
@@ -417,7 +494,7 @@ def _across(members: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     part = F.when(F.col("own"), F.pmod(F.xxhash64("node"), "parts")).otherwise(F.pmod(F.xxhash64("label"), "parts"))
     chunk = F.xxhash64("hub", "band", F.coalesce(pure, F.lit(0)), F.col("own").cast("int"), part)
     placed = stored(placed.select("hub", "band", pure.alias("pure"), chunk.alias("chunk"), "node", "label"), "chunks")
-    roots = placed.join(sets, "node").select("chunk", "tokens")
+    roots = placed.join(sets.select("node", "tokens"), "node").select("chunk", "node", "tokens")
     roots = roots.groupBy("chunk").applyInArrow(_root, "chunk long, low long, high long, beyond long, bitmap array<long>")
     tops = stored(placed.select("hub", "band", "pure", "chunk").distinct().join(roots, "chunk"), "roots")
     a = tops.select("hub", *(F.col(c).alias(f"{c}_a") for c in ("band", "pure", "chunk", "low", "high", "beyond", "bitmap")))
@@ -436,6 +513,23 @@ def _across(members: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return _cells(sides.join(placed.select("chunk", "node", "label"), "chunk").select("cell", "side", "node", "label"), sets, least)
 
 
+def _members(shared: DataFrame) -> DataFrame:
+    """hub and node: the groups in which sets can meet; shared has the prefix rows of tokens in several sets.
+
+    A set with fewer shared tokens than its mark asks for has no partner.
+    Without such sets fewer tokens are shared, so the rows are counted twice.
+    """
+    for _ in range(2):
+        counts = shared.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max(F.shiftright("mark", 1)).alias("needed"))
+        alive = stored(counts.filter("n >= needed").select("node"), "alive")
+        rest = shared.join(alive, "node", "left_semi")
+        hubs = rest.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("token", "hub")
+        shared = stored(rest.drop("hub").join(hubs, "token").select("hub", "token", "node", "mark"), "shared")
+    members = shared.filter(F.col("mark").bitwiseAND(F.lit(1)) == 1).select("hub", "node").distinct()
+    several = members.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hub")
+    return stored(members.join(several, "hub"), "members")
+
+
 def similar_sets(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
     """Groups of documents whose sets of word n-grams link.
 
@@ -449,7 +543,8 @@ def similar_sets(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> Dat
     rare ones first, name the groups in which it can meet a partner (the
     smallest set with the token stands for it); frequent tokens, told by
     counts over all documents, come last in the order, so common passages
-    name no group unless a text is little else. A group's sets go into
+    name no group unless a text is little else. Sets that share too few of
+    these tokens with any other set have no partner and go no further. A group's sets go into
     signature trees of about CHUNK sets. Links that join what is joined
     already are not verified, so a dense group costs no pair for each pair.
 
@@ -469,23 +564,27 @@ def similar_sets(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> Dat
     token, n = often.column("token").to_numpy().view(np.uint64), often.column("n").to_numpy()
     order = np.argsort(token)
     sent = spark.sparkContext.broadcast((token[order], n[order]))
-    first = stored(read.select("text").mapInArrow(_prefixes(sent, words, least), "token long, node long"), "prefixes")
+    first = read.select("text").mapInArrow(_prefixes(sent, words, least), "token long, node long, mark int")
+    first = stored(first, "prefixes")
     hubs = first.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("token", "hub")
     hubs = stored(hubs, "hubs")
     held = spark.sparkContext.broadcast(_filter_of(hubs, "token"))
-    shared = first.mapInArrow(_let_through(held, "token"), "token long, node long")
-    members = stored(shared.join(hubs, "token").select("hub", "node").distinct(), "members")
-    wanted = spark.sparkContext.broadcast(_filter_of(members, "node"))
-    sets = read.select("text").mapInArrow(_sets(wanted, words), "node long, size long, tokens binary")
-    sets = stored(sets.dropDuplicates(["node"]), "sets")
-    sized = members.join(sets.select("node", "size"), "node")
-    groups = sized.groupBy("hub").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("of"))
-    groups = stored(groups.select("hub", _parts(F.col("rows"), F.col("of")).alias("parts")), "groups")
+    shared = first.mapInArrow(_let_through(held, "token"), "token long, node long, mark int")
+    shared = stored(shared.join(hubs, "token").select("hub", "token", "node", "mark").distinct(), "shared")
+    members = _members(shared)
+    keepers = outlines.join(members.select("node").distinct(), "node").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("id"))
+    keepers = stored(keepers.select("node", _scattered(F.col("id")).alias("id")), "keepers")
+    pair = keepers.select(F.col("node").bitwiseXOR(F.col("id")).alias("pair"))
+    wanted = spark.sparkContext.broadcast((_filter_of(keepers, "id"), _filter_of(pair, "pair")))
+    sets = stored(read.mapInArrow(_sets(wanted, words), "node long, size long, tokens binary"), "sets")
+    sized = members.join(sets.select("node", "size").distinct(), "node")
+    groups = sized.groupBy("hub").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("of"), F.min("node").alias("least"))
+    groups = stored(groups.select("hub", "least", _parts(F.col("rows"), F.col("of")).alias("parts")), "groups")
     placed = members.join(groups, "hub")
     part = F.pmod(F.xxhash64("node"), "parts")
     # The smallest set of a group is in each of its parts and ties them together.
-    in_parts = placed.filter("node <> hub").select("hub", "node", part.alias("part")).union(
-        placed.filter("node = hub").select("hub", "node", F.explode(F.expr("sequence(0L, parts - 1)")))
+    in_parts = placed.filter("node <> least").select("hub", "node", part.alias("part")).union(
+        placed.filter("node = least").select("hub", "node", F.explode(F.expr("sequence(0L, parts - 1)")))
     )
     cells = in_parts.select(F.xxhash64("hub", "part").alias("cell"), F.lit(0).alias("side"), F.col("node").alias("label"), "node")
     links = stored(_cells(cells, sets, least), "links")

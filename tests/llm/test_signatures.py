@@ -116,9 +116,30 @@ def test_dense_group_of_several_classes(spark, documents, monkeypatch):
 def test_frequent_tokens_go_last():
     found = np.sort(np.random.default_rng(1).integers(0, 1 << 64, 50, np.uint64))
     often = found[:20]
-    first = signatures.prefix(found, often, np.full(20, 9))
+    first = signatures.prefix(found, often, np.full(20, 9), 11)
     assert len(first) == 11 and not set(first.tolist()) & set(often.tolist())
-    assert signatures.prefix_length(1) == 1 and signatures.prefix_length(5) == 2
+    assert signatures.prefix_length(1) == 1 and signatures.prefix_length(5) == 2 and signatures.prefix_length(50) == 11
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_linked_sets_share_what_is_asked(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 400))
+    x = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+    for _ in range(30):
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < rng.uniform(0.75, 1)], rng.integers(0, 1 << 64, rng.integers(0, 1 + n // 5), np.uint64)]))
+        if len(y) and signatures.enough(signatures.overlap(x, y), len(x), len(y)):
+            first = [set(z[: signatures.prefix_length(len(z), 80, signatures.asked(len(z)))].tolist()) for z in (x, y)]
+            for z, w in ((x, y), (y, x)):
+                assert len(first[0] & first[1]) >= signatures.asked(-(-80 * len(z) // 100))
+
+
+def test_words_are_hashed_alike():
+    a, b = (signatures.word_hashes(t.encode()) for t in ("One  twó\tOne 日本", "\n日本 tWó one "))
+    assert a[0] == a[2] == b[2] and a[3] == b[0] and len({*a.tolist(), *b.tolist()}) == 3 and a[1] == b[1]
+    long = "ab" * 600_000
+    assert signatures.word_hashes(f"x {long}".encode())[1] == signatures.word_hashes(f"{long} y".encode())[0]
+    assert len(signatures.tokens(f"x {long} y {long} z w".encode())) == 2
 
 
 @pytest.mark.parametrize("seed", range(6))
