@@ -513,19 +513,19 @@ def _across(members: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return _cells(sides.join(placed.select("chunk", "node", "label"), "chunk").select("cell", "side", "node", "label"), sets, least)
 
 
+_SHARED = "hub long, node long, mark int"
+
+
 def _members(shared: DataFrame) -> DataFrame:
     """hub and node: the groups in which sets can meet; shared has the prefix rows of tokens in several sets.
 
     A set with fewer shared tokens than its mark asks for has no partner.
-    Without such sets fewer tokens are shared, so the rows are counted twice.
     """
-    for _ in range(2):
-        counts = shared.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max(F.shiftright("mark", 1)).alias("needed"))
-        alive = stored(counts.filter("n >= needed").select("node"), "alive")
-        rest = shared.join(alive, "node", "left_semi")
-        hubs = rest.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("token", "hub")
-        shared = stored(rest.drop("hub").join(hubs, "token").select("hub", "token", "node", "mark"), "shared")
-    members = shared.filter(F.col("mark").bitwiseAND(F.lit(1)) == 1).select("hub", "node").distinct()
+    counts = shared.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max(F.shiftright("mark", 1)).alias("needed"))
+    alive = stored(counts.filter("n >= needed").select("node"), "alive")
+    sent = shared.sparkSession.sparkContext.broadcast(_filter_of(alive, "node"))
+    first = shared.filter(F.col("mark").bitwiseAND(F.lit(1)) == 1).mapInArrow(_let_through(sent, "node"), _SHARED)
+    members = stored(first.select("hub", "node").distinct(), "met")
     several = members.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hub")
     return stored(members.join(several, "hub"), "members")
 
@@ -570,7 +570,9 @@ def similar_sets(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> Dat
     hubs = stored(hubs, "hubs")
     held = spark.sparkContext.broadcast(_filter_of(hubs, "token"))
     shared = first.mapInArrow(_let_through(held, "token"), "token long, node long, mark int")
-    shared = stored(shared.join(hubs, "token").select("hub", "token", "node", "mark").distinct(), "shared")
+    # The distinct rows need no shuffle of their own: the join has dealt them by token.
+    shared = shared.join(hubs, "token").select("token", "hub", "node", "mark").distinct()
+    shared = stored(shared.select("hub", "node", "mark"), "shared")
     members = _members(shared)
     keepers = outlines.join(members.select("node").distinct(), "node").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("id"))
     keepers = stored(keepers.select("node", _scattered(F.col("id")).alias("id")), "keepers")
