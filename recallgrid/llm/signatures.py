@@ -175,8 +175,7 @@ def _prefixes(sent, words: int, least: int):
     """token, node and mark for the first tokens of each set, frequent ones last.
 
     The mark's lowest bit tells whether the token is in the prefix for one
-    shared token; the rest is how many shared tokens the set needs among all
-    rows to have any partner, the smallest that links included.
+    shared token; the rest is the size of the set.
     """
     schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("mark", pa.int32())])
 
@@ -196,10 +195,9 @@ def _prefixes(sent, words: int, least: int):
                     known.clear()
                 known.add(of)
                 first = signatures.prefix(found, frequent, counts, signatures.prefix_length(n, least, signatures.asked(n, least)))
-                needed = signatures.asked(-(-least * n // 100), least)
                 token.append(first)
                 node.append(np.full(len(first), of, np.int64))
-                mark.append(2 * needed + (np.arange(len(first)) < signatures.prefix_length(n, least)))
+                mark.append(2 * n + (np.arange(len(first)) < signatures.prefix_length(n, least)))
             if token:
                 yield batch_of(schema, [np.concatenate(token).view(np.int64), np.concatenate(node), np.concatenate(mark).astype(np.int32)])
 
@@ -243,8 +241,8 @@ def _let_through(sent, column: str):
 
 
 def _sets(sent, words: int):
-    """node, size and tokens of the sets that pass a filter on (node, doc_id), each about once in a task."""
-    schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("tokens", pa.binary())])
+    """node and tokens of the sets that pass a filter on (node, doc_id), each about once in a task."""
+    schema = pa.schema([("node", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from recallgrid.llm import signatures
@@ -263,7 +261,7 @@ def _sets(sent, words: int):
                 if len(known) >= 100_000:
                     known.clear()
                 known.add(node)
-                rows.append((node, len(found), found.tobytes()))
+                rows.append((node, found.tobytes()))
             if rows:
                 yield batch_of(schema, zip(*rows, strict=True))
 
@@ -465,7 +463,7 @@ def _parts(rows: Column, size: Column) -> Column:
 
 def _cells(members: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """Links of the cells: members has cell, side, node and label."""
-    rows = members.join(sets.select("node", "tokens"), "node").select("cell", "side", "label", "node", "tokens")
+    rows = members.join(sets, "node").select("cell", "side", "label", "node", "tokens")
     return rows.groupBy("cell").applyInArrow(_cell(least), "a long, b long")
 
 
@@ -494,7 +492,7 @@ def _across(members: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     part = F.when(F.col("own"), F.pmod(F.xxhash64("node"), "parts")).otherwise(F.pmod(F.xxhash64("label"), "parts"))
     chunk = F.xxhash64("hub", "band", F.coalesce(pure, F.lit(0)), F.col("own").cast("int"), part)
     placed = stored(placed.select("hub", "band", pure.alias("pure"), chunk.alias("chunk"), "node", "label"), "chunks")
-    roots = placed.join(sets.select("node", "tokens"), "node").select("chunk", "node", "tokens")
+    roots = placed.join(sets, "node").select("chunk", "node", "tokens")
     roots = roots.groupBy("chunk").applyInArrow(_root, "chunk long, low long, high long, beyond long, bitmap array<long>")
     tops = stored(placed.select("hub", "band", "pure", "chunk").distinct().join(roots, "chunk"), "roots")
     a = tops.select("hub", *(F.col(c).alias(f"{c}_a") for c in ("band", "pure", "chunk", "low", "high", "beyond", "bitmap")))
@@ -516,18 +514,30 @@ def _across(members: DataFrame, sets: DataFrame, least: int) -> DataFrame:
 _SHARED = "hub long, node long, mark int"
 
 
-def _members(shared: DataFrame) -> DataFrame:
-    """hub and node: the groups in which sets can meet; shared has the prefix rows of tokens in several sets.
+def _needed(size: Column, least: int) -> Column:
+    """Shared tokens that a set needs for any partner: what its smallest partner is asked for; see asked()."""
+    smallest = F.floor((size * least + 99) / 100)
+    return 1 + F.floor(smallest * (100 - least) / 400)
 
-    A set with fewer shared tokens than its mark asks for has no partner.
+
+def _members(shared: DataFrame, least: int) -> DataFrame:
+    """hub, node, size: the groups in which sets can meet; shared has the prefix rows of tokens in several sets.
+
+    A set with fewer shared tokens than its partners ask for has none, nor
+    has a set in a group without another of a size that could link.
     """
-    counts = shared.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max(F.shiftright("mark", 1)).alias("needed"))
-    alive = stored(counts.filter("n >= needed").select("node"), "alive")
+    size = F.shiftright("mark", 1).cast("long")
+    counts = shared.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max(size).alias("size"))
+    alive = stored(counts.filter(F.col("n") >= _needed(F.col("size"), least)).select("node"), "alive")
     sent = shared.sparkSession.sparkContext.broadcast(_filter_of(alive, "node"))
     first = shared.filter(F.col("mark").bitwiseAND(F.lit(1)) == 1).mapInArrow(_let_through(sent, "node"), _SHARED)
-    members = stored(first.select("hub", "node").distinct(), "met")
-    several = members.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hub")
-    return stored(members.join(several, "hub"), "members")
+    # Sizes of sets that link lie within four of these bands.
+    band = F.floor(F.log(size.cast("double")) / float(np.log(1.003 * (100 / least) ** 0.25))).cast("long")
+    met = stored(first.select("hub", "node", size.alias("size"), band.alias("band")).distinct(), "met")
+    near = met.groupBy("hub", "band").agg(F.count(F.lit(1)).alias("n"))
+    near = near.select("hub", F.explode(F.sequence(F.col("band") - 4, F.col("band") + 4)).alias("band"), "n")
+    near = near.groupBy("hub", "band").agg(F.sum("n").alias("n")).filter("n > 1").select("hub", "band")
+    return stored(met.join(near, ["hub", "band"]).select("hub", "node", "size"), "members")
 
 
 def similar_sets(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
@@ -573,14 +583,13 @@ def similar_sets(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> Dat
     # The distinct rows need no shuffle of their own: the join has dealt them by token.
     shared = shared.join(hubs, "token").select("token", "hub", "node", "mark").distinct()
     shared = stored(shared.select("hub", "node", "mark"), "shared")
-    members = _members(shared)
+    members = _members(shared, least)
     keepers = outlines.join(members.select("node").distinct(), "node").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("id"))
     keepers = stored(keepers.select("node", _scattered(F.col("id")).alias("id")), "keepers")
     pair = keepers.select(F.col("node").bitwiseXOR(F.col("id")).alias("pair"))
     wanted = spark.sparkContext.broadcast((_filter_of(keepers, "id"), _filter_of(pair, "pair")))
-    sets = stored(read.mapInArrow(_sets(wanted, words), "node long, size long, tokens binary"), "sets")
-    sized = members.join(sets.select("node", "size").distinct(), "node")
-    groups = sized.groupBy("hub").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("of"), F.min("node").alias("least"))
+    sets = stored(read.mapInArrow(_sets(wanted, words), "node long, tokens binary"), "sets")
+    groups = members.groupBy("hub").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("of"), F.min("node").alias("least"))
     groups = stored(groups.select("hub", "least", _parts(F.col("rows"), F.col("of")).alias("parts")), "groups")
     placed = members.join(groups, "hub")
     part = F.pmod(F.xxhash64("node"), "parts")
@@ -593,10 +602,12 @@ def similar_sets(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> Dat
     large = groups.filter("parts > 1").select("hub")
     if not large.isEmpty():
         classes = components(links)
-        rest = sized.join(large, "hub").join(classes, "node", "left")
+        rest = members.join(large, "hub").join(classes, "node", "left")
         rest = rest.select("hub", "node", "size", F.coalesce("component", "node").alias("label"))
         open_ = rest.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("hub")
         rest = stored(rest.join(open_, "hub"), "open")
+        few = spark.sparkContext.broadcast(_filter_of(rest, "node"))
+        sets = stored(sets.mapInArrow(_let_through(few, "node"), "node long, tokens binary"), "open-sets")
         links = stored(links.union(_across(rest, sets, least)), "links")
     classes = components(links)
     for value in (sent, held, wanted):

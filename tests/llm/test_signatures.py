@@ -134,6 +134,12 @@ def test_linked_sets_share_what_is_asked(seed):
                 assert len(first[0] & first[1]) >= signatures.asked(-(-80 * len(z) // 100))
 
 
+def test_needed_is_what_partners_are_asked_for(spark):
+    for least in (80, 75, 90):
+        rows = spark.range(1, 3000).select("id", signatures._needed(signatures.F.col("id"), least).alias("n")).collect()
+        assert all(r.n == signatures.asked(-(-least * r.id // 100), least) for r in rows)
+
+
 def test_words_are_hashed_alike():
     a, b = (signatures.word_hashes(t.encode()) for t in ("One  twó\tOne 日本", "\n日本 tWó one "))
     assert a[0] == a[2] == b[2] and a[3] == b[0] and len({*a.tolist(), *b.tolist()}) == 3 and a[1] == b[1]
