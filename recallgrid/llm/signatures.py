@@ -241,8 +241,10 @@ def _let_through(sent, column: str):
 
 
 def _sets(sent, words: int):
-    """node and tokens of the sets that pass a filter on (node, doc_id), each about once in a task."""
-    schema = pa.schema([("node", pa.int64()), ("tokens", pa.binary())])
+    """Signatures and tokens of the sets that pass a filter on (node, doc_id), each about once in a task."""
+    schema = pa.schema(
+        [("node", pa.int64()), ("size", pa.int64()), ("first", pa.int64()), ("bitmap", pa.binary()), ("tokens", pa.binary())]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from recallgrid.llm import signatures
@@ -261,7 +263,7 @@ def _sets(sent, words: int):
                 if len(known) >= 100_000:
                     known.clear()
                 known.add(node)
-                rows.append((node, found.tobytes()))
+                rows.append((node, len(found), int(found[:1].view(np.int64)[0]), signatures.bitmap(found).tobytes(), found.tobytes()))
             if rows:
                 yield batch_of(schema, zip(*rows, strict=True))
 
@@ -310,29 +312,36 @@ class Level:
         )
 
 
-def bitmap(found: np.ndarray) -> tuple[np.ndarray, int]:
-    """The bitmap of a set, and how many of its tokens are beyond one for each bit."""
-    bits = np.unique((found * _MIX) >> np.uint64(64 - 6 - BITMAP.bit_length() + 1))
+def bitmap(found: np.ndarray) -> np.ndarray:
+    bits = (found * _MIX) >> np.uint64(64 - 6 - BITMAP.bit_length() + 1)
     out = np.zeros(BITMAP, np.uint64)
     np.bitwise_or.at(out, (bits >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bits & np.uint64(63)))
-    return out, len(found) - len(bits)
+    return out
 
 
 class Tree:
-    """Sets in leaves of neighbours by size and least token; levels from the sets (0) to the root."""
+    """Signatures in leaves of neighbours by size and least token; levels from the sets (0) to the root.
 
-    def __init__(self, sets: list[np.ndarray], kinds: np.ndarray):
-        size = np.array([len(x) for x in sets], np.int64)
-        first = np.array([x[0] for x in sets], np.uint64)
+    Without the sets themselves, two sets count as linked when their
+    signatures allow it.
+    """
+
+    def __init__(self, size: np.ndarray, first: np.ndarray, bitmaps: np.ndarray, kinds: np.ndarray, sets: list[np.ndarray] | None = None):
         self.order = np.lexsort((size, first, np.floor(np.log(size) / np.log(1.1))))
-        self.sets = [sets[i] for i in self.order]
-        pairs = [bitmap(x) for x in self.sets]
-        size = size[self.order]
-        level = Level(np.array([b for b, _ in pairs]), size, size, np.array([e for _, e in pairs], np.int64), kinds[self.order])
-        self.levels = [level]
+        size, bitmaps = size[self.order], bitmaps[self.order]
+        self.sets = [sets[i] for i in self.order] if sets is not None else None
+        # Tokens beyond one for each bit.
+        beyond = size - np.bitwise_count(bitmaps).sum(1, dtype=np.int64)
+        self.levels = [Level(bitmaps, size, size, beyond, kinds[self.order])]
         while len(self.levels[-1].low) > 1:
             self.levels.append(self.levels[-1].above())
 
+    @classmethod
+    def of(cls, sets: list[np.ndarray], kinds: np.ndarray) -> Tree:
+        size = np.array([len(x) for x in sets], np.int64)
+        first = np.array([x[0] for x in sets], np.uint64).view(np.int64)
+        return cls(size, first, np.array([bitmap(x) for x in sets]), kinds, sets)
+
     def raised(self, height: int) -> Tree:
         while len(self.levels) < height:
             self.levels.append(self.levels[-1].above())
@@ -402,8 +411,7 @@ def linked(a: Tree, b: Tree, classes_a: np.ndarray, classes_b: np.ndarray, least
         for p, q in zip(i.tolist(), j.tolist(), strict=True):
             u, v = root(int(classes_a[p])), root(int(classes_b[q]))
             if u != v:
-                x, y = a.sets[p], b.sets[q]
-                if enough(overlap(x, y), len(x), len(y), least):
+                if a.sets is None or enough(overlap(a.sets[p], b.sets[q]), len(a.sets[p]), len(b.sets[q]), least):
                     parent[u] = v
                     yield p, q
 
@@ -412,8 +420,12 @@ _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _tree(rows: pa.Table, places: np.ndarray, kinds: np.ndarray) -> Tree:
-    column = rows.column("tokens")
-    return Tree([np.frombuffer(column[int(i)].as_py(), np.uint64) for i in places], kinds[places])
+    size, first = (rows.column(c).to_numpy()[places] for c in ("size", "first"))
+    bitmaps = np.frombuffer(b"".join(rows.column("bitmap").take(pa.array(places)).to_pylist()), np.uint64).reshape(-1, BITMAP)
+    sets = None
+    if "tokens" in rows.column_names:
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("tokens").take(pa.array(places))]
+    return Tree(size, first, bitmaps, kinds[places], sets)
 
 
 def _once(rows: pa.Table, keys: list[str]) -> pa.Table:
@@ -446,8 +458,7 @@ def _root(rows: pa.Table) -> pa.Table:
     from recallgrid.llm import signatures as own
 
     rows = own._once(rows, ["node"])
-    tree = own._tree(rows, np.arange(len(rows)), np.zeros(len(rows), np.int64))
-    top = tree.levels[-1]
+    top = own._tree(rows, np.arange(len(rows)), np.zeros(len(rows), np.int64)).levels[-1]
     schema = pa.schema([("chunk", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("beyond", pa.int64()), ("bitmap", pa.list_(pa.int64()))])
     columns = [rows.column("chunk").to_pylist()[:1], top.low, top.high, top.beyond, [top.bitmaps[0].view(np.int64)]]
     return pa.Table.from_batches([batch_of(schema, columns)])
@@ -463,7 +474,7 @@ def _parts(rows: Column, size: Column) -> Column:
 
 def _cells(members: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """Links of the cells: members has cell, side, node and label."""
-    rows = members.join(sets, "node").select("cell", "side", "label", "node", "tokens")
+    rows = members.join(sets, "node")
     return rows.groupBy("cell").applyInArrow(_cell(least), "a long, b long")
 
 
@@ -492,7 +503,7 @@ def _across(members: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     part = F.when(F.col("own"), F.pmod(F.xxhash64("node"), "parts")).otherwise(F.pmod(F.xxhash64("label"), "parts"))
     chunk = F.xxhash64("hub", "band", F.coalesce(pure, F.lit(0)), F.col("own").cast("int"), part)
     placed = stored(placed.select("hub", "band", pure.alias("pure"), chunk.alias("chunk"), "node", "label"), "chunks")
-    roots = placed.join(sets, "node").select("chunk", "node", "tokens")
+    roots = placed.select("chunk", "node").join(sets.select("node", "size", "first", "bitmap"), "node")
     roots = roots.groupBy("chunk").applyInArrow(_root, "chunk long, low long, high long, beyond long, bitmap array<long>")
     tops = stored(placed.select("hub", "band", "pure", "chunk").distinct().join(roots, "chunk"), "roots")
     a = tops.select("hub", *(F.col(c).alias(f"{c}_a") for c in ("band", "pure", "chunk", "low", "high", "beyond", "bitmap")))
@@ -540,6 +551,34 @@ def _members(shared: DataFrame, least: int) -> DataFrame:
     return stored(met.join(near, ["hub", "band"]).select("hub", "node", "size"), "members")
 
 
+def _links(members: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """Links between the sets of each group that join them as all links would; members has hub, node and size.
+
+    sets: node, size, first, bitmap and, to verify the links, tokens.
+    """
+    groups = members.groupBy("hub").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("of"), F.min("node").alias("least"))
+    groups = stored(groups.select("hub", "least", _parts(F.col("rows"), F.col("of")).alias("parts")), "groups")
+    placed = members.join(groups, "hub")
+    part = F.pmod(F.xxhash64("node"), "parts")
+    # The smallest set of a group is in each of its parts and ties them together.
+    in_parts = placed.filter("node <> least").select("hub", "node", part.alias("part")).union(
+        placed.filter("node = least").select("hub", "node", F.explode(F.expr("sequence(0L, parts - 1)")))
+    )
+    cells = in_parts.select(F.xxhash64("hub", "part").alias("cell"), F.lit(0).alias("side"), F.col("node").alias("label"), "node")
+    links = stored(_cells(cells, sets, least), "links")
+    large = groups.filter("parts > 1").select("hub")
+    if large.isEmpty():
+        return links
+    classes = components(links)
+    rest = members.join(large, "hub").join(classes, "node", "left")
+    rest = rest.select("hub", "node", "size", F.coalesce("component", "node").alias("label"))
+    open_ = rest.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("hub")
+    rest = stored(rest.join(open_, "hub"), "open")
+    few = members.sparkSession.sparkContext.broadcast(_filter_of(rest, "node"))
+    sets = sets.mapInArrow(_let_through(few, "node"), sets.schema)
+    return stored(links.union(_across(rest, stored(sets, "open-sets"), least)), "links")
+
+
 def similar_sets(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
     """Groups of documents whose sets of word n-grams link.
 
@@ -588,27 +627,12 @@ def similar_sets(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> Dat
     keepers = stored(keepers.select("node", _scattered(F.col("id")).alias("id")), "keepers")
     pair = keepers.select(F.col("node").bitwiseXOR(F.col("id")).alias("pair"))
     wanted = spark.sparkContext.broadcast((_filter_of(keepers, "id"), _filter_of(pair, "pair")))
-    sets = stored(read.mapInArrow(_sets(wanted, words), "node long, tokens binary"), "sets")
-    groups = members.groupBy("hub").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("of"), F.min("node").alias("least"))
-    groups = stored(groups.select("hub", "least", _parts(F.col("rows"), F.col("of")).alias("parts")), "groups")
-    placed = members.join(groups, "hub")
-    part = F.pmod(F.xxhash64("node"), "parts")
-    # The smallest set of a group is in each of its parts and ties them together.
-    in_parts = placed.filter("node <> least").select("hub", "node", part.alias("part")).union(
-        placed.filter("node = least").select("hub", "node", F.explode(F.expr("sequence(0L, parts - 1)")))
-    )
-    cells = in_parts.select(F.xxhash64("hub", "part").alias("cell"), F.lit(0).alias("side"), F.col("node").alias("label"), "node")
-    links = stored(_cells(cells, sets, least), "links")
-    large = groups.filter("parts > 1").select("hub")
-    if not large.isEmpty():
-        classes = components(links)
-        rest = members.join(large, "hub").join(classes, "node", "left")
-        rest = rest.select("hub", "node", "size", F.coalesce("component", "node").alias("label"))
-        open_ = rest.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("hub")
-        rest = stored(rest.join(open_, "hub"), "open")
-        few = spark.sparkContext.broadcast(_filter_of(rest, "node"))
-        sets = stored(sets.mapInArrow(_let_through(few, "node"), "node long, tokens binary"), "open-sets")
-        links = stored(links.union(_across(rest, sets, least)), "links")
+    sets = stored(read.mapInArrow(_sets(wanted, words), "node long, size long, first long, bitmap binary, tokens binary"), "sets")
+    signatures = sets.select("node", "size", "first", "bitmap")
+    # What the signatures let through falls into clusters; each set is then shipped once, to the others of its cluster.
+    clusters = components(_links(members, signatures, least))
+    members = clusters.join(members.select("node", "size").distinct(), "node").select(F.col("component").alias("hub"), "node", "size")
+    links = _links(stored(members, "clustered"), sets, least)
     classes = components(links)
     for value in (sent, held, wanted):
         value.unpersist()

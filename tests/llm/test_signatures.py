@@ -159,10 +159,10 @@ def test_walk_loses_no_link(seed):
             sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 64, rng.integers(0, 3), np.uint64)])))
     sets = [s for s in sets if len(s)]
     want = {(i, j) for i in range(len(sets)) for j in range(i) if signatures.enough(signatures.overlap(sets[i], sets[j]), len(sets[i]), len(sets[j]))}
-    tree = signatures.Tree(sets, np.arange(len(sets)))
+    tree = signatures.Tree.of(sets, np.arange(len(sets)))
     met = [(int(p), int(q)) for i, j in signatures.walk(tree, tree) for p, q in zip(tree.order[i], tree.order[j], strict=True)]
     assert want <= {(max(p), min(p)) for p in met} and len(met) == len(set(met)) and len(met) < len(sets) ** 2 / 4
     half = len(sets) // 2
-    a, b = signatures.Tree(sets[:half], np.arange(half)), signatures.Tree(sets[half:], np.arange(half, len(sets)))
+    a, b = signatures.Tree.of(sets[:half], np.arange(half)), signatures.Tree.of(sets[half:], np.arange(half, len(sets)))
     across = {(int(b.order[q]) + half, int(a.order[p])) for i, j in signatures.walk(a, b) for p, q in zip(i, j, strict=True)}
     assert {x for x in want if x[0] >= half > x[1]} <= across
