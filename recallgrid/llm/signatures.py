@@ -39,8 +39,8 @@ FRONT = 1 << 14
 GATHERED = 3_000_000
 #: Of these, the ones in so many sets are told; the FREQUENT most frequent of all tasks go to the end of every set's order.
 OFTEN, FREQUENT = 3, 300_000
-#: log2 of the 64-bit words of a filter that is sent to all tasks: 16 MB, whatever the input.
-FILTER = 21
+#: Bits of a filter for each key, and log2 of the 64-bit words that it has at most: 16 MB, whatever the input.
+KEY_BITS, FILTER = 32, 21
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX_2 = np.uint64(0xFF51AFD7ED558CCD)
@@ -215,18 +215,19 @@ def prefix(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray, k: int)
 
 
 def _filter_of(values: DataFrame, name: str) -> np.ndarray:
-    """A bitmap of fixed size that holds the keys; it may let others through."""
-    place = F.shiftrightunsigned(name, 64 - FILTER).cast("int")
+    """A bitmap that holds the keys, KEY_BITS for each up to 2 ** FILTER words; it may let others through."""
+    words = max(6, min(FILTER, (values.count() * KEY_BITS // 64).bit_length()))
+    place = F.shiftrightunsigned(name, 64 - words).cast("int")
     bit = F.expr(f"shiftleft(1L, cast({name} & 63 as int))")
     rows = values.select(place.alias("place"), bit.alias("bit")).groupBy("place").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << FILTER, np.int64)
+    out = np.zeros(1 << words, np.int64)
     out[rows.column("place").to_numpy()] = rows.column("bits").to_numpy()
     return out.view(np.uint64)
 
 
 def passes(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
     keys = keys.view(np.uint64)
-    return (held[keys >> np.uint64(64 - FILTER)] >> (keys & np.uint64(63))) & np.uint64(1) != 0
+    return (held[keys >> np.uint64(65 - len(held).bit_length())] >> (keys & np.uint64(63))) & np.uint64(1) != 0
 
 
 def _let_through(sent, column: str):
@@ -545,6 +546,7 @@ def _members(shared: DataFrame, least: int) -> DataFrame:
     # Sizes of sets that link lie within four of these bands.
     band = F.floor(F.log(size.cast("double")) / float(np.log(1.003 * (100 / least) ** 0.25))).cast("long")
     met = stored(first.select("hub", "node", size.alias("size"), band.alias("band")).distinct(), "met")
+    sent.destroy()
     near = met.groupBy("hub", "band").agg(F.count(F.lit(1)).alias("n"))
     near = near.select("hub", F.explode(F.sequence(F.col("band") - 4, F.col("band") + 4)).alias("band"), "n")
     near = near.groupBy("hub", "band").agg(F.sum("n").alias("n")).filter("n > 1").select("hub", "band")
@@ -575,8 +577,9 @@ def _links(members: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     open_ = rest.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("hub")
     rest = stored(rest.join(open_, "hub"), "open")
     few = members.sparkSession.sparkContext.broadcast(_filter_of(rest, "node"))
-    sets = sets.mapInArrow(_let_through(few, "node"), sets.schema)
-    return stored(links.union(_across(rest, stored(sets, "open-sets"), least)), "links")
+    sets = stored(sets.mapInArrow(_let_through(few, "node"), sets.schema), "open-sets")
+    few.destroy()
+    return stored(links.union(_across(rest, sets, least)), "links")
 
 
 def similar_sets(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
@@ -615,6 +618,7 @@ def similar_sets(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> Dat
     sent = spark.sparkContext.broadcast((token[order], n[order]))
     first = read.select("text").mapInArrow(_prefixes(sent, words, least), "token long, node long, mark int")
     first = stored(first, "prefixes")
+    sent.destroy()
     hubs = first.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("token", "hub")
     hubs = stored(hubs, "hubs")
     held = spark.sparkContext.broadcast(_filter_of(hubs, "token"))
@@ -622,20 +626,20 @@ def similar_sets(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> Dat
     # The distinct rows need no shuffle of their own: the join has dealt them by token.
     shared = shared.join(hubs, "token").select("token", "hub", "node", "mark").distinct()
     shared = stored(shared.select("hub", "node", "mark"), "shared")
+    held.destroy()
     members = _members(shared, least)
     keepers = outlines.join(members.select("node").distinct(), "node").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("id"))
     keepers = stored(keepers.select("node", _scattered(F.col("id")).alias("id")), "keepers")
     pair = keepers.select(F.col("node").bitwiseXOR(F.col("id")).alias("pair"))
     wanted = spark.sparkContext.broadcast((_filter_of(keepers, "id"), _filter_of(pair, "pair")))
     sets = stored(read.mapInArrow(_sets(wanted, words), "node long, size long, first long, bitmap binary, tokens binary"), "sets")
+    wanted.destroy()
     signatures = sets.select("node", "size", "first", "bitmap")
     # What the signatures let through falls into clusters; each set is then shipped once, to the others of its cluster.
     clusters = components(_links(members, signatures, least))
     members = clusters.join(members.select("node", "size").distinct(), "node").select(F.col("component").alias("hub"), "node", "size")
     links = _links(stored(members, "clustered"), sets, least)
     classes = components(links)
-    for value in (sent, held, wanted):
-        value.unpersist()
     least_of = outlines.groupBy("node").agg(F.min("doc_id").alias("least"))
     labelled = stored(
         least_of.join(classes, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")), "labelled"
