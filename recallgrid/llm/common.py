@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -58,6 +59,15 @@ def slices(batches: Iterable[pa.RecordBatch], limit: int, name: str = "text") ->
             yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Memory that a task no longer needs goes back to the system, as its worker lives on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:
+        pass  # Only glibc has it.
+
+
 class Remembered(dict):
     """A bounded memo: value by key, emptied when it holds too many keys."""
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recallgrid.llm.common import batch_of, bounded_batches, texts
+from recallgrid.llm.common import batch_of, bounded_batches, give_back, texts
 from recallgrid.sources.storage import stored
 
 #: Hash slots of byte trigrams.
@@ -75,7 +75,9 @@ def text_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def _scored(tables):
-    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("n_trigrams", pa.int64()), ("text_scores", pa.list_(pa.float64()))])
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("source", pa.string()), ("text_hash", pa.int64()), ("n_trigrams", pa.int64()), ("text_scores", pa.list_(pa.float64()))]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = tables.value
@@ -89,40 +91,41 @@ def _scored(tables):
                     n += len(s)
                 counts.append(n)
                 scores.append((total / max(n, 1) * min(n, WEIGHED)).tolist())
-            yield batch_of(schema, [batch.column(0), batch.column(1), counts, scores])
+            yield batch_of(schema, [batch.column(0), batch.column(1), batch.column(2), counts, scores])
+        give_back()
 
     return run
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
-    """Declared language, host, domain and suffix of the first page of each document that a page's path names.
+    """Declared language, host, domain and suffix of the pages of each document that their paths name.
 
     pages: page_id, url, html. The document number stands behind the language
-    folder of the path. A page without one gives no evidence.
+    folder of the path. A page without one gives no evidence. One row for
+    each document, host and declaration, with the number of its pages.
     """
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)", 1))
     document = F.regexp_extract("url", r"^[^:]+://[^/]+/[^/?#]+/([0-9]{1,18})(?:[^0-9].*)?$", 1)
     declared = F.lower(F.regexp_extract("html", r"""(?is)<html\b[^>]*?\slang\s*=\s*["']?([a-z]+)""", 1))
     rows = pages.select(
-        "page_id",
         F.when(document != "", document.cast("long")).alias("doc_id"),
         F.nullif(host, F.lit("")).alias("host"),
         F.nullif(declared, F.lit("")).alias("declared"),
     ).filter("doc_id is not null")
-    first = rows.groupBy("doc_id").agg(F.min_by(F.struct("host", "declared"), F.struct("page_id", "host", "declared")).alias("page"))
-    labels = F.split("page.host", r"\.")
-    return first.select(
+    rows = rows.groupBy("doc_id", "host", "declared").agg(F.count(F.lit(1)).alias("n_pages"))
+    return rows.select(
         "doc_id",
-        "page.declared",
-        "page.host",
-        F.regexp_extract("page.host", r"([^.]+\.[^.]+)$", 1).alias("domain"),
-        F.element_at(labels, -1).alias("suffix"),
+        "declared",
+        "host",
+        F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("domain"),
+        F.element_at(F.split("host", r"\."), -1).alias("suffix"),
+        "n_pages",
     )
 
 
 def _votes(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """How many documents of each key have each language by their text alone."""
-    counts = [F.sum(F.when(F.col("text_language") == i, 1.0).otherwise(0.0)) for i in range(n)]
+    """How many documents of each key have each language by their text alone; one on several hosts counts by share."""
+    counts = [F.sum(F.when(F.col("text_language") == i, F.col("share")).otherwise(0.0)) for i in range(n)]
     return rows.groupBy(*keys).agg(F.array(*counts).alias("votes"))
 
 
@@ -136,7 +139,9 @@ def identify(docs: DataFrame, evidence: DataFrame | None = None, least_posterior
     """Language of each document and whether it is kept.
 
     docs: doc_id long, text, lang (label, may be null), source; evidence (see
-    page_evidence): doc_id, declared, host, domain, suffix. Naive Bayes over
+    page_evidence): doc_id, declared, host, domain, suffix, n_pages, any
+    number of rows for a document, each of which counts by its share of the
+    document's pages. Naive Bayes over
     byte trigrams gives the text likelihood of each language and of "und", a
     uniform stand-in for none of them. Grouped aggregation of the text-only
     answers gives the share of languages over all documents, by suffix,
@@ -150,18 +155,28 @@ def identify(docs: DataFrame, evidence: DataFrame | None = None, least_posterior
     Null or empty text, or one without letters: text says nothing, language
     "und" unless address and markup decide; never kept. Null lang: no
     training. Repeated rows: one row each. Empty table: no rows. Repeated
-    evidence of a doc_id must be reduced before (page_evidence does).
+    evidence rows of a document count one by one. A very long text is scored
+    in pieces. text_hash (xxhash64 of the text) tells rows of one doc_id
+    apart; host and declared are those of most pages (then the smallest).
     """
     spark = docs.sparkSession
     names, tables = text_model(docs)
     sent, n = spark.sparkContext.broadcast(tables.astype(np.float32)), len(names)
-    scored = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text").mapInArrow(_scored(sent), "doc_id long, source string, n_trigrams long, text_scores array<double>")
+    read = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_hash"), "text")
+    scored = read.mapInArrow(_scored(sent), "doc_id long, source string, text_hash long, n_trigrams long, text_scores array<double>")
+    scored = scored.withColumn("row", F.monotonically_increasing_id())
     best = F.array_position("text_scores", F.array_max("text_scores")) - 1
     scored = stored(scored.withColumn("text_language", F.when(F.col("n_trigrams") > 0, best).cast("int")), "scores")
+    sent.destroy()
+    of_row = scored.select("row", "doc_id", "source", "text_language")
     if evidence is None:
-        found = scored.withColumns({c: F.lit(None).cast("string") for c in ("declared", "host", "domain", "suffix")})
+        found = of_row.withColumns({c: F.lit(None).cast("string") for c in ("declared", "host", "domain", "suffix")})
+        found = found.withColumns({"n_pages": F.lit(1), "share": F.lit(1.0)})
     else:
-        found = scored.join(stored(evidence.select("doc_id", "declared", "host", "domain", "suffix"), "evidence"), "doc_id", "left")
+        told = evidence.select("doc_id", "declared", "host", "domain", "suffix", "n_pages")
+        pages = told.groupBy("doc_id").agg(F.sum("n_pages").alias("all_pages"))
+        told = stored(told.join(pages, "doc_id").withColumn("share", F.col("n_pages") / F.col("all_pages")).drop("all_pages"), "evidence")
+        found = of_row.join(told, "doc_id", "left").na.fill(1.0, ["share"]).na.fill(1, ["n_pages"])
     own = F.concat(F.lit("source:"), F.coalesce("source", F.lit("")))
     found = found.withColumns(
         {"host": F.coalesce("host", own), "domain": F.coalesce("domain", F.lit("")), "suffix": F.coalesce("suffix", F.lit(""))}
@@ -180,7 +195,8 @@ def identify(docs: DataFrame, evidence: DataFrame | None = None, least_posterior
     # What pages declare, by the language of their text: at most languages x (languages + 2) rows.
     known = F.array(*[F.lit(x) for x in names[:-1]]) if n > 1 else F.array().cast("array<string>")
     said = F.when(F.array_contains(known, F.col("declared")), F.col("declared")).when(F.col("declared").isNotNull(), "other")
-    confusion = found.filter("text_language is not null and declared is not null").groupBy("text_language", said.alias("said")).count().collect()
+    confusion = found.filter("text_language is not null and declared is not null")
+    confusion = confusion.groupBy("text_language", said.alias("said")).agg(F.sum("share").alias("count")).collect()
     words = [*names[:-1], "other"]
     table = np.full((n, len(words)), 0.5)
     for r in confusion:
@@ -191,10 +207,18 @@ def identify(docs: DataFrame, evidence: DataFrame | None = None, least_posterior
         declared = F.when(said == w, F.array(*[F.lit(float(x)) for x in table[:, i]])).otherwise(declared)
     nothing = F.array(*[F.lit(0.0)] * n)
     joined = found.join(hosts, ["host", "domain", "suffix"])
-    others = F.transform("votes", lambda v, i: F.greatest(v - F.when(F.col("text_language") == i, 1.0).otherwise(0.0), F.lit(0.0)))
-    scores = joined.withColumn("prior", _smoothed(others, F.col("domain_prior"))).withColumn(
-        "sum", F.zip_with(F.zip_with("text_scores", F.coalesce(declared, nothing), lambda a, b: a + b), F.col("prior"), lambda a, p: a + F.log(p))
+    others = F.transform("votes", lambda v, i: F.greatest(v - F.when(F.col("text_language") == i, F.col("share")).otherwise(0.0), F.lit(0.0)))
+    joined = joined.withColumn("prior", _smoothed(others, F.col("domain_prior"))).withColumn(
+        "told", F.zip_with(F.coalesce(declared, nothing), F.col("prior"), lambda a, p: a + F.log(p))
+    )
+    # A document's pages are no independent evidence: their terms are averaged.
+    of_pages = F.struct(-F.col("n_pages"), "host", "declared")
+    terms = joined.groupBy("row").agg(
+        F.array(*[F.sum(F.col("share") * F.col("told")[i]) for i in range(n)]).alias("told"),
+        F.min_by("host", of_pages).alias("host"),
+        F.min_by("declared", of_pages).alias("declared"),
     )
+    scores = scored.join(terms, "row").withColumn("sum", F.zip_with("text_scores", "told", lambda a, b: a + b))
     odds = scores.withColumn("odds", F.transform("sum", lambda x: F.exp(x - F.array_max("sum"))))
     at = F.array_position("sum", F.array_max("sum")).cast("int")
     posterior = 1.0 / F.aggregate("odds", F.lit(0.0), lambda a, x: a + x)
@@ -206,5 +230,6 @@ def identify(docs: DataFrame, evidence: DataFrame | None = None, least_posterior
         ((F.col("n_trigrams") > 0) & ((name != UNKNOWN) & (posterior >= least_posterior) if n > 1 else F.lit(True))).alias("kept"),
         F.when(F.col("text_language").isNotNull(), F.element_at(F.array(*[F.lit(x) for x in names]), F.col("text_language") + 1)).alias("text_language"),
         "declared",
-        F.col("host").alias("host"),
+        "host",
+        "text_hash",
     )

@@ -26,18 +26,27 @@ def targets(sizes: dict, weights: dict, total: float, uses: int = USES) -> dict:
 
     What a source cannot hold goes to the others by weight, until none is above.
     """
-    open_, out = set(sizes), {}
-    while open_:
-        weight = sum(weights[s] for s in open_)
-        full = {s for s in open_ if weights[s] * total > uses * sizes[s] * weight}
-        if not full:
-            return out | {s: weights[s] * total / weight for s in open_}
-        out |= {s: float(uses * sizes[s]) for s in full}
-        total -= sum(uses * sizes[s] for s in full)
-        open_ -= full
+    weight, out = float(sum(weights[s] for s in sizes)), {}
+    # In this order a source is full only if all before it are.
+    for s in sorted(sizes, key=lambda s: (sizes[s] / weights[s], repr(s))):
+        if weights[s] * total > uses * sizes[s] * weight:
+            out[s] = float(uses * sizes[s])
+            total -= uses * sizes[s]
+        else:
+            out[s] = weights[s] * total / weight
+            total -= out[s]
+        weight -= weights[s]
     return out
 
 
+def routed(patterns: dict[tuple, int], quotas: dict) -> dict[tuple, dict]:
+    """The flow of all patterns. A source that shares no document with another needs none: its words all go to it."""
+    shared = {s for p in patterns if len(p) > 1 for s in p}
+    out = {p: {p[0]: min(USES * words, quotas[p[0]])} for p, words in patterns.items() if len(p) == 1 and p[0] not in shared}
+    rest = {p: words for p, words in patterns.items() if p not in out}
+    return out | (flow(rest, {s: q for s, q in quotas.items() if s in shared}) if rest else {})
+
+
 def flow(patterns: dict[tuple, int], quotas: dict, costs: tuple = USE_COSTS) -> dict[tuple, dict]:
     """Min-cost flow of words from membership patterns to source quotas.
 
@@ -129,7 +138,7 @@ def _border(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = stored(wanted.join(first, "pattern", "left").join(second, "pattern", "left"), "edges")
     on_edge = (F.col("part") == F.col("edge")) & (F.col("part_2") == F.col("edge_2"))
     last = _nearest(docs.join(edges, "pattern").filter(on_edge), ["hash", "doc_id", "row"]).select(
-        "row", "doc_id", (2 * F.col("before") + F.col("size") <= 2 * F.col("rest_3")).alias("near")
+        "row", "hash", (2 * F.col("before") + F.col("size") <= 2 * F.col("rest_3")).alias("near")
     )
     # At most one part of 4,096 * 4,096 of each pattern.
     return edges, stored(last, "border")
@@ -146,12 +155,12 @@ def _uses(near: Column) -> Column:
     return F.col("whole") + F.coalesce(near, inside).cast("long")
 
 
-def mix(docs: DataFrame, seed: int = 7, share: float = SHARE, weights: tuple = WEIGHTS) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 7, share: float = SHARE, weights: tuple = WEIGHTS, members: str | None = None) -> DataFrame:
     """Words that a mix of sources takes from each document.
 
-    docs: doc_id long, text string, and either `sources` array<string> (a
-    document may belong to several) or source string; other columns are not
-    read. Size: words of the text. Sources in code point order, null last,
+    docs: doc_id long, text string, and source string or, if `members` names
+    one, a column array<string> (a document may belong to several sources);
+    other columns are not read, whatever their names. Size: words of the text. Sources in code point order, null last,
     weigh `weights`, repeating; their targets share `share` times all words
     and stop at twice the words of their documents. Documents are summed by
     membership pattern, a min-cost flow routes each pattern's words to the
@@ -164,39 +173,41 @@ def mix(docs: DataFrame, seed: int = 7, share: float = SHARE, weights: tuple = W
     Repeated rows: each is a document. Empty array: as a null source. Empty
     table: no rows.
     """
-    sized, edges, border = _planned(docs, seed, share, weights)
+    sized, edges, border = _planned(docs, seed, share, weights, members)
     near = border.select("row", "near")
     return sized.join(edges, "pattern").join(near, "row", "left").select(
         "doc_id", "size", "source_size", "target", (F.col("size") * _uses(F.col("near"))).alias("taken")
     )
 
 
-def mixed(docs: DataFrame, seed: int = 7, share: float = SHARE, weights: tuple = WEIGHTS) -> DataFrame:
+def mixed(docs: DataFrame, seed: int = 7, share: float = SHARE, weights: tuple = WEIGHTS, members: str | None = None) -> DataFrame:
     """The documents, all columns kept, as many rows of each as the mix uses it.
 
     The same plan as mix(), applied to each document where it lies: a row's
     place in the seeded order follows from itself, and only the plan (a row
     per pattern) and the documents on the borders are joined, so texts are not
-    shuffled. Documents on a border are told by doc_id, so its repeated rows
-    there are used alike. Documents without a word are not used.
+    shuffled. Documents on a border are told by doc_id and text, so only rows
+    that repeat both are used alike there. Documents without a word are not
+    used.
     """
-    _, edges, border = _planned(docs, seed, share, weights)
-    near = border.filter("doc_id is not null").groupBy("doc_id").agg(F.max("near").alias("_near"))
-    placed = docs.select(F.struct(*docs.columns).alias("_row"), *_placed(docs, seed))
-    used = placed.join(edges.drop("source_size", "target"), "pattern").join(near, "doc_id", "left")
+    _, edges, border = _planned(docs, seed, share, weights, members)
+    near = border.groupBy("hash").agg(F.max("near").alias("_near"))
+    placed = docs.select(F.struct(*docs.columns).alias("_row"), *_placed(docs, seed, members))
+    used = placed.join(edges.drop("source_size", "target"), "pattern").join(near, "hash", "left")
     used = used.filter("size > 0").withColumn("_uses", _uses(F.col("_near"))).filter("_uses > 0")
     return used.withColumn("_use", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_uses")))).select("_row.*")
 
 
-def _placed(docs: DataFrame, seed: int) -> list[Column]:
+def _placed(docs: DataFrame, seed: int, members: str | None) -> list[Column]:
     """doc_id, pattern, size, and the place in the seeded order, from a document's own columns."""
-    members = (
-        F.array_sort(F.array_distinct(F.when(F.size("sources") > 0, F.col("sources")).otherwise(F.array(F.lit(None).cast("string")))))
-        if "sources" in docs.columns
-        else F.array("source")
+    of = (
+        F.array_sort(F.array_distinct(F.when(F.size(members) > 0, F.col(members)).otherwise(F.array(F.lit(None).cast("string")))))
+        if members
+        else F.array(F.col("source").cast("string"))
     )
-    named = F.transform(members, lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("null")))
-    place = F.xxhash64(F.lit(seed), "doc_id")
+    named = F.transform(of, lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("null")))
+    # With the text, so that rows without an id or with a repeated one are spread as well.
+    place = F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"))
     return [
         F.col("doc_id"),
         F.to_json(F.struct(named.alias("s"))).alias("pattern"),
@@ -207,10 +218,10 @@ def _placed(docs: DataFrame, seed: int) -> list[Column]:
     ]
 
 
-def _planned(docs: DataFrame, seed: int, share: float, weights: tuple) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _planned(docs: DataFrame, seed: int, share: float, weights: tuple, members: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sized documents (without their texts), the plan by pattern, and the rows on its borders."""
     spark = docs.sparkSession
-    sized = stored(docs.select(*_placed(docs, seed), F.monotonically_increasing_id().alias("row")), "sizes")
+    sized = stored(docs.select(*_placed(docs, seed, members), F.monotonically_increasing_id().alias("row")), "sizes")
     rows = sized.groupBy("pattern").agg(F.sum("size").alias("size")).collect()
     patterns = {r["pattern"]: (tuple(json.loads(r["pattern"])["s"]), r["size"]) for r in rows}
     sizes: dict = {}
@@ -220,10 +231,10 @@ def _planned(docs: DataFrame, seed: int, share: float, weights: tuple) -> tuple[
     order = sorted(sizes, key=lambda s: (s == "null", s))
     total = share * sum(w for _, w in patterns.values())
     target = targets(sizes, {s: weights[i % len(weights)] for i, s in enumerate(order)}, total)
-    routed = flow({p: w for p, w in patterns.values()}, {s: round(t) for s, t in target.items()})
+    quota = routed({p: w for p, w in patterns.values()}, {s: round(t) for s, t in target.items()})
     wanted = []
     for key, (sources, words) in patterns.items():
-        need = sum(routed[sources].values())
+        need = sum(quota[sources].values())
         whole = min(USES, need // words) if words else 0
         wanted.append((key, int(whole), int(need - whole * words), sizes[sources[0]], float(target[sources[0]])))
     schema = "pattern string, whole long, rest long, source_size long, target double"

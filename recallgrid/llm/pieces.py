@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from recallgrid.llm.common import batch_of, bounded_batches, slices, texts
+from recallgrid.llm.common import batch_of, bounded_batches, give_back, slices, texts
 
 #: Distinct chunks that a task remembers.
 REMEMBERED = 200_000
@@ -320,6 +320,7 @@ def _encode(path: str, n: int):
         finally:
             # The chunks of a task are let go, so that an idle worker holds little.
             model.clear()
+            give_back()
 
     return run
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recallgrid.llm.common import batch_of, bounded_batches, pieces, texts
+from recallgrid.llm.common import batch_of, bounded_batches, give_back, pieces, texts
 from recallgrid.llm.graph import components
 from recallgrid.sources.storage import stored
 
@@ -26,11 +26,6 @@ BLOCKS = 5
 PIVOTS = 12
 #: A key with more fingerprints is linked through midpoints, not pair by pair.
 FEW = 32
-#: Candidates for a similarity share one of BANDS keys of BAND_ROWS smallest hashes each.
-BANDS, BAND_ROWS = 32, 5
-#: Candidates whose fingerprints differ in more bits are discarded unverified.
-CANDIDATE_BITS = 24
-
 
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     """How many of the hashes have each bit set, most significant first."""
@@ -69,16 +64,18 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("bits", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("bits", pa.int64())])
     for batch in batches:
         bits = np.array([fingerprint(x) for x in texts(batch)], np.uint64).view(np.int64)
-        yield batch_of(schema, [batch.column(0), bits])
+        yield batch_of(schema, [batch.column(0), batch.column(1), bits])
+    give_back()
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and the 64 fingerprint bits as a long; texts without a word have 0."""
+    """doc_id, xxhash64 of the text, and the 64 fingerprint bits as a long; texts without a word have 0."""
     bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, bits long")
+    read = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return read.mapInArrow(_fingerprints, "doc_id long, text_hash long, bits long")
 
 
 def _signed(x: int) -> int:
@@ -161,151 +158,19 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.union(ties).distinct()
 
 
-def _far(bits: Column) -> Column:
-    """Distances to the pivots over all bits."""
-    return F.array(*[F.bit_count(bits.bitwiseXOR(F.lit(_signed(p)))).cast("tinyint") for p in pivots()])
-
-
-def _multipliers() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(SEED)
-    factors, shifts = rng.integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64)
-    return factors | np.uint64(1), shifts
-
-
-def shingle_set(data: bytes, shingle: int) -> np.ndarray:
-    """The different shingle hashes of a text, ascending."""
-    parts = [np.unique(x) for x in shingle_hashes(data, shingle)]
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-
-
-def set_digest(found: np.ndarray) -> int:
-    """One signed number for a set of shingles."""
-    return _signed(xxhash.xxh3_64_intdigest(found.tobytes()))
-
-
-def _band_keys(found: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> list[int]:
-    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), 2048):
-        least = np.minimum(least, (found[at : at + 2048] * factors + shifts).min(1))
-    rows = least.reshape(BANDS, BAND_ROWS)
-    return [_signed(xxhash.xxh3_64_intdigest(row.tobytes(), seed=i)) for i, row in enumerate(rows)]
-
-
-def _outlines(shingle: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("bits", pa.int64()), ("keys", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from recallgrid.llm import simhash
-
-        factors, shifts = simhash._multipliers()
-        for batch in batches:
-            rows = []
-            for doc, data in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
-                found = simhash.shingle_set(data, shingle)
-                bits = simhash._signed(simhash._packed(simhash._bit_counts(found), len(found)))
-                keys = simhash._band_keys(found, factors, shifts) if len(found) else []
-                rows.append((doc, simhash.set_digest(found), bits, keys))
-            if rows:
-                yield batch_of(schema, zip(*rows, strict=True))
-
-    return run
-
-
-def _sets(shingle: int):
-    schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from recallgrid.llm import simhash
-
-        for batch in batches:
-            for data in texts(batch):
-                found = simhash.shingle_set(data, shingle)
-                yield batch_of(schema, [[simhash.set_digest(found)], [found.view(np.int64)]])
-
-    return run
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, outlines: DataFrame, shingle: int, least_similarity: float) -> DataFrame:
-    """The pairs a, b of nodes whose sets have a Jaccard similarity of least_similarity or more."""
-    nodes = stored(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
-    ids = stored(outlines.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct(), "wanted-ids")
-    wanted = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
-    sets = wanted.mapInArrow(_sets(shingle), "node long, shingles array<long>")
-    sets = stored(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"
-    )
-    common = F.size(F.array_intersect("x", "y"))
-    return stored(both.filter(common >= least_similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "similar")
-
-
-def similar_groups(
-    docs: DataFrame, shingle: int = 5, least_similarity: float = 0.8, candidate_bits: int = CANDIDATE_BITS
-) -> DataFrame:
-    """doc_id and component_id over links of a Jaccard similarity of word shingles of least_similarity or more.
-
-    Texts of the same shingles collapse to one node. SimHash blocks give no
-    usable key at the ten bits and more of such pairs, so candidates share a
-    band of smallest shingle hashes; those whose distances to the pivots or
-    bits differ by more than candidate_bits are discarded, and the rest are
-    verified on their whole shingle sets. The nodes of a key are first
-    compared with the smallest of them; only members of groups that are still
-    apart then meet one another, so a dense key is not all pairs.
-
-    Nulls, short texts and repeated rows are as in near_duplicates; texts
-    without a word are one group.
-    """
-    bounded_batches(docs.sparkSession)
-    outlines = docs.select("doc_id", "text").mapInArrow(
-        _outlines(shingle), "doc_id long, node long, bits long, keys array<long>"
-    )
-    outlines = stored(outlines, "outlines")
-    nodes = stored(
-        outlines.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits"), F.first("keys").alias("keys")), "nodes"
-    )
-    keyed = nodes.select("node", "bits", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min(F.struct("node", "bits")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    keyed = stored(keyed.join(hubs.select("key", "hub"), "key"), "keys")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        apart = F.array_max(F.zip_with(_far(F.col("bits_a")), _far(F.col("bits_b")), lambda x, y: F.abs(x - y)))
-        bits = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))
-        return stored(pairs.filter((apart <= candidate_bits) & (bits <= candidate_bits)).select("a", "b").distinct(), "candidates")
-
-    stars = keyed.filter("node <> hub.node").select(
-        F.col("hub.node").alias("a"), F.col("hub.bits").alias("bits_a"), F.col("node").alias("b"), F.col("bits").alias("bits_b")
-    )
-    first = _verified(near(stars), docs, outlines, shingle, least_similarity)
-    parts = components(first)
-    placed = keyed.join(parts, "node", "left").select("key", "node", "bits", F.coalesce("component", "node").alias("part"))
-    placed = stored(placed, "placed")
-    heads = placed.select("key", "part").distinct()
-    apart = heads.select("key", F.col("part").alias("part_a")).join(heads.select("key", F.col("part").alias("part_b")), "key").filter("part_a < part_b")
-    a = placed.select("key", F.col("part").alias("part_a"), F.col("node").alias("u"), F.col("bits").alias("bits_u"))
-    b = placed.select("key", F.col("part").alias("part_b"), F.col("node").alias("v"), F.col("bits").alias("bits_v"))
-    met = apart.join(a, ["key", "part_a"]).join(b, ["key", "part_b"])
-    low, high = F.least(F.struct("u", "bits_u"), F.struct(F.col("v").alias("u"), F.col("bits_v").alias("bits_u"))), F.greatest(
-        F.struct("u", "bits_u"), F.struct(F.col("v").alias("u"), F.col("bits_v").alias("bits_u"))
-    )
-    met = met.select(low.alias("low"), high.alias("high")).select(
-        F.col("low.u").alias("a"), F.col("low.bits_u").alias("bits_a"), F.col("high.u").alias("b"), F.col("high.bits_u").alias("bits_b")
-    )
-    second = _verified(near(met), docs, outlines, shingle, least_similarity)
-    groups = components(first.union(second)).withColumnRenamed("node", "of")
-    labelled = nodes.join(groups, nodes.node == groups.of, "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    labelled = stored(labelled, "labelled")
-    lowest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = labelled.join(lowest, "component").select("node", "component_id")
-    return outlines.select("doc_id", "node").join(ids, "node").select("doc_id", "component_id")
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint and component_id of each document; see grouped."""
+    return grouped(docs).select("doc_id", "fingerprint", "component_id")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def grouped(docs: DataFrame) -> DataFrame:
     """Fingerprint and group of each document.
 
     docs: doc_id long, text string; other columns are not read. Exact copies
     and other equal fingerprints collapse to one row before any pair is
     looked for. component_id: smallest doc_id that is reachable over links,
-    its own included.
+    its own included. group: one of the fingerprints of the group, as a long;
+    text_hash: xxhash64 of the text, which tells rows of one doc_id apart.
 
     Null, empty or wordless text: fingerprint zero, which links like any
     other. One or two words: the fingerprint of the whole sequence. Repeated
@@ -320,7 +185,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     labelled = stored(labelled, "labelled")
     lowest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = labelled.join(lowest, "component").select("bits", "component_id")
+    ids = labelled.join(lowest, "component").select("bits", "component_id", F.col("component").alias("group"))
     return prints.join(ids, "bits").select(
-        "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id", "group", "text_hash"
     )

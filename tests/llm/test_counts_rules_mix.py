@@ -129,7 +129,7 @@ def test_mix_of_odd_rows(spark):
 
 def test_overlapping_sources_share_their_documents(spark):
     rows = [(i, "w " * 10, s) for i, s in enumerate([["a"]] * 10 + [["a", "b"]] * 20 + [["b", "a", "b"]] * 10)]
-    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, sources array<string>"), weights=(1, 1)).collect()
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, sources array<string>"), weights=(1, 1), members="sources").collect()
     assert sum(r.taken for r in got) == pytest.approx(1.5 * 400, abs=10)
 
 
