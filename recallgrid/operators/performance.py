@@ -18,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recallgrid import schemas as S
+from recallgrid.sources.storage import stored
 
 KEY = ["username", "question_id"]
 ORDER = ["answered_at", "id"]
@@ -213,58 +214,130 @@ def performance(answers: DataFrame, questions: DataFrame) -> DataFrame:
     return performance_from_partials(answer_partials(answers), questions)
 
 
-def answer_progress(answers: DataFrame) -> DataFrame:
-    """Per answer: attempt number, correct so far and current streak.
+#: Rows of a slice of the sorted answers, about.
+SLICE_ROWS = 1_000_000
+
+_MAP = ["attempts", "correct", "streak", "add", "lo", "hi"]
+
+
+def _composed(left: dict, right: dict) -> dict:
+    """First the left piece of a history, then the right one; arrays of equal length."""
+    all_right = right["streak"] == right["attempts"]
+    return {
+        "attempts": left["attempts"] + right["attempts"],
+        "correct": left["correct"] + right["correct"],
+        "streak": right["streak"] + np.where(all_right, left["streak"], 0),
+        "add": left["add"] + right["add"],
+        "lo": np.clip(left["lo"] + right["add"], right["lo"], right["hi"]),
+        "hi": np.clip(left["hi"] + right["add"], right["lo"], right["hi"]),
+    }
+
+
+def scanned(parts: dict, new_run: np.ndarray) -> dict:
+    """For each piece its run up to and with it, by doubling steps; new_run marks where a run begins."""
+    first = np.maximum.accumulate(np.where(new_run, np.arange(len(new_run)), 0))
+    place = np.arange(len(new_run)) - first
+    out, step, longest = {c: np.array(v) for c, v in parts.items()}, 1, int(place.max(initial=0))
+    while step <= longest:
+        at = np.flatnonzero(place >= step)
+        merged = _composed({c: v[at - step] for c, v in out.items()}, {c: v[at] for c, v in out.items()})
+        for c, values in merged.items():
+            out[c][at] = values
+        step *= 2
+    return out
+
+
+def _scan_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each answer with the composed steps of its key in the slice, and whether the first of these was right.
 
-    A window over a whole key would put a very active key into one task. Here
-    each (key, day) is windowed apart; what earlier days contribute comes from
-    one summary row per (key, day). Days depend on nothing but the answer, so
-    nothing is stored.
+    The last row of a batch is carried to the next.
     """
-    day = F.coalesce(F.to_date("answered_at"), F.lit("0001-01-01").cast("date"))
-    rows = answers.select(*KEY, *ORDER, "is_correct").withColumn("chunk", day)
-    right = F.when(F.col("is_correct"), 1).otherwise(0).cast("bigint")
-    so_far = Window.partitionBy(*KEY, "chunk").orderBy(*ORDER).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    local = (
-        rows.withColumn("attempt", F.count(F.lit(1)).over(so_far))
-        .withColumn("right", F.sum(right).over(so_far))
-        .withColumn("last_wrong", F.max(F.when(~F.col("is_correct"), F.col("attempt"))).over(so_far))
-    )
-    chunks = local.groupBy(*KEY, "chunk").agg(
-        F.max("attempt").alias("n"),
-        F.max("right").alias("n_right"),
-        F.max("last_wrong").alias("wrong_at"),
-    )
-    chain = Window.partitionBy(*KEY).orderBy("chunk")
-    before = chain.rowsBetween(Window.unboundedPreceding, -1)
-    tail = F.col("n") - F.coalesce("wrong_at", F.lit(0))
-    # Chunks without a wrong answer prolong the streak that entered them.
-    run = F.count("wrong_at").over(chain.rowsBetween(Window.unboundedPreceding, 0))
-    in_run = (
-        Window.partitionBy(*KEY, "run").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    carried = (
-        chunks.withColumn("run", run)
-        .withColumn("leaving", F.sum(tail).over(in_run))
-        .select(
-            *KEY,
-            "chunk",
-            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"),
-            F.coalesce(F.sum("n_right").over(before), F.lit(0)).alias("right_before"),
-            F.coalesce(F.lag("leaving").over(chain), F.lit(0)).alias("streak_before"),
-        )
+    carry = None
+    for rows in batches:
+        if rows.empty:
+            continue
+        parts = single_answers(rows)
+        parts = parts[[*KEY, *_MAP]].assign(began=parts["first_correct"])
+        held = pd.concat([carry, parts], ignore_index=True) if carry is not None else parts
+        new = np.zeros(len(held), dtype=bool)
+        new[0] = True
+        for name in KEY:
+            column = pd.factorize(held[name], use_na_sentinel=False)[0]
+            new[1:] |= column[1:] != column[:-1]
+        scan = scanned({c: held[c].to_numpy() for c in _MAP}, new)
+        scan["began"] = held["began"].to_numpy(dtype=bool)[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+        own = {c: v[len(held) - len(rows) :] for c, v in scan.items()}
+        carry = held.iloc[-1:].assign(**{c: v[-1:] for c, v in own.items()})
+        yield rows.assign(**own)
+
+
+def _entries(pieces: pd.DataFrame) -> pd.DataFrame:
+    """What the earlier slices of a key hand to each of its slices; one row per slice it touches."""
+    pieces = pieces.sort_values("chunk", ignore_index=True)
+    scan = scanned({c: pieces[c].to_numpy() for c in _MAP}, np.arange(len(pieces)) == 0)
+    began = np.full(len(pieces) - 1, pieces["began"].iloc[0])
+    return pieces[[*KEY, "chunk"]].iloc[1:].assign(**{f"in_{c}": v[:-1] for c, v in scan.items()}, in_began=began)
+
+
+def running_state(answers: DataFrame) -> DataFrame:
+    """Per answer: attempt number, correct so far, streak and priority score as of that answer.
+
+    A prefix scan of clamped steps in three passes, none of which holds the
+    history of a key. The answers are range-partitioned by (user, question,
+    time, id) into slices of about SLICE_ROWS, so a busy key, even within a
+    day, is cut over many tasks, and each slice is scanned from its own start.
+    Only a key at a slice's border lies in more than one: for these (at most
+    one for each border) the slices' last rows are composed, and what enters a
+    slice is handed back to its rows. The scanned slices are stored, so that
+    all passes see the same borders.
+    """
+    columns = [*KEY, *ORDER]
+    slices = max(1, -(-answers.count() // SLICE_ROWS))
+    rows = answers.select("id", *KEY, "answered_at", F.coalesce("is_correct", F.lit(False)).alias("is_correct"))
+    rows = rows.repartitionByRange(max(slices, answers.sparkSession.sparkContext.defaultParallelism), *columns)
+    types = {"attempts": T.LongType(), "correct": T.LongType(), "streak": T.LongType()}
+    scanned_type = T.StructType([*rows.schema.fields, *[T.StructField(c, types.get(c, T.DoubleType())) for c in _MAP], T.StructField("began", T.BooleanType())])
+    local = rows.sortWithinPartitions(*columns).mapInPandas(_scan_sorted, scanned_type)
+    local = stored(local.withColumn("chunk", F.spark_partition_id()), "slices")
+
+    cut = local.groupBy(*KEY).agg(F.min("chunk").alias("from"), F.max("chunk").alias("to")).where(F.col("from") < F.col("to"))
+    cut = stored(cut.select(*[F.col(k).alias(f"cut_{k}") for k in KEY]), "cut-keys")
+    same = F.lit(True)
+    for k in KEY:
+        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"c.cut_{k}"))
+    of_cut = local.alias("l").join(cut.alias("c"), same, "left_semi")
+    last = F.max_by(F.struct(*_MAP), "attempts").alias("last")
+    pieces = of_cut.groupBy(*KEY, "chunk").agg(last, F.first("began").alias("began"))
+    pieces = pieces.select(*KEY, "chunk", "began", "last.*")
+    keys = [T.StructField(k, answers.schema[k].dataType) for k in KEY]
+    handed = [T.StructField(f"in_{c}", types.get(c, T.DoubleType())) for c in _MAP]
+    entry_type = T.StructType([*keys, T.StructField("chunk", T.IntegerType()), *handed, T.StructField("in_began", T.BooleanType())])
+    entries = stored(pieces.groupBy(*KEY).applyInPandas(_entries, entry_type), "entries")
+
+    same = F.col("l.chunk") == F.col("e.chunk")
+    for k in KEY:
+        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"e.{k}"))
+    joined = local.alias("l").join(entries.alias("e"), same, "left")
+    of = lambda c: F.coalesce(F.col(f"e.in_{c}"), F.lit(0))
+    unbroken = F.col("l.streak") == F.col("l.attempts")
+    # Without an entry the key begins in this slice.
+    began = F.coalesce("e.in_began", "l.began")
+    start = F.when(began, S.FIRST_CORRECT_PRIORITY - S.CORRECT_STEP).otherwise(S.FIRST_WRONG_PRIORITY - S.WRONG_STEP)
+    entering = F.when(F.col("e.chunk").isNull(), start).otherwise(
+        F.least(F.col("e.in_hi"), F.greatest(F.col("e.in_lo"), start + F.col("e.in_add")))
     )
-    streak = F.when(
-        F.col("last_wrong").isNull(), F.col("attempt") + F.col("streak_before")
-    ).otherwise(F.col("attempt") - F.col("last_wrong"))
-    return local.join(carried, [*KEY, "chunk"]).select(
-        "id",
-        *KEY,
-        "answered_at",
-        "is_correct",
-        (F.col("attempt") + F.col("n_before")).alias("attempt_no"),
-        (F.col("right") + F.col("right_before")).alias("correct_so_far"),
-        streak.alias("streak"),
+    return joined.select(
+        "l.id",
+        *[F.col(f"l.{k}") for k in KEY],
+        "l.answered_at",
+        "l.is_correct",
+        (of("attempts") + F.col("l.attempts")).alias("attempt_no"),
+        (of("correct") + F.col("l.correct")).alias("correct_so_far"),
+        (F.col("l.streak") + F.when(unbroken, of("streak")).otherwise(F.lit(0))).alias("streak"),
+        F.least(F.col("l.hi"), F.greatest(F.col("l.lo"), entering + F.col("l.add"))).alias("priority_score"),
     )
+
+
+def answer_progress(answers: DataFrame) -> DataFrame:
+    """Per answer: attempt number, correct so far and current streak."""
+    return running_state(answers).drop("priority_score")

@@ -6,11 +6,6 @@ from pyspark.sql import functions as F
 from recallgrid.functions.scoring import confidence_band, count_true, percent
 
 
-def for_user(frame: DataFrame, user=None) -> DataFrame:
-    """Restrict a per-learner report or its input to one learner, if asked to."""
-    return frame if user is None else frame.where(F.col("username") == F.lit(user))
-
-
 def user_totals(answers: DataFrame) -> DataFrame:
     """Answers, correct answers and accuracy per learner."""
     return (

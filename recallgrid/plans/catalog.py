@@ -21,7 +21,7 @@ from recallgrid.operators import (
     sampling,
     stats,
 )
-from recallgrid.operators.performance import answer_progress, performance
+from recallgrid.operators.performance import answer_progress, performance, running_state
 from recallgrid.plans import build_bank, derived
 from recallgrid.plans import fixtures as X
 from recallgrid.sources.storage import new_path, stored
@@ -79,21 +79,51 @@ def answer_history(spark, sf):
     return answer_progress(X.dense(X.answers(spark, sf))).drop("answered_at")
 
 
+@query
+def answer_states(spark, sf):
+    """What the state of a key was after each answer, over the whole bank."""
+    return running_state(X.answers(spark, sf)).drop("answered_at", "is_correct")
+
+
+@query
+def answer_states_dense(spark, sf):
+    """The same on ten questions, whose histories are long."""
+    return running_state(X.dense(X.answers(spark, sf))).select("id", "attempt_no", "streak", "priority_score")
+
+
+def _arriving(spark, sf, name, slices):
+    """A table as a stream of micro-batches in order of time."""
+    folder = derived.time_slices(spark, sf, name, slices)
+    return spark.readStream.schema(X.table(spark, sf, name).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 @query
 def learner_state_stream(spark, sf):
-    """The answer log read as a stream; state equals the batch fold."""
-    folder, name = derived.stream_location(spark, sf, "events")
-    schema = X.table(spark, sf, "events").schema
-    reader = spark.readStream.schema(schema)
-    if name:
-        reader = reader.option("pathGlobFilter", name)
-    log = X.dense(X.answers_from_events(reader.parquet(folder)))
+    """The answer log read as a stream of 14 micro-batches; state equals the batch fold."""
+    log = X.dense(X.answers_from_events(_arriving(spark, sf, "events", 14)))
     table = new_path(spark, "learner-state")
-    started = stream.keep_state(log, table, new_path(spark, "learner-state-checkpoint"))
+    started = stream.keep_state(log, table, new_path(spark, "learner-state-checkpoint"), most_parts=4)
     started.awaitTermination()
     return stream.current_performance(spark, table, X.questions(spark, sf))
 
 
+@query
+def learner_state_store(spark, sf):
+    """The same with the state in Spark's state store; the last row of each key counts."""
+    log = X.answers_from_events(_arriving(spark, sf, "events", 3))
+    table = new_path(spark, "changed-states")
+
+    def keep(batch, number):
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{table}/{number}")
+
+    changed = stream.stateful_performance(log, X.questions(spark, sf)).writeStream.outputMode("update")
+    started = changed.foreachBatch(keep).option("checkpointLocation", new_path(spark, "state-store")).trigger(availableNow=True)
+    started.start().awaitTermination()
+    rows = spark.read.option("recursiveFileLookup", True).parquet(table)
+    newest = rows.groupBy("username", "question_id").agg(F.max_by(F.struct(*rows.columns), "batch").alias("row"))
+    return newest.select("row.*").drop("batch")
+
+
 @query
 def urgent_questions(spark, sf):
     return mastery.priority_list(_dense(spark, sf)[2], 3).select(
@@ -197,6 +227,14 @@ def extraction_profile(spark, sf):
     return stats.extraction_profile(derived.image_bank(spark, sf))
 
 
+@query
+def extraction_profile_with_issues(spark, sf):
+    """The same summary with the findings of the questions counted by kind."""
+    bank = derived.image_bank(spark, sf)
+    codes = F.array(F.when(F.size("images") == 0, "no_image"), F.when(F.size("images") > 5, "many_images"))
+    return stats.extraction_profile(bank, bank.select(F.explode(F.array_compact(codes)).alias("code")))
+
+
 # --- Parts of the bank and the log --------------------------------------------
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from recallgrid import schemas as S
 from recallgrid.operators.html_items import attribute_values
 from recallgrid.plans.fixtures import bank, table
+from recallgrid.sources.storage import new_path
 
 STORED_AT = "2024-01-01 00:00:00"
 CHANGED_AT = "2025-01-01 00:00:00"
@@ -36,6 +37,23 @@ def stream_location(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, s
     return (sf_dir, f"{name}.parquet") if single else (path, None)
 
 
+def time_slices(spark: SparkSession, sf_dir: str, name: str, slices: int, by: str = "ts") -> str:
+    """Folder with a table in so many files by time, the earliest with the oldest date of change.
+
+    A file stream reads files in the order of these dates.
+    """
+    path = new_path(spark, f"{name}-slices")
+    rows = table(spark, sf_dir, name)
+    rows.repartitionByRange(slices, by).write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted((f.getPath() for f in files.listStatus(place) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    first = min(files.getFileStatus(p).getModificationTime() for p in parts) - 1000 * len(parts)
+    for i, part in enumerate(parts):
+        files.setTimes(part, first + 1000 * i, -1)
+    return path
+
+
 def benchmark_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("question_id"),

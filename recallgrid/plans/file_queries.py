@@ -46,6 +46,38 @@ ORACLES["question_files"] = """
            CASE WHEN p_size <= 25 THEN p_partkey END AS reconstruction_order, 0 AS n_images FROM part"""
 
 
+@query
+def question_array_files(spark, sf):
+    """Question files that are JSON arrays of up to 2,000 questions, read as questions and raw."""
+    path = new_path(spark, "question-arrays")
+    one = F.struct(F.col("question_id").cast("string").alias("question_id"), "topic", "question_text")
+    rows = X.questions(spark, sf).groupBy(F.floor(F.col("question_id") / 2000).alias("file"))
+    rows.agg(F.to_json(F.collect_list(one)).alias("value")).write.partitionBy("file").text(path)
+    files = f"{path}/*/*.txt"
+    back = readers.read_questions_json(spark, files).select("question_id", "topic", F.length("question_text").alias("n_chars"))
+    raw = readers.read_raw_questions(spark, files).select("question_id", F.get_json_object("json", "$.question_text").alias("raw_text"))
+    return back.join(raw, "question_id")
+
+
+ORACLES["question_array_files"] = """
+    SELECT CAST(p_partkey AS VARCHAR) AS question_id, p_type AS topic, length(p_name) AS n_chars, p_name AS raw_text FROM part"""
+
+
+@query
+def image_map_file(spark, sf):
+    """S3: a stored place for each page's address, in JSON objects of up to 2,000 pages, read back."""
+    path = new_path(spark, "image-map")
+    pages = X.table(spark, sf, "pages").groupBy("url").agg(F.min("page_id").alias("page_id"))
+    entry = F.struct("url", F.concat(F.lit("stored/"), F.col("page_id").cast("string")).alias("to"))
+    parts = pages.groupBy(F.floor(F.col("page_id") / 2000).alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    parts.write.partitionBy("part").text(path)
+    return readers.read_image_map(spark, f"{path}/*/*.txt")
+
+
+ORACLES["image_map_file"] = """
+    SELECT url AS original_url, 'stored/' || min(page_id) AS hosted_url FROM pages GROUP BY url"""
+
+
 @query
 def manual_topic_file(spark, sf):
     """Hand-made overrides through CSV."""

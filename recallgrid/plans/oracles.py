@@ -203,6 +203,30 @@ def draw(targets: str, known: str, keys: list[str], seed: str, name: str) -> dic
 
 ORACLES["learner_state"] = sql(["dperf"], "SELECT * FROM dperf")
 ORACLES["learner_state_stream"] = ORACLES["learner_state"]
+ORACLES["learner_state_store"] = sql(["perf"], "SELECT * FROM perf")
+
+
+def _states(source: str) -> str:
+    """What an answer relation's state is after each answer."""
+    return f"""
+    SELECT id, username, question_id, n AS attempt_no,
+           CAST(len(list_filter(h, lambda x: x)) AS BIGINT) AS correct_so_far,
+           CAST(coalesce(nullif(list_position(list_reverse(h), false), 0) - 1, len(h)) AS BIGINT) AS streak,
+           list_reduce(list_transform(h, lambda x, i:
+               CASE WHEN i = 1 AND x THEN -1.0::DOUBLE WHEN i = 1 THEN 5.0::DOUBLE
+                    WHEN x THEN -2.0::DOUBLE ELSE 5.0::DOUBLE END),
+               lambda p, d: CASE WHEN d < 0 THEN greatest(p + d, -10.0::DOUBLE)
+                                 ELSE least(p + d, 50.0::DOUBLE) END) AS priority_score
+    FROM (SELECT id, username, question_id, row_number() OVER w AS n, list(is_correct) OVER w AS h
+          FROM {source}
+          WINDOW w AS (PARTITION BY username, question_id ORDER BY answered_at, id
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+ORACLES["answer_states"] = sql(["answers"], _states("answers"))
+ORACLES["answer_states_dense"] = sql(
+    ["dense"], f"SELECT id, attempt_no, streak, priority_score FROM ({_states('dense')})"
+)
 ORACLES["answer_history"] = sql(
     ["dense"],
     """SELECT id, username, question_id, is_correct,
@@ -322,6 +346,20 @@ ORACLES["extraction_profile"] = sql(
                  WHERE len(images) > 5 AND source_file <> '' GROUP BY source_file
        UNION ALL SELECT 'duplicate_ids', NULL, count(*) - count(DISTINCT question_id) FROM image_bank""",
 )
+ORACLES["extraction_profile_with_issues"] = sql(
+    ["image_bank"],
+    """SELECT 'questions' AS metric, NULL::VARCHAR AS key, count(*) AS value FROM image_bank
+       UNION ALL SELECT 'with_images', NULL, count(*) FILTER (len(images) > 0) FROM image_bank
+       UNION ALL SELECT 'image_urls', NULL, CAST(sum(len(images)) AS BIGINT) FROM image_bank
+       UNION ALL SELECT 'in_exams', NULL, count(*) FILTER (len(images) > 5 AND source_file <> '') FROM image_bank
+       UNION ALL SELECT 'by_source_file', source_file, count(*) FROM image_bank GROUP BY source_file
+       UNION ALL SELECT 'by_exam', source_file, count(*) FROM image_bank
+                 WHERE len(images) > 5 AND source_file <> '' GROUP BY source_file
+       UNION ALL SELECT 'duplicate_ids', NULL, count(*) - count(DISTINCT question_id) FROM image_bank
+       UNION ALL SELECT 'issues', code, count(*) FROM (
+           SELECT CASE WHEN len(images) = 0 THEN 'no_image' WHEN len(images) > 5 THEN 'many_images' END AS code FROM image_bank)
+           WHERE code IS NOT NULL GROUP BY code""",
+)
 
 # --- Parts of the bank and the log --------------------------------------------
 

@@ -34,15 +34,34 @@ def read_jdbc(spark: SparkSession, table: str, url: str, split_on: str | None =
 def read_questions_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Question files, JSON arrays or (for large banks, splittable) JSON lines.
 
-    Optional fields that are missing become NULL, images an empty list.
+    Optional fields that are missing become NULL, images an empty list. Files
+    that are broken or hold something else than a list (lines: than objects)
+    stop the job.
     """
+    require_list(spark, path, lines)
     frame = spark.read.schema(S.QUESTION_FILE).json(path, multiLine=not lines)
     require_rows(frame, f"question file {path}")
     return frame.withColumn("images", F.coalesce("images", F.array().cast("array<string>")))
 
 
+def require_list(spark: SparkSession, path: str, lines: bool = False) -> None:
+    """Stop unless every file is one JSON list, or every line that is not blank one JSON object; empty files hold nothing."""
+    parsed = F.try_parse_json("value")
+    kind = F.schema_of_variant(parsed)
+    texts = spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_path").alias("file"), "value")
+    found = texts.select(
+        "file",
+        F.substring("value", 1, 80).alias("start"),
+        F.when(parsed.isNull(), "broken").when(~kind.startswith("OBJECT" if lines else "ARRAY"), kind).alias("what"),
+    )
+    if lines:
+        found = found.where(F.trim("start") != "")
+    require_none(found.where("what is not null"), f"no list of questions in {path}")
+
+
 def read_raw_questions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """The same files as one JSON string per question, for validation."""
+    """The same files as one JSON string per question, for validation; see ``require_list``."""
+    require_list(spark, path, lines)
     if lines:
         raw = spark.read.text(path).select(F.col("value").alias("json"))
     else:

@@ -56,11 +56,3 @@ def write_jdbc(rows: DataFrame, table: str, url: str, batch_size: int = 100, **o
     rows.write.format("jdbc").options(
         url=url, dbtable=table, batchsize=batch_size, **options
     ).mode("append").save()
-
-
-def write_cards(cards: DataFrame, path: str) -> None:
-    """Bulk card export: JSON lines with front, back and topic per learner folder."""
-    active = cards.where(~F.col("archived"))
-    active.select("username", "front_text", "back_text", "topic").write.mode("overwrite").partitionBy(
-        "username"
-    ).option("ignoreNullFields", False).json(path)

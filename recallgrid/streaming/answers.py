@@ -1,10 +1,11 @@
 """The answer log as a stream: keep learner state current.
 
 Each micro-batch is folded to partial rows with the batch operator, so a busy
-key is spread over tasks here too, and the partials are written under the
-number of the batch. A retried batch overwrites its own folder, which makes the
-result exactly-once. Reading composes the partials of a key in batch order:
-like the insert trigger, a late answer counts when it arrives.
+key is spread over tasks here too, and the partials become a part of a
+``StateTable``. A retried batch that is in the table changes nothing, which
+makes the result exactly-once, and every few batches all parts are merged to
+one. Reading composes the partials of a key in batch order: like the insert
+trigger, a late answer counts when it arrives.
 """
 
 from collections.abc import Iterator
@@ -25,9 +26,12 @@ from recallgrid.operators.performance import (
     performance_from_partials,
     single_answers,
 )
+from recallgrid.streaming.state_table import Manifest, StateTable
 
 
 ARRIVAL = ("batch", "first_at", "first_id")
+#: Parts beside the merged one before all are merged.
+MOST_PARTS = 8
 
 
 def keep_state(
@@ -37,18 +41,23 @@ def keep_state(
     available_now: bool = True,
     interval: str = "1 minute",
     questions: DataFrame | None = None,
+    most_parts: int = MOST_PARTS,
 ) -> StreamingQuery:
     """Start the stream that keeps the partials of every micro-batch.
 
+    A key has at most ``most_parts + 1`` partials, one of them merged; see
+    ``StateTable`` for what a crash leaves behind (nothing a reader sees).
     With ``questions`` a partial keeps the topic that its question has when the
     batch arrives; the state then shows the topic of a key's first answer.
     """
 
     def store(batch: DataFrame, number: int) -> None:
-        merged = merge_partials(answer_partials(batch))
+        partials = merge_partials(answer_partials(batch))
         if questions is not None:
-            merged = merged.join(questions.select("question_id", "topic"), "question_id", "left")
-        merged.write.mode("overwrite").parquet(f"{table}/batch={number:012d}")
+            partials = partials.join(questions.select("question_id", "topic"), "question_id", "left")
+        partials = partials.withColumn("batch", F.lit(number).cast("long"))
+        state = StateTable(batch.sparkSession, table)
+        state.add(partials, number, checkpoint, most_parts, lambda rows: merge_partials(rows, ARRIVAL))
 
     writer = answers.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
@@ -56,8 +65,8 @@ def keep_state(
 
 
 def stored_partials(spark: SparkSession, table: str) -> DataFrame:
-    """All partials with the batch they came from."""
-    return spark.read.option("basePath", table).parquet(f"{table}/batch=*")
+    """All partials of the newest version with the batch they came from (a merged one: the first)."""
+    return StateTable(spark, table).rows()
 
 
 def current_performance(spark: SparkSession, table: str, questions: DataFrame) -> DataFrame:
@@ -67,11 +76,15 @@ def current_performance(spark: SparkSession, table: str, questions: DataFrame) -
 
 def compact(spark: SparkSession, table: str, up_to: int, target: str) -> None:
     """Fold all batches up to a number into one row per key, in a new table."""
-    partials = stored_partials(spark, table)
+    source, new = StateTable(spark, table), StateTable(spark, target)
+    now = source.manifest()
+    partials = source.rows(now)
     merged = merge_partials(partials.where(F.col("batch") <= up_to), ARRIVAL)
-    merged.drop("batch").write.mode("overwrite").parquet(f"{target}/batch={up_to:012d}")
-    newer = partials.where(F.col("batch") > up_to)
-    newer.write.mode("append").partitionBy("batch").parquet(target)
+    parts = [
+        new.write(merged.withColumn("batch", F.lit(up_to).cast("long")), "merged"),
+        new.write(partials.where(F.col("batch") > up_to), "batches"),
+    ]
+    new.commit(Manifest(), now.batch, now.stream, parts)
 
 
 # --- The same state in Spark's state store, for low latency ------------------
