@@ -33,7 +33,7 @@ def is_mastered():
 
 def recent_questions(impressions: DataFrame, n: int = S.RECENT_QUESTIONS) -> DataFrame:
     """The questions among each learner's last n impressions."""
-    return _latest(impressions, n).select("username", "question_id").distinct()
+    return latest(impressions, n).select("username", "question_id").distinct()
 
 
 def repeated_topic(
@@ -42,7 +42,7 @@ def repeated_topic(
     """Learners whose last n impressions all had one topic, with that topic."""
     topics = questions.select("question_id", "topic")
     return (
-        _latest(impressions, n)
+        latest(impressions, n)
         .join(topics, "question_id")
         .groupBy("username")
         .agg(
@@ -55,7 +55,8 @@ def repeated_topic(
     )
 
 
-def _latest(impressions: DataFrame, n: int) -> DataFrame:
+def latest(impressions: DataFrame, n: int) -> DataFrame:
+    """Each learner's last n impressions."""
     newest = Window.partitionBy("username").orderBy(F.desc("shown_at"), F.desc("id"))
     return (
         impressions.withColumn("_age", F.row_number().over(newest))

@@ -26,6 +26,7 @@ from recallgrid.plans import build_bank, derived
 from recallgrid.plans import fixtures as X
 from recallgrid.sources.storage import new_path, stored
 from recallgrid.streaming import answers as stream
+from recallgrid.streaming import impressions
 
 SEED = "recallgrid"
 EXAM_SIZE = 12
@@ -664,6 +665,24 @@ def recent_questions(spark, sf):
     return recommend.recent_questions(X.impressions(spark, sf))
 
 
+def _recent_stream(spark, sf):
+    """The last impressions, kept over seven micro-batches."""
+    shown = X.impressions_from_events(_arriving(spark, sf, "events", 7))
+    table = new_path(spark, "recent")
+    impressions.keep_recent(shown, table, new_path(spark, "recent-checkpoint"), most_parts=2).awaitTermination()
+    return impressions.recent_impressions(spark, table)
+
+
+@query
+def recent_questions_stream(spark, sf):
+    return recommend.recent_questions(_recent_stream(spark, sf))
+
+
+@query
+def repeated_topics_stream(spark, sf):
+    return recommend.repeated_topic(_recent_stream(spark, sf), X.questions(spark, sf))
+
+
 @query
 def session_weights(spark, sf):
     q, a, perf = _stored(_dense(spark, sf))

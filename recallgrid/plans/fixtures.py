@@ -49,8 +49,11 @@ def dense(answers: DataFrame) -> DataFrame:
 
 def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was shown to whom: the ``view`` events."""
-    events = table(spark, sf_dir, "events").where(F.col("event_type") == "view")
-    return answers_from_events(events).select(
+    return impressions_from_events(table(spark, sf_dir, "events"))
+
+
+def impressions_from_events(events: DataFrame) -> DataFrame:
+    return answers_from_events(events.where(F.col("event_type") == "view")).select(
         "id", "username", "question_id", F.col("answered_at").alias("shown_at")
     )
 

@@ -711,6 +711,8 @@ ORACLES["recent_questions"] = sql(
     ["shown"],
     f"SELECT DISTINCT username, question_id FROM ({_RECENT} shown) WHERE age <= 10",
 )
+ORACLES["recent_questions_stream"] = ORACLES["recent_questions"]
+ORACLES["repeated_topics_stream"] = ORACLES["repeated_topics"]
 
 
 def _weights(weight: str, unseen: float, digits: bool) -> str:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from recallgrid.operators import performance as P
 from recallgrid.streaming import answers as stream
+from recallgrid.streaming import impressions
 from recallgrid.streaming.state_table import RETAINED, Manifest, StateTable
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -131,3 +132,21 @@ def test_two_writers(spark, tmp_path):
     with pytest.raises(ValueError, match="another stream"):
         table.add(part_of(spark, 1, 1), 1, "other", 2, total)
     assert len(table._versions()) == 1 and table.rows().count() == 1
+
+
+def test_recent_impressions_stay_few(spark, tmp_path):
+    log, shown = str(tmp_path / "shown"), []
+    for b in range(6):
+        # The fourth batch is late: older than all before it.
+        rows = [(100 * b + i, f"u{i % 3}", f"q{(7 * b + i) % 11}", T0 + datetime.timedelta(minutes=(b if b != 3 else -5), seconds=i)) for i in range(40)]
+        shown += rows
+        spark.createDataFrame(rows, "id bigint, username string, question_id string, shown_at timestamp_ntz").coalesce(1).write.mode("append").parquet(log)
+    schema = "id bigint, username string, question_id string, shown_at timestamp_ntz"
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(log)
+    table = str(tmp_path / "recent")
+    impressions.keep_recent(arriving, table, str(tmp_path / "checkpoint"), n=4, most_parts=2).awaitTermination()
+    got = sorted((r.username, r.id) for r in impressions.recent_impressions(spark, table, 4).collect())
+    want = [(u, r[0]) for u in ("u0", "u1", "u2") for r in sorted((r for r in shown if r[1] == u), key=lambda r: (r[3], r[0]))[-4:]]
+    assert got == sorted(want)
+    held = StateTable(spark, table)
+    assert held.rows().count() <= 3 * 4 * 3 and len(held.manifest().parts) <= 3 and held.manifest().batch == 5
