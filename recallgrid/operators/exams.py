@@ -42,7 +42,7 @@ def exam_progress(answers: DataFrame, questions: DataFrame) -> DataFrame:
         .groupBy("username", "name")
         .agg(F.count(F.lit(1)).alias("answered"), F.sum("correct").alias("correct"))
     )
-    return _rates(done.join(exam_totals(questions), "name"))
+    return rates(done.join(exam_totals(questions), "name"))
 
 
 def exam_progress_all(answers: DataFrame, questions: DataFrame, users: DataFrame | None = None) -> DataFrame:
@@ -55,7 +55,7 @@ def exam_progress_all(answers: DataFrame, questions: DataFrame, users: DataFrame
     filled = spine.join(done, ["username", "name"], "left").withColumns(
         {c: F.coalesce(c, F.lit(0)) for c in ("answered", "correct")}
     )
-    return _rates(filled).orderBy("username", "name")
+    return rates(filled).orderBy("username", "name")
 
 
 def exam_progress_of(answers: DataFrame, questions: DataFrame, user) -> DataFrame:
@@ -65,10 +65,10 @@ def exam_progress_of(answers: DataFrame, questions: DataFrame, user) -> DataFram
     filled = exam_totals(questions).join(done, "name", "left").withColumns(
         {c: F.coalesce(c, F.lit(0)) for c in ("answered", "correct")}
     )
-    return _rates(filled.withColumn("username", F.lit(user))).orderBy("name")
+    return rates(filled.withColumn("username", F.lit(user))).orderBy("name")
 
 
-def _rates(frame: DataFrame) -> DataFrame:
+def rates(frame: DataFrame) -> DataFrame:
     return frame.select(
         "username",
         "name",

@@ -15,10 +15,11 @@ batches can be stored and composed later, which gives incremental refresh.
 """
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,21 +42,20 @@ _SUMMARY_FIELDS = [
 ]
 
 
-def partial_schema(answers: DataFrame) -> T.StructType:
+def partial_schema(answers: DataFrame, key: list[str] = KEY) -> T.StructType:
     time_type = answers.schema["answered_at"].dataType
-    keys = [T.StructField(k, answers.schema[k].dataType) for k in KEY]
+    keys = [T.StructField(k, answers.schema[k].dataType) for k in key]
     times = [T.StructField("first_at", time_type), T.StructField("last_at", time_type)]
     return T.StructType(keys + times + _SUMMARY_FIELDS)
 
 
-def single_answers(rows: pd.DataFrame) -> pd.DataFrame:
+def single_answers(rows: pd.DataFrame, key: list[str] = KEY) -> pd.DataFrame:
     """Each answer as a partial of length one."""
     right = rows["is_correct"].to_numpy(dtype=bool)
     n = len(rows)
     return pd.DataFrame(
         {
-            "username": rows["username"].astype(object),
-            "question_id": rows["question_id"].astype(object),
+            **{k: rows[k].astype(object) for k in key},
             "first_at": rows["answered_at"],
             "last_at": rows["answered_at"],
             "first_id": rows["id"],
@@ -70,10 +70,10 @@ def single_answers(rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def compose_runs(parts: pd.DataFrame) -> pd.DataFrame:
+def compose_runs(parts: pd.DataFrame, key: list[str] = KEY) -> pd.DataFrame:
     """Compose neighbouring partials of the same key, pairwise until one is left."""
     same = np.ones(max(len(parts) - 1, 0), dtype=bool)
-    for name in KEY:
+    for name in key:
         # Codes compare as numbers, whatever the type of the key; a missing key is one value.
         column = pd.factorize(parts[name], use_na_sentinel=False)[0]
         same &= column[1:] == column[:-1]
@@ -105,40 +105,43 @@ def compose_runs(parts: pd.DataFrame) -> pd.DataFrame:
     return parts.iloc[firsts].reset_index(drop=True).assign(**p)
 
 
-def _fold_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fold_sorted(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
     """Fold a sorted partition; the last key of a batch is carried to the next."""
     carry = None
     for rows in batches:
         if rows.empty:
             continue
-        parts = single_answers(rows)
+        parts = single_answers(rows, key)
         if carry is not None:
             parts = pd.concat([carry, parts], ignore_index=True)
-        parts = compose_runs(parts)
+        parts = compose_runs(parts, key)
         carry = parts.iloc[-1:]
         yield parts.iloc[:-1]
     if carry is not None:
         yield carry
 
 
-def answer_partials(answers: DataFrame) -> DataFrame:
-    """One partial row per key and contiguous piece of its history."""
-    columns = KEY + ORDER
+def answer_partials(answers: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """One partial row per key and contiguous piece of its history.
+
+    ``key`` may go on after the learner and the question, say with a day.
+    """
+    columns = key + ORDER
     return (
         answers.select(*columns, "is_correct")
         .repartitionByRange(*columns)
         .sortWithinPartitions(*columns)
-        .mapInPandas(_fold_sorted, partial_schema(answers))
+        .mapInPandas(partial(_fold_sorted, key=key), partial_schema(answers, key))
     )
 
 
-def merge_partials(partials: DataFrame, order: tuple[str, ...] = FIRST) -> DataFrame:
+def merge_partials(partials: DataFrame, order: tuple[str, ...] = FIRST, key: list[str] = KEY) -> DataFrame:
     """Compose all partials of a key in the given order: one row per key.
 
     A key has one partial per range partition (or stored day) it touches, so
     the list below is bounded by the number of pieces, not by the answers.
     """
-    fields = [*order, *[c for c in partials.columns if c not in (*KEY, *order)]]
+    fields = [*order, *[c for c in partials.columns if c not in (*key, *order)]]
 
     def compose(left, right):
         shift = right["add"]
@@ -156,13 +159,13 @@ def merge_partials(partials: DataFrame, order: tuple[str, ...] = FIRST) -> DataF
         # What describes the first answer stays as it is on the left.
         return F.struct(*[composed.get(c, left[c]).alias(c) for c in fields])
 
-    pieces = partials.groupBy(*KEY).agg(
+    pieces = partials.groupBy(*key).agg(
         F.array_sort(F.collect_list(F.struct(*fields))).alias("pieces")
     )
     first = F.col("pieces")[0]
     later = F.slice("pieces", F.lit(2), F.greatest(F.size("pieces") - 1, F.lit(0)))
     folded = F.when(F.size("pieces") == 1, first).otherwise(F.reduce(later, first, compose))
-    return pieces.select(*KEY, folded.alias("f")).select(*KEY, *[f"f.{c}" for c in fields])
+    return pieces.select(*key, folded.alias("f")).select(*key, *[f"f.{c}" for c in fields])
 
 
 def performance_from_partials(
@@ -181,7 +184,7 @@ def performance_from_partials(
         (F.col("attempts") - F.col("correct")).alias("incorrect_attempts"),
         F.col("last_at").alias("last_answered_at"),
         "streak",
-        _score().alias("priority_score"),
+        priority().alias("priority_score"),
     )
     topics = questions.select("question_id", "topic")
     return state.join(topics, "question_id").select(
@@ -196,7 +199,8 @@ def performance_from_partials(
     )
 
 
-def _score():
+def priority() -> Column:
+    """The priority score that a partial from a key's first answer on amounts to."""
     # The first answer scores -1 or 5; starting the fold at 1 or 0 gives just that.
     start = F.when(
         F.col("first_correct"), S.FIRST_CORRECT_PRIORITY - S.CORRECT_STEP

@@ -601,17 +601,20 @@ def active_cards(spark, sf):
     return maintenance.active_cards(X.cards(spark, sf)).select("username", "id", "front_text")
 
 
-@query
-def cards_updated(spark, sf):
-    cards = X.cards(spark, sf)
-    changes = cards.where("archived").select(
+def _card_edits(cards):
+    return cards.where("archived").select(
         "username",
         "id",
         F.substring("front_text", 1, 6).alias("front_text"),
         F.lit("seen").alias("back_text"),
         F.lit("t").alias("topic"),
     )
-    return maintenance.update_cards(cards, changes, ["username", "id"])
+
+
+@query
+def cards_updated(spark, sf):
+    cards = X.cards(spark, sf)
+    return maintenance.update_cards(cards, _card_edits(cards), ["username", "id"])
 
 
 @query

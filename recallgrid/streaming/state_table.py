@@ -89,13 +89,17 @@ class StateTable:
 
     def _tidy(self, named: set[str]) -> None:
         """Remove versions beyond RETAINED, and parts that no version names."""
-        versions = self._versions()
-        for version in versions[:-RETAINED]:
-            self._files.delete(self._paths(self._place(version)), False)
+        versions, gone = self._versions(), set()
         for version in versions[-RETAINED:]:
             named = named | set(self._read(version).parts)
-        for name in set(self._names("parts")) - named:
+        for version in versions[:-RETAINED]:
+            gone |= set(self._read(version).parts)
+        kept = {name.split("/")[0] for name in named}
+        for name in (gone - named) | (set(self._names("parts")) - kept):
             self._files.delete(self._paths(f"{self.path}/parts/{name}"), True)
+        # The names go last: a writer lost before leaves nothing that the next one would not find.
+        for version in versions[:-RETAINED]:
+            self._files.delete(self._paths(self._place(version)), False)
 
     def add(self, rows: DataFrame, batch: int, stream: str, most: int, merge: Callable[[DataFrame], DataFrame]) -> Manifest:
         """The rows of a micro-batch as a further part, each batch once.
