@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -122,54 +125,79 @@ def prior() -> np.ndarray:
     return out
 
 
-def _number_features(text: str, groups: list[re.Match], i: int, j: int, run: tuple[int, int]) -> tuple[int, int, set, dict]:
-    """Whole-span features of digit groups i to j (inclusive) of a run: span, names, and names by kind."""
-    start, end = groups[i].start(), groups[j].end()
-    while start > run[0] and text[start - 1] in "(+":
+def _number_features(text: str, groups: Sequence[tuple[int, int]], leads: bool, run_start: int) -> Iterator[tuple[int, int, list, dict]]:
+    """Spans of one to MOST_GROUPS digit groups from the first on: start, end, whole-span features, and features by kind.
+
+    ``groups`` holds one group more where the run goes on; ``leads``: the first one begins the run.
+    """
+    start = groups[0][0]
+    while start > run_start and text[start - 1] in "(+":
         start -= 1
-    parts = [g.group() for g in groups[i : j + 1]]
-    digits, n = "".join(parts), len(parts)
-    between = {c for a, b in zip(groups[i:j], groups[i + 1 : j + 1], strict=True) for c in text[a.end() : b.start()]}
-    size = len(digits)
-    has = {"bias"}
-    has.add(
-        "few_digits" if size < 10 else "digits_10" if size == 10 else "digits_11" if size == 11 else "digits_12_13" if size < 14
-        else "digits_14_15" if size < 16 else "digits_16" if size == 16 else "digits_17_19" if size < 20 else "many_digits"
-    )
-    has.add(("one_group", "two_groups", "three_groups", "four_groups")[n - 1] if n <= 4 else "more_groups")
-    if 12 <= size <= 19 and luhn(digits):
-        has.add("checksum")
-    if n == 4 and all(map(_octet, parts)):
-        has.add("octets")
-    if n >= 3 and [len(p) for p in parts[-2:]] == [3, 4] and len(parts[-3]) == 3:
-        has.add("tail_3_4")
-    if n >= 3 and all(len(p) == 4 for p in parts[:-1]):
-        has.add("fours")
-    if "+" in text[start : groups[i].start()]:
-        has.add("plus")
-    if "(" in text[start:end]:
-        has.add("brackets")
-    if between:
-        has.add({".": "dots", "-": "hyphens", " ": "spaces"}.get(next(iter(between)), "mixed") if len(between) == 1 else "mixed")
-    left, right = text[start - 1 : start], text[end : end + 1]
-    if left.isalnum() or left in ('"', "=", "_", "#", "/") and left or right.isalnum() or right in ('"', "_", "%") and right:
-        has.add("glued")
-    if groups[0].start() < groups[i].start() or j < len(groups) - 1:
-        has.add("part_of_run")
-    before = text[max(0, start - 24) : start]
-    return start, end, has, {k: {"cue"} for k, cue in _CUES.items() if cue.search(before)}
-
-
-def _vector(has: set) -> np.ndarray:
-    out = np.zeros(len(FEATURES))
-    for name in has:
-        out[_NUMBER[name]] = 1.0
-    return out
+    before, left = text[max(0, start - 24) : start], text[start - 1 : start]
+    by_kind = {k: ["cue"] for k, cue in _CUES.items() if cue.search(before)}
+    plus, glued_left = "+" in text[start : groups[0][0]], bool(left) and (left.isalnum() or left in '"=_#/')
+    parts, between, size = [], set(), 0
+    for n, (at, end) in enumerate(groups, 1):
+        size += end - at
+        if n > MOST_GROUPS or size >= 20:
+            return
+        if parts:
+            between.update(text[groups[n - 2][1] : at])
+        parts.append(text[at:end])
+        digits = "".join(parts)
+        has = ["bias"]
+        has.append(
+            "few_digits" if size < 10 else "digits_10" if size == 10 else "digits_11" if size == 11 else "digits_12_13" if size < 14
+            else "digits_14_15" if size < 16 else "digits_16" if size == 16 else "digits_17_19"
+        )
+        has.append(("one_group", "two_groups", "three_groups", "four_groups")[n - 1] if n <= 4 else "more_groups")
+        if 12 <= size <= 19 and luhn(digits):
+            has.append("checksum")
+        if n == 4 and all(map(_octet, parts)):
+            has.append("octets")
+        if n >= 3 and [len(p) for p in parts[-2:]] == [3, 4] and len(parts[-3]) == 3:
+            has.append("tail_3_4")
+        if n >= 3 and all(len(p) == 4 for p in parts[:-1]):
+            has.append("fours")
+        if plus:
+            has.append("plus")
+        if "(" in text[start:end]:
+            has.append("brackets")
+        if between:
+            has.append({".": "dots", "-": "hyphens", " ": "spaces"}.get(next(iter(between)), "mixed") if len(between) == 1 else "mixed")
+        right = text[end : end + 1]
+        if glued_left or right and (right.isalnum() or right in '"_%'):
+            has.append("glued")
+        if not leads or n < len(groups):
+            has.append("part_of_run")
+        yield start, end, has, by_kind
+
+
+def _number_spans(text: str, run: tuple[int, int]) -> Iterator[tuple[int, int, list, dict]]:
+    """Candidate spans of a run of numbers, by start; a few groups of the run are held at a time."""
+    ahead = ((g.start(), g.end()) for g in _GROUP.finditer(text, *run))
+    groups = deque(islice(ahead, MOST_GROUPS + 1))
+    leads = True
+    while groups:
+        yield from _number_features(text, groups, leads, run[0])
+        groups.popleft()
+        groups.extend(islice(ahead, 1))
+        leads = False
+
+
+def _runs(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of numbers with at least seven digits."""
+    for m in _RUN.finditer(text):
+        digits = 0
+        for g in _GROUP.finditer(text, *m.span()):
+            digits += g.end() - g.start()
+            if digits >= 7:
+                yield m.span()
+                break
 
 
-def candidates(text: str) -> list[list[tuple[int, int, int, np.ndarray]]]:
-    """Regions of candidate segments (start, end, kind, features); regions do not overlap."""
-    regions = []
+def _spelt(text: str) -> Iterator[tuple[int, int, list]]:
+    """Spelt-out addresses: start, end, features."""
     lower = text.lower() if "@" in text or "(at" in text or "[at" in text or " dot " in text or "(dot" in text or "[dot" in text else ""
     if lower and ("dot" in lower or "at" in lower or "@" in lower):
         for m in _SPELT.finditer(text):
@@ -177,27 +205,26 @@ def candidates(text: str) -> list[list[tuple[int, int, int, np.ndarray]]]:
             bare = " at " in found
             if bare and "dot" not in found:
                 continue  # "look at this.txt" is no address
-            has = {"bias", "bare_at" if bare else "bracketed_at"}
+            has = ["bias", "bare_at" if bare else "bracketed_at"]
             if re.search(r"(?:\.|dot[)\]}]?)\s?(?:com|org|net|edu|gov|io|info|de|fr|es|uk|eu)$", found):
-                has.add("known_ending")
-            regions.append([(m.start(), m.end(), 0, _vector(has))])
-    for m in _RUN.finditer(text):
-        if m.end() - m.start() < 7:
-            continue
-        groups = list(_GROUP.finditer(text, m.start(), m.end()))
-        if sum(g.end() - g.start() for g in groups) < 7:
-            continue
-        region = []
-        for i in range(len(groups)):
-            for j in range(i, min(i + MOST_GROUPS, len(groups))):
-                start, end, has, extra = _number_features(text, groups, i, j, m.span())
-                if "many_digits" in has:
-                    break
-                for k, kind in enumerate(KINDS[1:], 1):
-                    region.append((start, end, k, _vector(has | extra.get(kind, set()))))
-        if region:
-            regions.append(region)
-    return regions
+                has.append("known_ending")
+            yield m.start(), m.end(), has
+
+
+def _vector(has: Iterable[str]) -> np.ndarray:
+    out = np.zeros(len(FEATURES))
+    for name in has:
+        out[_NUMBER[name]] = 1.0
+    return out
+
+
+def candidates(text: str) -> list[list[tuple[int, int, int, np.ndarray]]]:
+    """Regions of candidate segments (start, end, kind, features); regions do not overlap. For training windows."""
+    regions = [[(start, end, 0, _vector(has))] for start, end, has in _spelt(text)]
+    for run in _runs(text):
+        spans = _number_spans(text, run)
+        regions.append([(a, b, k, _vector([*has, *extra.get(kind, ())])) for a, b, has, extra in spans for k, kind in enumerate(KINDS[1:], 1)])
+    return [region for region in regions if region]
 
 
 def _by_end(region: list) -> tuple[list[int], dict[int, list[int]], dict[int, int]]:
@@ -212,13 +239,17 @@ def _by_end(region: list) -> tuple[list[int], dict[int, list[int]], dict[int, in
 
 def best(region: list, weights: np.ndarray) -> list[tuple[int, int, int]]:
     """Highest-scoring set of segments that do not overlap: boundaries and kinds jointly, over bounded segments."""
-    cuts, ends, place = _by_end(region)
+    return _chosen([(a, b, k, float(weights[k] @ x) - MARGIN) for a, b, k, x in region])
+
+
+def _chosen(segments: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int]]:
+    """The same for segments (start, end, kind, score above the margin)."""
+    cuts, ends, place = _by_end(segments)
     score, via = [0.0] * len(cuts), [-1] * len(cuts)
     for c in range(1, len(cuts)):
         score[c] = score[c - 1]
         for n in ends.get(c, ()):
-            start, _, kind, x = region[n]
-            s = score[place[start]] + float(weights[kind] @ x) - MARGIN
+            s = score[place[segments[n][0]]] + segments[n][3]
             if s > score[c]:
                 score[c], via[c] = s, n
     out, c = [], len(cuts) - 1
@@ -226,7 +257,7 @@ def best(region: list, weights: np.ndarray) -> list[tuple[int, int, int]]:
         if via[c] < 0:
             c -= 1
         else:
-            start, end, kind, _ = region[via[c]]
+            start, end, kind, _ = segments[via[c]]
             out.append((start, kind, end))
             c = place[start]
     return out[::-1]
@@ -296,13 +327,52 @@ def train(windows: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 3
     return weights
 
 
+def _scored(text: str, weights: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+    """Segments whose score is above the margin, runs one after the other and by start in each."""
+    by_name = [dict(zip(FEATURES, w, strict=True)) for w in weights.tolist()]
+    for start, end, has in _spelt(text):
+        yield start, end, 0, sum(map(by_name[0].__getitem__, has)) - MARGIN
+    for run in _runs(text):
+        for start, end, has, extra in _number_spans(text, run):
+            for k, kind in enumerate(KINDS[1:], 1):
+                of = by_name[k].__getitem__
+                score = sum(map(of, has)) + sum(map(of, extra.get(kind, ()))) - MARGIN
+                if score > 0:
+                    yield start, end, k, score
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]], weights: np.ndarray) -> list[tuple[int, int, int]]:
-    """Spans of the field that touch no base span."""
-    out = []
-    for region in candidates(text):
-        for start, kind, end in best(region, weights):
-            if all(end <= a or b <= start for a, _, b in base):
-                out.append((start, kind, end))
+    """Spans of the field that touch no base span.
+
+    A segment at or below the margin is in no best segmentation, so only the
+    others are kept, and the dynamic programme runs on each cluster of them
+    that overlap: between clusters it would start from the same score again.
+    """
+    covered: list[list[int]] = []
+    for a, _, b in base:
+        if covered and a <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], b)
+        else:
+            covered.append([a, b])
+    out, cluster, end = [], [], 0
+
+    def close() -> None:
+        for start, kind, stop in _chosen(cluster):
+            i = bisect.bisect_left(covered, stop, key=lambda c: c[0])
+            if i == 0 or covered[i - 1][1] <= start:
+                out.append((start, kind, stop))
+
+    for segment in _scored(text, weights):
+        if segment[3] <= 0:
+            continue
+        # Spelt-out addresses (kind 0) come first and are no rivals of numbers, which begin anew behind them.
+        if cluster and (not cluster[0][2] or segment[0] >= end):
+            close()
+            cluster, end = [], 0
+        cluster.append(segment)
+        end = max(end, segment[1])
+    if cluster:
+        close()
     return out
 
 
@@ -364,7 +434,8 @@ def personal_data(docs: DataFrame, weights: np.ndarray | None = None) -> DataFra
 
     Null or empty text: no spans, the digest of the empty string. Repeated
     rows: one row each. Null doc_id: kept. Empty table: no rows. Work is
-    linear in the text, very long numbers included.
+    linear in the text, very long numbers and long lists of numbers included;
+    of the candidates only those above the margin are held.
     """
     weights = trained(docs) if weights is None else weights
     bounded_batches(docs.sparkSession)
