@@ -50,6 +50,8 @@ CARD_MODAL = "modal-body"
 CARD_TOPIC = "modal-title"
 
 ITEM_SLICE = 5000
+#: Length of the pages of one task, about, where few large files are dealt anew.
+PAGE_CHARS = 4 << 20
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "wbr"}
 
 RAW_FIELDS = (
@@ -201,38 +203,55 @@ def _card_items(page):
         }
 
 
+def _dealt(pages: DataFrame, partitions: int | None) -> DataFrame:
+    """The pages over as many tasks as their length asks for.
+
+    A scan of fewer partitions than the session has cores (one large file, say)
+    is dealt anew by PAGE_CHARS; any other is parsed where it is read, in
+    partitions that spark.sql.files.maxPartitionBytes bounds, without a shuffle.
+    """
+    if partitions is not None:
+        return pages.repartition(partitions)
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    if pages.rdd.getNumPartitions() >= cores:
+        return pages
+    chars, n = pages.agg(F.sum(F.length("html")), F.count(F.lit(1))).first()
+    return pages.repartition(max(1, min(n, max(cores, -(-(chars or 0) // PAGE_CHARS)))))
+
+
 def raw_items(pages: DataFrame, layout: str, partitions: int | None = None) -> DataFrame:
     """One row per item of each page; a page that cannot be read gives one error row.
 
-    ``pages`` is a plain scan with an ``html`` column; its other columns are
-    repeated per item. ``partitions`` deals the pages anew, for a scan of few
-    files. Set spark.sql.execution.arrow.maxBytesPerBatch to bound a batch of
-    long pages.
+    ``pages`` has an ``html`` column; its other columns are repeated per item.
+    The pages are dealt by their length (``_dealt``) or over ``partitions``
+    tasks. Spark bounds a batch by spark.sql.execution.arrow.maxBytesPerBatch,
+    and items leave in slices while later pages are still to be parsed.
     """
     parse = {"quiz": _quiz_items, "accordion": _card_items}[layout]
     carried = [c for c in pages.columns if c != "html"]
     fields = [f.split()[0] for f in RAW_FIELDS.split(", ")]
 
+    def frame(rows: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=carried + fields, dtype=object)
+
     def items_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for page in batch.to_dict("records"):
-                kept = {c: page[c] for c in carried}
+            for page in zip(*(batch[c] for c in carried), batch["html"]):
+                kept = dict(zip(carried, page))
                 try:
-                    found = list(parse(page["html"] or ""))
+                    found = list(parse(page[-1] or ""))
                     rows += [kept | {"idx": i} | item for i, item in enumerate(found)]
                 except (ValueError, AssertionError) as error:
                     rows.append(kept | {"idx": -1, "error": str(error)})
-            out = pd.DataFrame(rows, columns=carried + fields, dtype=object)
-            # Pages of very different size share a batch; hand items on in slices.
-            for start in range(0, len(out), ITEM_SLICE):
-                yield out.iloc[start : start + ITEM_SLICE]
+                while len(rows) >= ITEM_SLICE:
+                    yield frame(rows[:ITEM_SLICE])
+                    rows = rows[ITEM_SLICE:]
+            yield frame(rows)
 
-    if partitions is not None:
-        pages = pages.repartition(partitions)
     kept_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*carried).schema)
     schema = f"{kept_schema}, {RAW_FIELDS}" if carried else RAW_FIELDS
-    return pages.mapInPandas(items_of, schema)
+    return _dealt(pages, partitions).mapInPandas(items_of, schema)
 
 
 def failed_pages(raw: DataFrame) -> DataFrame:
