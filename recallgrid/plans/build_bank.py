@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from recallgrid import schemas as S
 from recallgrid.operators import dedup, enrich, exams, html_items, images, maintenance, quality
+from recallgrid.sources.resumable import SLICES, ResumableTable
 from recallgrid.sources.storage import stored
 
 COLUMNS = [f.name for f in S.QUESTION_FILE]
@@ -114,5 +115,23 @@ def import_bank(
     return maintenance.upsert(table, ready, now), quarantine, report
 
 
+def checked_in_slices(
+    raw: DataFrame, path: str, slices: int = SLICES, at_once: int = 16, most_groups: int | None = None
+) -> ResumableTable:
+    """Raw JSON questions checked and published slice by slice in the folder; calling it again does the rest.
+
+    Of the returned table ``accepted`` holds the questions (``q``), ``quarantine``
+    those with findings, and ``ledger`` the counts of each slice.
+    """
+
+    def work(rows: DataFrame) -> DataFrame:
+        checked = quality.check_for_import(rows.select("question_id", "json"))
+        return checked.withColumn("q", F.from_json("json", S.QUESTION_FILE)).select("question_id", "json", "issues", "q")
+
+    job = ResumableTable(raw.sparkSession, path, work(raw).schema, ["question_id"], slices)
+    job.run(raw, work, F.size("issues") > 0, at_once, most_groups)
+    return job
+
+
 def _count(frame: DataFrame) -> Column:
     return frame.agg(F.count(F.lit(1))).scalar()

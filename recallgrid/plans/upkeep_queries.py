@@ -1,15 +1,16 @@
-"""Queries for tables that are kept current: late answers, totals by differences, changes by bucket."""
+"""Queries for tables that are kept current: late answers, totals by differences, changes by bucket, jobs in slices."""
 
 import datetime
 
 from pyspark.sql import functions as F
 
-from recallgrid.operators import maintenance
-from recallgrid.plans import derived
+from recallgrid.operators import classify, maintenance
+from recallgrid.plans import build_bank, derived
 from recallgrid.plans import fixtures as X
 from recallgrid.plans.catalog import _arriving, _card_edits, query, rounded
 from recallgrid.plans.oracles import ORACLES, sql
 from recallgrid.sources.keyed_table import KeyedTable
+from recallgrid.sources.resumable import ResumableTable
 from recallgrid.sources.storage import new_path, stored
 from recallgrid.streaming import reports
 from recallgrid.streaming.answer_tree import AnswerTree
@@ -163,3 +164,52 @@ ORACLES["answers_purged_in_buckets"] = sql(
     """SELECT username, count(*) AS n FROM answers GROUP BY username
        HAVING last(is_correct ORDER BY answered_at, id)""",
 )
+
+
+# --- Jobs in slices --------------------------------------------------------------
+
+
+@query
+def classified_resumed(spark, sf):
+    """K7: the answers of a classifier, parsed in a job that ends after one group of slices and is run again."""
+    responses = stored(derived.responses(spark, sf), "responses")
+    parsed = classify.parse_responses(responses).schema
+    job = ResumableTable(spark, new_path(spark, "classified"), parsed, ["question_id"], 8)
+    for most_groups in (1, None):
+        job.run(responses, classify.parse_responses, at_once=4, most_groups=most_groups)
+    return rounded(job.accepted(), "confidence")
+
+
+ORACLES["classified_resumed"] = ORACLES["classified_responses"]
+
+
+def _checked_import(spark, sf):
+    raw = stored(derived.raw_questions(spark, sf), "raw-questions")
+    path = new_path(spark, "checked-import")
+    build_bank.checked_in_slices(raw, path, 8, 4, most_groups=1)
+    return build_bank.checked_in_slices(raw, path, 8, 4)
+
+
+@query
+def import_in_slices(spark, sf):
+    """What each question of an import in two runs came to."""
+    job = _checked_import(spark, sf)
+    ok, bad = (side.select("question_id", F.size("issues").alias("n_issues")) for side in (job.accepted(), job.quarantine()))
+    return ok.withColumn("accepted", F.lit(True)).unionByName(bad.withColumn("accepted", F.lit(False)))
+
+
+ORACLES["import_in_slices"] = f"""
+    WITH f AS (SELECT question_id, count(*) AS n FROM ({ORACLES["import_findings"]}) GROUP BY question_id)
+    SELECT doc_id AS question_id, CAST(coalesce(f.n, 0) AS INT) AS n_issues, f.n IS NULL AS accepted
+    FROM documents LEFT JOIN f ON f.question_id = doc_id"""
+
+
+@query
+def import_ledger(spark, sf):
+    """Accepted and rejected rows of the import by its ledger."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
+    return _checked_import(spark, sf).ledger().agg(total("n_in"), total("n_accepted"), total("n_rejected"), F.count("error").alias("n_failed"))
+
+
+ORACLES["import_ledger"] = f"""
+    SELECT valid + invalid AS n_in, valid AS n_accepted, invalid AS n_rejected, 0::BIGINT AS n_failed FROM ({ORACLES["import_report"]})"""
