@@ -32,19 +32,18 @@ class Source:
     exam_prefix: str | None = None
 
 
-def source_questions(source: Source) -> tuple[DataFrame, DataFrame]:
-    """Questions of one source, first of each id, and the pages that failed."""
-    # Parsing is the only Python step; both results and the numbering read it.
-    raw = stored(html_items.raw_items(source.pages, source.layout), "raw-items")
+def items_of(raw: DataFrame, source: Source) -> DataFrame:
+    """Questions of the parsed pages of a source, before the numbering of exams; without the pages that failed."""
     if source.layout == "accordion":
-        module = F.col("folder") if source.by_folder else None
-        items = html_items.card_questions(raw, module)
-        if not source.by_folder:
-            items = items.withColumn("topic", F.lit(""))
-    elif source.exam_prefix is None:
-        items = html_items.quiz_questions(raw)
-    else:
-        items = html_items.exam_quiz_questions(raw)
+        items = html_items.card_questions(raw, F.col("folder") if source.by_folder else None)
+        return items if source.by_folder else items.withColumn("topic", F.lit(""))
+    if source.exam_prefix is None:
+        return html_items.quiz_questions(raw)
+    return html_items.exam_quiz_questions(raw)
+
+
+def first_questions(items: DataFrame, source: Source) -> DataFrame:
+    """The first question of each id, with its place in the source; exams are numbered over all their pages."""
     if source.exam_prefix is None:
         found = items.where("parsed").withColumns(
             {
@@ -59,8 +58,14 @@ def source_questions(source: Source) -> tuple[DataFrame, DataFrame]:
             exams.number_exam(named), source.exam_prefix, source.source_type
         )
     ordered = found.select(*COLUMNS, "folder", "stem", "idx")
-    first = dedup.keep_first(ordered, "question_id", ["folder", "stem", "idx"])
-    return first, html_items.failed_pages(raw)
+    return dedup.keep_first(ordered, "question_id", ["folder", "stem", "idx"])
+
+
+def source_questions(source: Source) -> tuple[DataFrame, DataFrame]:
+    """Questions of one source, first of each id, and the pages that failed."""
+    # Parsing is the only Python step; both results and the numbering read it.
+    raw = stored(html_items.raw_items(source.pages, source.layout), "raw-items")
+    return first_questions(items_of(raw, source), source), html_items.failed_pages(raw)
 
 
 def build_bank(
@@ -70,7 +75,17 @@ def build_bank(
     valid_topics: list[str] | None = S.VALID_TOPICS,
 ) -> DataFrame:
     """All sources, without near-duplicates, each question with a topic."""
-    united = dedup.union_sources([source_questions(s)[0] for s in sources])
+    return bank_of([source_questions(s)[0] for s in sources], history, manual, valid_topics)
+
+
+def bank_of(
+    questions: list[DataFrame],
+    history: DataFrame,
+    manual: DataFrame | None = None,
+    valid_topics: list[str] | None = S.VALID_TOPICS,
+) -> DataFrame:
+    """The bank of the questions of each source, in order of preference."""
+    united = dedup.union_sources(questions)
     order = ["source_rank", "folder", "stem", "idx"]
     unique = dedup.drop_text_duplicates(united, order=order).drop("folder", "stem", "idx")
     if valid_topics is not None:

@@ -1,18 +1,19 @@
-"""Queries for tables that are kept current: late answers, totals by differences, changes by bucket, jobs in slices."""
+"""Queries for tables that are kept current: late answers, totals by differences, changes by bucket, jobs in slices, pages as they are saved."""
 
 import datetime
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from recallgrid.operators import classify, maintenance
 from recallgrid.plans import build_bank, derived
 from recallgrid.plans import fixtures as X
-from recallgrid.plans.catalog import _arriving, _card_edits, query, rounded
+from recallgrid.plans.catalog import _arriving, _build_sources, _card_edits, query, rounded
 from recallgrid.plans.oracles import ORACLES, sql
 from recallgrid.sources.keyed_table import KeyedTable
 from recallgrid.sources.resumable import ResumableTable
 from recallgrid.sources.storage import new_path, stored
-from recallgrid.streaming import reports
+from recallgrid.streaming import pages, reports
 from recallgrid.streaming.answer_tree import AnswerTree
 
 # --- Late answers --------------------------------------------------------------
@@ -213,3 +214,26 @@ def import_ledger(spark, sf):
 
 ORACLES["import_ledger"] = f"""
     SELECT valid + invalid AS n_in, valid AS n_accepted, invalid AS n_rejected, 0::BIGINT AS n_failed FROM ({ORACLES["import_report"]})"""
+
+
+# --- Pages as they are saved -------------------------------------------------------
+
+
+@query
+def bank_from_page_stream(spark, sf):
+    """The pages of each source arrive in three batches, the bank is that of all pages."""
+    questions = []
+    for rank, source in enumerate(_build_sources(spark, sf)):
+        folder, table = new_path(spark, "pages"), new_path(spark, "page-questions")
+        # Batches cut across folders, and a batch holds later pages of a folder than the next one.
+        source.pages.repartition(3, F.xxhash64("stem")).write.parquet(folder)
+        arriving = spark.readStream.schema(source.pages.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        streamed = replace(source, pages=arriving)
+        pages.keep_pages(streamed, table, new_path(spark, "pages-checkpoint"), most_parts=1 + rank).awaitTermination()
+        questions.append(pages.kept_questions(spark, table, streamed)[0])
+    no_history = spark.createDataFrame([], "question_id string, topic string, ordinal bigint")
+    bank = build_bank.bank_of(questions, no_history, valid_topics=None)
+    return bank.select("question_id", "question_text", "topic", "topic_source", "source_type", "source_file")
+
+
+ORACLES["bank_from_page_stream"] = ORACLES["bank_from_pages"]

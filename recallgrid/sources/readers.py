@@ -125,13 +125,19 @@ def with_ordinal(frame: DataFrame) -> DataFrame:
 
 
 def read_pages(
-    spark: SparkSession, path: str, recursive: bool = False, without: str = "Reconstrucciones"
+    spark: SparkSession,
+    path: str,
+    recursive: bool = False,
+    without: str = "Reconstrucciones",
+    files_per_batch: int | None = None,
 ) -> DataFrame:
     """Saved HTML pages: path, folder, file, stem, html.
 
-    ``folder`` is the module or exam a page belongs to.
+    ``folder`` is the module or exam a page belongs to. With ``files_per_batch``
+    the pages are a stream: those that are there, then those that are saved later.
     """
-    reader = spark.read.option("recursiveFileLookup", recursive)
+    reader = spark.read if files_per_batch is None else spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+    reader = reader.option("recursiveFileLookup", recursive)
     pages = reader.option("pathGlobFilter", "*.{html,htm}").text(path, wholetext=True)
     path_column = F.col("_metadata.file_path")
     out = pages.select(
