@@ -724,6 +724,24 @@ def next_topic_first(spark, sf):
     return recommend.topic_first_pick(stats.learners(a), perf, q, SEED)
 
 
+def _largest_topic(questions):
+    return questions.groupBy("topic").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "topic").first()["topic"]
+
+
+@query
+def next_random_of_topic(spark, sf):
+    """R5 with a topic: a random question of the largest topic."""
+    q, a = X.questions(spark, sf), X.answers(spark, sf)
+    return recommend.next_question(stats.learners(a), stats.answered_questions(a), q, SEED, "random", _largest_topic(q))
+
+
+@query
+def next_unanswered_of_topic(spark, sf):
+    """R5 with a topic: an unanswered question of the largest topic, else any of it."""
+    q, a = X.questions(spark, sf), X.answers(spark, sf)
+    return recommend.next_question(stats.learners(a), stats.answered_questions(a), q, SEED, "unanswered", _largest_topic(q))
+
+
 @query
 def next_adaptive(spark, sf):
     q, a, perf = _stored(_dense(spark, sf))

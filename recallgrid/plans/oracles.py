@@ -741,6 +741,32 @@ ORACLES["next_unanswered"] = sql(
         **draw("targets", "known", ["username"], SEED, "d"),
     },
 )
+
+
+def _of_largest_topic(statement: str) -> str:
+    """The statement over the questions of the topic that has most of them."""
+    bank = f"questions AS MATERIALIZED ({VIEWS['questions']})"
+    assert bank in statement
+    largest = "(SELECT topic FROM all_questions GROUP BY topic ORDER BY count(*) DESC, topic LIMIT 1)"
+    few = f"questions AS MATERIALIZED (SELECT * FROM all_questions WHERE topic = {largest})"
+    return statement.replace(bank, f"all_{bank},\n{few}")
+
+
+ORACLES["next_random_of_topic"] = _of_largest_topic(ORACLES["next_random"])
+ORACLES["next_unanswered_of_topic"] = _of_largest_topic(
+    sql(
+        ["users", "idx"],
+        f"""SELECT * FROM fresh UNION ALL SELECT * FROM ({_RANDOM.format('/random')})
+            WHERE username NOT IN (SELECT username FROM fresh)""",
+        {
+            "known": """SELECT DISTINCT username, pos AS place, NULL::DOUBLE AS weight
+                        FROM answers JOIN idx USING (question_id)""",
+            "targets": f"SELECT username, {_BANK_SIZE} AS size, 1 AS picks, 1.0::DOUBLE AS free_weight FROM users",
+            **draw("targets", "known", ["username"], SEED, "d"),
+            "fresh": "SELECT username, question_id FROM d JOIN idx ON d.place = idx.pos",
+        },
+    )
+)
 ORACLES["next_weakest"] = sql(
     ["dperf", "users", "idx"],
     f"""SELECT * FROM weak UNION ALL SELECT * FROM ({_RANDOM.format('/random')})
