@@ -8,9 +8,12 @@ one. Reading composes the partials of a key in batch order: like the insert
 trigger, a late answer counts when it arrives.
 """
 
+import io
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,60 +92,91 @@ def compact(spark: SparkSession, table: str, up_to: int, target: str) -> None:
 
 # --- The same state in Spark's state store, for low latency ------------------
 
-_STATE = "topic string, total bigint, correct bigint, streak bigint, priority double, last_us bigint"
+#: State rows that all keys share, unless the stream is started with another number.
+STATE_BUCKETS = 1024
 
+_STATE = "packed binary"
+_HELD = ["topic", "total", "correct", "streak", "priority", "last_us"]
 
-def stateful_performance(answers: DataFrame, questions: DataFrame) -> DataFrame:
+
+def stateful_performance(answers: DataFrame, questions: DataFrame, buckets: int = STATE_BUCKETS) -> DataFrame:
     """Changed performance rows of every micro-batch (update mode, no timeout).
 
     The topic is joined from the static bank and kept from the first answer on.
     Within a micro-batch the answers of a key are ordered by time and folded in
-    that order; batches follow arrival. A key receives its answers of one batch
-    at a time, so the size of a batch bounds the step. ``keep_state`` spreads a
-    busy key and needs no such bound.
+    that order; batches follow arrival. The state store holds the keys of a
+    hash bucket as one packed row, so a step in Python advances all of a
+    bucket's keys at once, and its cost goes with the answers and not with a
+    call for each key. A bucket receives its answers of one batch at a time and
+    is written again when one of its keys changes: the size of a batch and
+    ``buckets`` bound the step. The number is part of the checkpoint; choose it
+    for some ten thousand keys a bucket. ``keep_state`` spreads a busy key and
+    needs no such bound.
     """
     topics = questions.select("question_id", F.col("topic").cast("string"))
     enriched = answers.select(*KEY, "answered_at", "id", "is_correct").join(topics, "question_id")
+    # Keys with and without a learner never share a bucket: beside a null, pandas would hold whole numbers as floats.
+    bucket = 2 * F.pmod(F.xxhash64(*KEY), F.lit(buckets)) + F.isnull("username").cast("long")
     keys = [T.StructField(k, answers.schema[k].dataType) for k in KEY]
     out_schema = T.StructType([*keys, *[f for f in S.PERFORMANCE.fields if f.name not in KEY]])
-    return enriched.groupBy(*KEY).applyInPandasWithState(
+    return enriched.withColumn("bucket", bucket).groupBy("bucket").applyInPandasWithState(
         _advance, out_schema, _STATE, "update", GroupStateTimeout.NoTimeout
     )
 
 
-def _advance(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = state.get if state.exists else None
-    rows = pd.concat(list(chunks)).sort_values(["answered_at", "id"], ignore_index=True)
-    for p in compose_runs(single_answers(rows)).itertuples():
-        if held is None:
-            start = (
-                S.FIRST_CORRECT_PRIORITY - S.CORRECT_STEP
-                if p.first_correct
-                else S.FIRST_WRONG_PRIORITY - S.WRONG_STEP
-            )
-            held = (rows["topic"].iloc[0], 0, 0, 0, start, 0)
-        topic, total, correct, streak, priority, _ = held
-        unbroken = p.streak == p.attempts
-        held = (
-            topic,
-            total + int(p.attempts),
-            correct + int(p.correct),
-            int(p.streak) + (streak if unbroken else 0),
-            float(min(p.hi, max(p.lo, priority + p.add))),
-            p.last_at.value // 1_000,
-        )
-    state.update(held)
-    topic, total, correct, streak, priority, last_us = held
-    yield pd.DataFrame(
-        {
-            "username": [key[0]],
-            "question_id": [key[1]],
-            "topic": [topic],
-            "total_attempts": [total],
-            "correct_attempts": [correct],
-            "incorrect_attempts": [total - correct],
-            "last_answered_at": [pd.Timestamp(last_us, unit="us")],
-            "streak": [streak],
-            "priority_score": [priority],
-        }
+def _packed(held: pd.DataFrame) -> bytes:
+    out = io.BytesIO()
+    table = pa.Table.from_pandas(held, preserve_index=False)
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return out.getvalue()
+
+
+def _key_codes(held: pd.DataFrame | None, rows: pd.DataFrame) -> np.ndarray:
+    """A number for the key of each held row and then of each answer, by first appearance."""
+    frames = [rows] if held is None else [held, rows]
+    code = np.zeros(sum(map(len, frames)), dtype=np.int64)
+    for name in KEY:
+        found, values = pd.factorize(pd.concat([f[name] for f in frames], ignore_index=True), use_na_sentinel=False)
+        code = pd.factorize(code * len(values) + found)[0]
+    return code
+
+
+def _advance(_bucket: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    rows = pd.concat(list(chunks), ignore_index=True)
+    held = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else None
+    n = 0 if held is None else len(held)
+    # Held keys are distinct, so theirs are the numbers below n, in their order.
+    rows = rows.assign(key=_key_codes(held, rows)[n:]).sort_values(["key", "answered_at", "id"], ignore_index=True)
+    runs, first = compose_runs(single_answers(rows, ["key"]), ["key"]), rows.drop_duplicates("key", ignore_index=True)
+    at = first["key"].to_numpy()
+    known = at < n
+    began = runs["first_correct"].to_numpy(dtype=bool)
+    start = np.where(began, S.FIRST_CORRECT_PRIORITY - S.CORRECT_STEP, S.FIRST_WRONG_PRIORITY - S.WRONG_STEP).astype(float)
+    zeros = np.zeros(len(at), dtype=np.int64)
+    before = dict(zip(_HELD, (first["topic"].to_numpy(dtype=object), zeros, zeros, zeros, start, zeros)))
+    if held is not None:
+        for c in _HELD:
+            before[c] = before[c].copy()
+            before[c][known] = held[c].to_numpy()[at[known]]
+    p = {c: runs[c].to_numpy() for c in ("attempts", "correct", "streak", "add", "lo", "hi")}
+    changed = first[KEY].assign(
+        topic=before["topic"],
+        total=before["total"] + p["attempts"],
+        correct=before["correct"] + p["correct"],
+        streak=p["streak"] + np.where(p["streak"] == p["attempts"], before["streak"], 0),
+        priority=np.minimum(p["hi"], np.maximum(p["lo"], before["priority"] + p["add"])),
+        last_us=runs["last_at"].to_numpy().astype("datetime64[ns]").astype(np.int64) // 1_000,
+    )
+    kept = np.ones(n, dtype=bool)
+    kept[at[known]] = False
+    state.update((_packed(pd.concat([held[kept], changed], ignore_index=True) if kept.any() else changed),))
+    yield changed[KEY].assign(
+        topic=changed["topic"],
+        total_attempts=changed["total"],
+        correct_attempts=changed["correct"],
+        incorrect_attempts=changed["total"] - changed["correct"],
+        last_answered_at=changed["last_us"].to_numpy().astype("datetime64[us]"),
+        streak=changed["streak"],
+        priority_score=changed["priority"],
     )
