@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +50,8 @@ CARD_MODAL = "modal-body"
 CARD_TOPIC = "modal-title"
 
 ITEM_SLICE = 5000
-#: Length of the pages of one task, about, where few large files are dealt anew.
-PAGE_CHARS = 4 << 20
+#: Tasks up to which Spark's shuffle writes a file for each and sorts nothing (spark.shuffle.sort.bypassMergeThreshold).
+DEALT = 200
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "wbr"}
 
 RAW_FIELDS = (
@@ -59,31 +59,45 @@ RAW_FIELDS = (
     "options array<struct<letter:string,raw:string,marked:boolean>>, stated string, "
     "explanation string, error string"
 )
+_OPTION = pa.struct([("letter", pa.string()), ("raw", pa.string()), ("marked", pa.bool_())])
+#: The same for Arrow.
+_RAW = [
+    *[("idx", pa.int32()), ("raw_id", pa.string()), ("number", pa.string()), ("topic", pa.string()), ("text", pa.string())],
+    *[("images", pa.list_(pa.string())), ("options", pa.list_(_OPTION)), ("stated", pa.string())],
+    *[("explanation", pa.string()), ("error", pa.string())],
+]
+
+
+#: Texts and tags without anything that asks for the tolerant parser: bare attributes, entities in them, "/>".
+_PLAIN = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[ \t\n]+[a-zA-Z][-a-zA-Z0-9]*="[^"&]*")*)[ \t\n]*>|[^<]+""")
+_ATTRIBUTE = re.compile(r"""([a-zA-Z][-a-zA-Z0-9]*)="([^"]*)\"""")
+#: Elements whose content some versions of the parser do not read as markup.
+_OPAQUE = {"script", "style", "textarea", "title", "plaintext", "iframe", "noembed", "noframes", "noscript", "xmp"}
+#: Attributes of plain tags by their text; a plain dict, since the package travels to the workers by value.
+_KNOWN = {}
 
 
 class _Node:
-    def __init__(self, tag="", attrs=(), parent=None):
-        self.tag, self.parent, self.children = tag, parent, []
-        self.attrs = {k: v or "" for k, v in attrs}
+    __slots__ = ("tag", "attrs", "classes", "children", "place", "end", "order")
 
-    @property
-    def classes(self):
-        return self.attrs.get("class", "").split()
+    def __init__(self, tag, attrs, classes, order):
+        self.tag, self.attrs, self.classes, self.children, self.order = tag, attrs, classes, [], order
+        # Descendants are the nodes from the next place up to the end, in document order.
+        self.place = len(order)
+        self.end = self.place + 1
+        order.append(self)
 
     def nodes(self, tag, test=lambda n: True):
         """Descendants with the tag that pass the test, in document order."""
-        stack = [c for c in reversed(self.children) if isinstance(c, _Node)]
-        while stack:
-            node = stack.pop()
+        for node in self.order[self.place + 1 : self.end]:
             if node.tag == tag and test(node):
                 yield node
-            stack.extend(c for c in reversed(node.children) if isinstance(c, _Node))
 
     def with_class(self, tag, name):
         return next(self.nodes(tag, lambda n: name in n.classes), None)
 
     def strings(self, without=()):
-        stack = list(reversed(self.children))
+        stack = self.children[::-1]
         while stack:
             child = stack.pop()
             if isinstance(child, str):
@@ -96,28 +110,79 @@ class _Node:
         return joint.join(p for p in pieces if p)
 
 
+def _plain_attributes(source):
+    if source not in _KNOWN:
+        if len(_KNOWN) >= 4096:
+            _KNOWN.clear()
+        _KNOWN[source] = _attributes(_ATTRIBUTE.findall(source))
+    return _KNOWN[source]
+
+
+def _attributes(pairs):
+    attrs = {k.lower(): v or "" for k, v in pairs}
+    return attrs, attrs.get("class", "").split()
+
+
 class _Tree(HTMLParser):
     def __init__(self, page):
         super().__init__()
-        self.root = self.here = _Node()
-        self.feed(page)
-        self.close()
-
-    def handle_starttag(self, tag, attrs):
-        node = _Node(tag, attrs, self.here)
+        if not self._plain(page):
+            self._begin()
+            self.feed(page)
+            self.close()
+        self._close(0)
+
+    def _begin(self):
+        self.order = []
+        self.root = self.here = _Node("", {}, [], self.order)
+        self.open = [self.root]
+
+    def _plain(self, page):
+        """Reads a page of plain tags and texts, as the parser would; False at the first other thing."""
+        self._begin()
+        at = 0
+        for piece in _PLAIN.finditer(page):
+            if piece.start() != at:
+                return False
+            at = piece.end()
+            closing, tag, attributes = piece.groups()
+            if tag is None:
+                text = piece.group()
+                self.handle_data(html.unescape(text) if "&" in text else text)
+                continue
+            tag = tag.lower()
+            if tag in _OPAQUE or (closing and attributes):
+                return False
+            if closing:
+                self.handle_endtag(tag)
+            else:
+                self._start(tag, *_plain_attributes(attributes))
+        return at == len(page)
+
+    def _start(self, tag, attrs, classes, empty=False):
+        node = _Node(tag, attrs, classes, self.order)
         self.here.children.append(node)
-        if tag not in VOID:
+        if not empty and tag not in VOID:
             self.here = node
+            self.open.append(node)
+
+    def handle_starttag(self, tag, attrs):
+        self._start(tag, *_attributes(attrs))
 
     def handle_startendtag(self, tag, attrs):
-        self.here.children.append(_Node(tag, attrs, self.here))
+        self._start(tag, *_attributes(attrs), empty=True)
 
     def handle_endtag(self, tag):
-        node = self.here
-        while node is not None and node.tag != tag:
-            node = node.parent
-        if node is not None and node.parent is not None:
-            self.here = node.parent
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag == tag:
+                self._close(i)
+                self.here = self.open[-1]
+                return
+
+    def _close(self, i):
+        for node in self.open[i:]:
+            node.end = len(self.order)
+        del self.open[i:]
 
     def handle_data(self, data):
         # The parser hands on a bare "<" as a piece of its own; neighbours are one text.
@@ -160,7 +225,7 @@ def _quiz_items(page):
             letter = label and label.with_class("span", QUIZ_LETTER)
             text = label and label.with_class("div", QUIZ_OPTION)
             if letter and text:
-                options.append((letter.text(), text.text(), "correct" in row.classes))
+                options.append({"letter": letter.text(), "raw": text.text(), "marked": "correct" in row.classes})
         yield {
             "raw_id": item.attrs.get("id", ""),
             "number": _text(item.with_class("span", QUIZ_NUMBER)),
@@ -189,7 +254,7 @@ def _card_items(page):
             label = entry.with_class("span", CARD_OPTION)
             if label:
                 marked = styled is not None and CARD_COLOUR in styled.attrs["style"]
-                options.append(("", label.text(), marked))
+                options.append({"letter": "", "raw": label.text(), "marked": marked})
         modal = item.with_class("div", CARD_MODAL)
         yield {
             "raw_id": button.attrs[CARD_TARGET_ATTRIBUTE] if button else "",
@@ -204,54 +269,60 @@ def _card_items(page):
 
 
 def _dealt(pages: DataFrame, partitions: int | None) -> DataFrame:
-    """The pages over as many tasks as their length asks for.
+    """The pages over enough tasks, each of which parses its share.
 
-    A scan of fewer partitions than the session has cores (one large file, say)
-    is dealt anew by PAGE_CHARS; any other is parsed where it is read, in
-    partitions that spark.sql.files.maxPartitionBytes bounds, without a shuffle.
+    Where the rows of a scan lie in few of its partitions (one large file, say),
+    so that a task would have more than twice its share, they are dealt anew by
+    a hash of the whole row, which needs no sort; up to DEALT tasks Spark's
+    shuffle holds no pages in memory either. Others are parsed where they are
+    read. The rows of each partition are counted without reading a page.
     """
     if partitions is not None:
-        return pages.repartition(partitions)
+        return pages.repartition(partitions, *pages.columns)
     cores = pages.sparkSession.sparkContext.defaultParallelism
-    if pages.rdd.getNumPartitions() >= cores:
+    counts = [r[1] for r in pages.groupBy(F.spark_partition_id()).count().collect()]
+    n = sum(counts)
+    if not n or max(counts) * min(cores, n) <= 2 * n:
         return pages
-    chars, n = pages.agg(F.sum(F.length("html")), F.count(F.lit(1))).first()
-    return pages.repartition(max(1, min(n, max(cores, -(-(chars or 0) // PAGE_CHARS)))))
+    return pages.repartition(min(n, max(cores, min(4 * cores, DEALT))), *pages.columns)
 
 
 def raw_items(pages: DataFrame, layout: str, partitions: int | None = None) -> DataFrame:
     """One row per item of each page; a page that cannot be read gives one error row.
 
     ``pages`` has an ``html`` column; its other columns are repeated per item.
-    The pages are dealt by their length (``_dealt``) or over ``partitions``
-    tasks. Spark bounds a batch by spark.sql.execution.arrow.maxBytesPerBatch,
-    and items leave in slices while later pages are still to be parsed.
+    The pages are dealt evenly (``_dealt``) or over ``partitions`` tasks.
+    Spark bounds a batch by spark.sql.execution.arrow.maxBytesPerBatch, and
+    items leave in slices while later pages are still to be parsed.
     """
     parse = {"quiz": _quiz_items, "accordion": _card_items}[layout]
     carried = [c for c in pages.columns if c != "html"]
-    fields = [f.split()[0] for f in RAW_FIELDS.split(", ")]
 
-    def frame(rows: list[dict]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=carried + fields, dtype=object)
+    def items_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = pa.schema(_RAW)
+
+        def slice_of(batch: pa.RecordBatch, places: list[int], rows: list[dict]) -> pa.RecordBatch:
+            kept = [batch.column(batch.schema.get_field_index(c)).take(pa.array(places, pa.int64())) for c in carried]
+            items = pa.RecordBatch.from_pylist(rows, raw)
+            return pa.RecordBatch.from_arrays([*kept, *items.columns], [*carried, *raw.names])
 
-    def items_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for page in zip(*(batch[c] for c in carried), batch["html"]):
-                kept = dict(zip(carried, page))
+            places, rows = [], []
+            for place, page in enumerate(batch.column(batch.schema.get_field_index("html"))):
                 try:
-                    found = list(parse(page[-1] or ""))
-                    rows += [kept | {"idx": i} | item for i, item in enumerate(found)]
+                    found = [{"idx": i} | item for i, item in enumerate(parse(page.as_py() or ""))]
                 except (ValueError, AssertionError) as error:
-                    rows.append(kept | {"idx": -1, "error": str(error)})
+                    found = [{"idx": -1, "error": str(error)}]
+                rows += found
+                places += [place] * len(found)
                 while len(rows) >= ITEM_SLICE:
-                    yield frame(rows[:ITEM_SLICE])
-                    rows = rows[ITEM_SLICE:]
-            yield frame(rows)
+                    yield slice_of(batch, places[:ITEM_SLICE], rows[:ITEM_SLICE])
+                    places, rows = places[ITEM_SLICE:], rows[ITEM_SLICE:]
+            yield slice_of(batch, places, rows)
 
     kept_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*carried).schema)
     schema = f"{kept_schema}, {RAW_FIELDS}" if carried else RAW_FIELDS
-    return _dealt(pages, partitions).mapInPandas(items_of, schema)
+    return _dealt(pages, partitions).mapInArrow(items_of, schema)
 
 
 def failed_pages(raw: DataFrame) -> DataFrame:

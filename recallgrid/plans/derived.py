@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallgrid import schemas as S
-from recallgrid.operators.html_items import attribute_values
+from recallgrid.operators.html_items import DEALT, attribute_values
 from recallgrid.plans.fixtures import bank, table
 from recallgrid.sources.storage import new_path
 
@@ -161,7 +161,10 @@ def _div(css: str, *inner):
 
 
 def _part_pages(spark, sf_dir):
-    return table(spark, sf_dir, "part").withColumns(
+    # The narrow rows are dealt before they grow to pages: a small file is one task's, its pages may be many.
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    tasks = min(DEALT, 4 * spark.sparkContext.defaultParallelism)
+    return part.repartition(tasks, *part.columns).withColumns(
         {
             "folder": F.col("p_brand"),
             "stem": F.lpad(F.col("p_partkey").cast("string"), 12, "0"),
