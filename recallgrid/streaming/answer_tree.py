@@ -5,7 +5,8 @@ answer when it arrives. Here the state is that of the batch fold whatever the
 order of arrival. The log is kept by day. A leaf is the fold of a key's answers
 of one day, a node composes its up to 16 children in order of time, and the
 root is the state. A late answer re-folds its key's day from the log of that
-day and composes one node on each level above; other days of the log are not
+day; the spans above that hold a touched day are composed of their children
+again, and those with one child take its content. Other days of the log are not
 read, and only the spans that hold a touched day are written again, all of them
 in one step. Nodes also give the state before any day, from at most 15 spans of
 each level.
@@ -66,23 +67,30 @@ class AnswerTree:
         days = self.log.rows(cells=map(str, spans))
         folded = answer_partials(joined_on(days, rows.select(*_SPAN).distinct(), _SPAN, "left_semi"), _SPAN)
         fresh = stored(merge_partials(folded, key=_SPAN), "days")
+        leaves = self.nodes.rows(now, [f"0-{s}" for s in spans])
+        content, own = stored(joined_on(leaves, fresh, _SPAN, "left_anti").unionByName(fresh), "level-0"), 0
         for level in range(LEVELS + 1):
             cells = [f"{level}-{s}" for s in spans]
-            content = joined_on(self.nodes.rows(now, cells), fresh, _SPAN, "left_anti").unionByName(fresh)
-            contents.append(content.withColumn("level", F.lit(level)))
             touched += cells
-            if level == LEVELS:
-                break
             parents = sorted({s >> BITS for s in spans})
             around = {f"{level}-{s}" for p in parents for s in range(p << BITS, (p + 1) << BITS)} - set(cells)
-            children = content.unionByName(self.nodes.rows(now, around & held.keys()))
+            # Spans that are the only children have the content of those above: it is composed once, for all these levels.
+            lone = len(parents) == len(spans) and not around & held.keys()
+            if level < LEVELS and lone:
+                spans = parents
+                continue
+            contents.append(content.withColumn("level", F.explode(F.sequence(F.lit(own), F.lit(level)))))
+            contents[-1] = contents[-1].withColumn("span", F.expr(f"shiftright(span, {BITS} * (level - {own}))"))
+            if level == LEVELS:
+                break
+            below = content.withColumn("span", F.shiftright("span", BITS * (level - own)).cast("int"))
+            children = below.unionByName(self.nodes.rows(now, around & held.keys()))
             up = F.shiftright("span", BITS).cast("int")
-            above = joined_on(children.withColumn("span", up), fresh.withColumn("span", up).distinct(), _SPAN, "left_semi")
-            fresh = stored(merge_partials(above, key=_SPAN).select(*self.nodes.schema.names), f"level-{level + 1}")
-            spans = parents
+            merged = merge_partials(children.withColumn("span", up), key=_SPAN).select(*self.nodes.schema.names)
+            content, own, spans = stored(merged, f"level-{level + 1}"), level + 1, parents
         every = contents[0]
-        for content in contents[1:]:
-            every = every.unionByName(content)
+        for part in contents[1:]:
+            every = every.unionByName(part)
         # The level is needed for the cell only.
         self._replace(every, touched, batch, stream)
         return touched
