@@ -4,7 +4,11 @@ import datetime
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
+from recallgrid.operators import html_items
+from recallgrid.operators.performance import performance
+from recallgrid.streaming import answer_tree
 from recallgrid.streaming import answers as stream
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -66,3 +70,48 @@ def test_a_bucket_without_learners_keeps_its_keys():
         got = pd.concat(stream._advance((1,), iter([rows]), state)).sort_values("question_id")
         assert list(got["total_attempts"]) == [n, n] and list(got["streak"]) == [n, 0]
         assert got["username"].isna().all()
+
+
+def shape(node):
+    return node if isinstance(node, str) else (node.tag, node.attrs, node.classes, [shape(c) for c in node.children])
+
+
+def test_plain_pages_are_read_as_by_the_tolerant_parser(monkeypatch):
+    item = '<html><body><DIV id="question-1-2" Class="que  multichoice"><p>a &lt; b &amp c</p></i>x<br>\n<img src="/a b.png" >'
+    pages = [item, item + "</div></b>y</body></html>"]
+    for odd in ("<", "<br/>", "<p a=b>", '<p a="&amp;">', "<!-- </div> -->", "<script><b></script>", "</p x>", "&eacute", "<title><b></title>", ""):
+        pages += [item + odd, odd + item, item.replace("<p>", odd)]
+    plain = [html_items._Tree(p) for p in pages]
+    assert html_items._Tree("")._plain(pages[1]) and not html_items._Tree("")._plain(pages[2])
+    monkeypatch.setattr(html_items._Tree, "_plain", lambda self, page: False)
+    for page, tree in zip(pages, plain):
+        tolerant = html_items._Tree(page)
+        assert shape(tree.root) == shape(tolerant.root), page
+        assert [(n.place, n.end) for n in tree.order] == [(n.place, n.end) for n in tolerant.order]
+
+
+def test_pages_in_one_of_many_partitions_are_dealt_without_a_sort(spark):
+    rows = spark.range(400).select("id", F.concat(F.lit("<p>"), F.col("id")).alias("html"))
+    cores = spark.sparkContext.defaultParallelism
+    for pages in (rows.coalesce(1), rows.repartition(4 * cores, F.lit(1))):
+        dealt = html_items._dealt(pages, None)
+        counts = [r[1] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(counts) == 400 and max(counts) < 100
+        assert "Sort" not in dealt._jdf.queryExecution().executedPlan().toString()
+    even = rows.repartition(cores, "id")
+    assert html_items._dealt(even, None) is even
+
+
+def test_spans_with_one_child_are_not_composed_again(spark, tmp_path, monkeypatch):
+    answer = "username long, question_id long, answered_at timestamp_ntz, id long, is_correct boolean"
+    log = [(i % 3, i % 2, T0 + datetime.timedelta(hours=5 * i), i, i * 7 % 5 < 3) for i in range(20)]
+    calls = []
+    compose = answer_tree.merge_partials
+    monkeypatch.setattr(answer_tree, "merge_partials", lambda *a, **k: calls.append(1) or compose(*a, **k))
+    tree = answer_tree.AnswerTree(spark, str(tmp_path / "t"), spark.createDataFrame([], answer).schema)
+    tree.add(spark.createDataFrame(log, answer), 0, "s")
+    # The days, and the span of 16 days above them; all higher spans have one child.
+    assert len(calls) == 2
+    questions = spark.createDataFrame([(0, "x"), (1, "y")], "question_id long, topic string")
+    want = performance(spark.createDataFrame(log, answer), questions)
+    assert sorted(tree.state(questions).collect()) == sorted(want.collect())
