@@ -553,33 +553,33 @@ def _members(shared: DataFrame, least: int) -> DataFrame:
     return stored(met.join(near, ["hub", "band"]).select("hub", "node", "size"), "members")
 
 
-def _links(members: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """Links between the sets of each group that join them as all links would; members has hub, node and size.
+def _classes(members: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """node and component of the sets that links within the groups join; members has hub, node and size.
 
     sets: node, size, first, bitmap and, to verify the links, tokens.
     """
     groups = members.groupBy("hub").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("of"), F.min("node").alias("least"))
     groups = stored(groups.select("hub", "least", _parts(F.col("rows"), F.col("of")).alias("parts")), "groups")
-    placed = members.join(groups, "hub")
-    part = F.pmod(F.xxhash64("node"), "parts")
     # The smallest set of a group is in each of its parts and ties them together.
-    in_parts = placed.filter("node <> least").select("hub", "node", part.alias("part")).union(
-        placed.filter("node = least").select("hub", "node", F.explode(F.expr("sequence(0L, parts - 1)")))
-    )
+    own = F.array(F.pmod(F.xxhash64("node"), "parts"))
+    parts = F.when(F.col("node") == F.col("least"), F.expr("sequence(0L, parts - 1)")).otherwise(own)
+    in_parts = members.join(groups, "hub").select("hub", "node", F.explode(parts).alias("part"))
     cells = in_parts.select(F.xxhash64("hub", "part").alias("cell"), F.lit(0).alias("side"), F.col("node").alias("label"), "node")
-    links = stored(_cells(cells, sets, least), "links")
+    classes = components(_cells(cells, sets, least))
     large = groups.filter("parts > 1").select("hub")
     if large.isEmpty():
-        return links
-    classes = components(links)
+        return classes
     rest = members.join(large, "hub").join(classes, "node", "left")
     rest = rest.select("hub", "node", "size", F.coalesce("component", "node").alias("label"))
     open_ = rest.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("hub")
     rest = stored(rest.join(open_, "hub"), "open")
+    if rest.isEmpty():
+        return classes
     few = members.sparkSession.sparkContext.broadcast(_filter_of(rest, "node"))
     sets = stored(sets.mapInArrow(_let_through(few, "node"), sets.schema), "open-sets")
     few.destroy()
-    return stored(links.union(_across(rest, sets, least)), "links")
+    # What is joined already counts as its stars.
+    return components(classes.toDF("a", "b").union(_across(rest, sets, least)))
 
 
 def similar_sets(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
@@ -636,10 +636,9 @@ def similar_sets(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> Dat
     wanted.destroy()
     signatures = sets.select("node", "size", "first", "bitmap")
     # What the signatures let through falls into clusters; each set is then shipped once, to the others of its cluster.
-    clusters = components(_links(members, signatures, least))
+    clusters = _classes(members, signatures, least)
     members = clusters.join(members.select("node", "size").distinct(), "node").select(F.col("component").alias("hub"), "node", "size")
-    links = _links(stored(members, "clustered"), sets, least)
-    classes = components(links)
+    classes = _classes(stored(members, "clustered"), sets, least)
     least_of = outlines.groupBy("node").agg(F.min("doc_id").alias("least"))
     labelled = stored(
         least_of.join(classes, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")), "labelled"
